@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-IDENT = "[A-Za-z_$][A-Za-z0-9_$]*"
+#: Identifiers of two characters or more; tokens are maximal runs, so shorter ones are never part of a match.
+IDENT = "[A-Za-z_$][A-Za-z0-9_$]+"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -26,14 +27,15 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    tokens = F.filter(F.regexp_extract_all("content", F.lit(IDENT), F.lit(0)), lambda x: F.length(x) > 1)
+    tokens = F.regexp_extract_all("content", F.lit(IDENT), F.lit(0))
     o = lines(spark, sf_dir).select("file_id", "line", F.posexplode(tokens).alias("p", "name")).withColumn("col", F.col("p") + 1)
     kind = F.when(F.col("col") == 1, "declaration").when(F.col("col") % 5 == 2, "call").when(F.col("col") % 5 == 3, "read").when(F.col("col") % 5 == 4, "type-ref")
     return o.select("file_id", "name", "line", "col", kind.alias("ref_kind"))
 
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
-    o = occurrences(spark, sf_dir).where("col = 1")
+    # the first identifier of each line
+    o = lines(spark, sf_dir).select("file_id", "line", F.regexp_extract("content", IDENT, 0).alias("name")).where("name <> ''")
     nxt = F.lead("line").over(Window.partitionBy("file_id").orderBy("line"))
     kind = F.element_at(F.array(*[F.lit(x) for x in ("function", "class", "variable", "interface")]), (F.col("line") % 4 + 1).cast("int"))
     return o.select((F.col("file_id") * 100000 + F.col("line")).alias("id"), "file_id", "name", kind.alias("kind"), "line", (nxt - 1).alias("end_line"), F.when(F.col("line") % 3 != 0, F.lit(None).cast("string")).otherwise("Outer").alias("scope"))
