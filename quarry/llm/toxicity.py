@@ -80,7 +80,7 @@ def train(rows: list[tuple[str, int]], counts: dict[int, int]) -> tuple[dict[byt
     docs = [sentences(t.encode()) for t, _ in rows]
     y = np.array([v for _, v in rows], float)
     if not docs or y.min(initial=1) == y.max(initial=0):
-        return {}, -50.0
+        return {}, -1000.0
     df = {1: Counter(), 0: Counter()}
     for d, v in zip(docs, y):
         df[int(v)].update({x for w in {w for s in d for w in s} for x in features(w)})
