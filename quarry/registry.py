@@ -7,9 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quarry.functions.signature import signature_params
 from quarry.functions.text import estimate_tokens, test_path
-from quarry.operators import graph, health, lookup, overlay, search, spans, telemetry
+from quarry.operators import compact, graph, health, lookup, overlay, pack, policy, search, spans, telemetry
 from quarry.plans import views as V
+from quarry.shipping import ship
 
 Query = Callable[[SparkSession, str], DataFrame]
 _QUERIES: dict[str, Query] = {}
@@ -530,3 +532,132 @@ def structured_query(spark, d):
 
     e = V.table(spark, d, "events")
     return e.select("event_id", value_at("props", "k", "long").alias("value"), value_at("props", "k", "long").isNotNull().alias("found"))
+
+
+# --- paths, policy, output ---------------------------------------------------------------------------------------------
+
+#: Names that the documents' paths end in, by doc_id.
+NAMES = ["a.ts", "package.json", "tsconfig.base.json", "Cargo.lock", "b.PY", "c.yml", "d.txt", ".ts", "node_modules/e.js", "gen/f.go", "gen/keep.go", "target"]
+COMMANDS = ["git commit -m x", "A=1 npm run test:unit && git push", "echo git commit", "cd a; pytest -q", "gh pr create", "go vet ./..."]
+
+
+def _names(values: list[str], key: str) -> F.Column:
+    return F.element_at(F.array(*[F.lit(x) for x in values]), (F.col(key) % len(values) + 1).cast("int"))
+
+
+_PATHS = f"paths_v as (select doc_id, source || '/' || ({NAMES})[doc_id % {len(NAMES)} + 1] as path from documents)"
+
+
+def _paths(spark, d):
+    return V.table(spark, d, "documents").select("doc_id", F.concat("source", F.lit("/"), _names(NAMES, "doc_id")).alias("path"))
+
+
+@query()
+def classify_paths(spark, d):
+    from quarry.sources.scan import classify_path
+
+    return _paths(spark, d).select("doc_id", classify_path("path").alias("c")).select("doc_id", "c.kind", "c.language")
+
+
+_SQL["classify_paths"] = f"""with {_PATHS}, n as (select doc_id, lower(regexp_extract(path, '[^/]*$')) as name from paths_v),
+e as (select *, regexp_extract(name, '^.+([.][^.]*)$', 1) as ext from n)
+select doc_id,
+  case when name in ('package.json') then 'package_json' when name = 'cargo.lock' then 'cargo_lock' when name like 'tsconfig%.json' then 'tsconfig_json'
+       when ext in ('.ts', '.py', '.js', '.go') then 'source' when ext = '.yml' then 'yaml_generic' when ext = '.json' then 'json_generic' else 'ignored' end as kind,
+  case ext when '.ts' then 'typescript' when '.py' then 'python' when '.js' then 'javascript' when '.go' then 'go' end as language
+from e"""
+
+
+@query()
+def ignored_paths(spark, d):
+    from quarry.sources.scan import ignored
+
+    return _paths(spark, d).select("doc_id", ignored("path", ["gen/*.go", "*/gen/*.go", "!keep.go", "*.t?t"]).alias("ignored"))
+
+
+_SQL["ignored_paths"] = f"""with {_PATHS}
+select doc_id, path like '%/node_modules/%' or (path like '%/gen/%.go' and path not like '%/keep.go') or path like '%.txt' as ignored from paths_v"""
+
+
+@query(f"""
+select doc_id, case doc_id % 6 when 0 then 'commit' when 1 then 'push' when 4 then 'pr_create' end as trigger,
+  case doc_id % 6 when 1 then 'npm run test:unit' when 3 then 'pytest -q' end as test from documents""")
+def shell_triggers(spark, d):
+    c = _names(COMMANDS, "doc_id")
+    return V.table(spark, d, "documents").select("doc_id", policy.git_trigger(c).alias("trigger"), policy.test_command(c).alias("test"))
+
+
+@query("""
+select event_id, case when event_type = 'view' then 'grep-on-code' when event_type = 'click' and event_id % 3 <> 2 then 'read-on-structured'
+    when event_type = 'click' then 'read-on-source' when event_type = 'purchase' then 'agent-discipline' end as rule,
+  case when event_type = 'view' then case when event_id % 2 = 0 then 'allow' else 'deny' end when event_type = 'click' and event_id % 3 <> 2 then 'ask'
+    when event_type = 'purchase' and event_id % 2 = 1 then 'deny' else 'allow' end as decision
+from events""")
+def policy_dispatch(spark, d):
+    e = V.table(spark, d, "events")
+    tool = F.when(F.col("event_type") == "view", "Grep").when(F.col("event_type") == "click", "Read").when(F.col("event_type") == "purchase", "Agent").otherwise("Bash")
+    even = F.col("event_id") % 2 == 0
+    glob = F.when(even, "*.MD").otherwise("*.ts")
+    path = _names(["/w/package.json", "/w/x.toml", "/w/src/y.rs"], "event_id")
+    prompt = F.when(even, "use quarry_find").otherwise("read the code")
+    e = e.select("event_id", tool.alias("tool_name"), F.to_json(F.struct(glob.alias("glob"), path.alias("file_path"), prompt.alias("prompt"))).alias("tool_input"))
+    return policy.dispatch(e, policy.default_rules("/w")).select("event_id", "rule", "decision")
+
+
+@query("select name as nm, kind as k, line as l, end_line as el, scope as sc from sym_v")
+def compact_symbols(spark, d):
+    return compact.compact(V.symbols(spark, d).select("name", "kind", "line", "end_line", "scope"))
+
+
+@query("select id, name as unknown, case when line % 3 = 0 then 'other' end as undocumented from sym_v where kind = 'function' and line % 3 = 0")
+def stale_docs(spark, d):
+    ship(spark)
+    s = V.symbols(spark, d).withColumn("doc", F.concat(F.lit("/** Does it.\n * @param {T} "), "name", F.lit(" it */")))
+    s = s.withColumn("signature", F.concat(F.lit("("), F.when(F.col("line") % 3 == 0, "other").otherwise(F.col("name")), F.lit(": Map<A, B> = f(1, 2)): void")))
+    got = health.stale_docs(s, signature_params("signature"))
+    return got.select("id", F.array_join("unknown", ",").alias("unknown"), F.array_join("undocumented", ",").alias("undocumented"))
+
+
+PACK_BUDGET = 200
+
+
+@query()
+def pack_greedy(spark, d):
+    c = V.table(spark, d, "conversations")
+    items = c.select(F.col("conv_id").alias("query_id"), F.lit("B").alias("phase"), F.col("turn").alias("ord"), F.lit(None).cast("string").alias("grp"), F.col("turn").alias("key"), estimate_tokens(F.coalesce("text", F.lit(""))).alias("tokens"))
+    got = pack.pack(items, PACK_BUDGET)
+    return got.select(F.col("query_id").alias("conv_id"), "total", F.array_join("taken", ",").alias("taken"), F.array_join("skipped", ",").alias("skipped"))
+
+
+_SQL["pack_greedy"] = f"""with recursive t as (
+  select conv_id, turn, ceil(length(coalesce(text, '')) / 4.0)::bigint as tokens, row_number() over (partition by conv_id order by turn) as n from conversations),
+r as (
+  select conv_id, 0::bigint as n, 0::bigint as total, []::varchar[] as taken, []::varchar[] as skipped, false as stop from t group by 1 union all
+  select r.conv_id, t.n, case when stop or total + tokens > {PACK_BUDGET} * 0.6 then total else total + tokens end,
+    case when stop or total + tokens > {PACK_BUDGET} * 0.6 then taken else list_append(taken, turn::varchar) end,
+    case when not stop and total + tokens > {PACK_BUDGET} * 0.6 then list_append(skipped, turn::varchar) else skipped end,
+    stop or (total + tokens > {PACK_BUDGET} * 0.6 and total >= {PACK_BUDGET} * 0.6)
+  from r join t on t.conv_id = r.conv_id and t.n = r.n + 1)
+select conv_id, max_by(total, n) as total, array_to_string(max_by(taken, n), ',') as taken, array_to_string(max_by(skipped, n), ',') as skipped from r group by 1"""
+
+
+def _event_rows(spark, d):
+    t = V.telemetry(spark, d)
+    return t.withColumn("ts", F.timestamp_millis("ts_ms"))
+
+
+@query("select ts_ms - ts_ms % 3600000 as start_ms, rule, decision, count(*) as n from tel_v where rule is not null group by 1, 2, 3")
+def decision_windows(spark, d):
+    from quarry.streaming import telemetry as streaming
+
+    return streaming.decisions(_event_rows(spark, d)).select(F.unix_millis("start").alias("start_ms"), "rule", "decision", "n")
+
+
+@query(f"""
+select a.id, a.rule, b.id as post_id from tel_v a left join tel_v b
+  on b.hook_event = 'PostToolUse' and a.session_id = b.session_id and a.input_hash = b.input_hash and b.ts_ms between a.ts_ms and a.ts_ms + {DAYS_10}
+where a.hook_event = 'PreToolUse' and a.decision = 'ask'""")
+def override_pairs(spark, d):
+    from quarry.streaming import telemetry as streaming
+
+    return streaming.overrides(_event_rows(spark, d), DAYS_10).select("id", "rule", "post_id")
