@@ -102,7 +102,7 @@ def test_stream_equals_batch(spark, tmp_path):
     (tmp_path / "in").mkdir()
     for k in (0, 20):
         (tmp_path / f"in/{k}.json").write_text("\n".join(json.dumps(r) for r in rows[k : k + 20]))
-    (tmp_path / "in/z.json").write_text(json.dumps(rows[0] | {"id": 99, "ts": "2026-01-03T00:00:00Z", "rule": "z", "input_hash": "z"}) + "\n" + json.dumps(rows[1] | {"id": 98, "ts": "2026-01-03T00:00:00Z", "rule": "z", "input_hash": "z"}))
+    (tmp_path / "in/z.json").write_text(json.dumps(rows[0] | {"id": 99, "ts": "2026-01-03T00:00:00Z", "rule": "z", "input_hash": "z"}) + "\n" + json.dumps(rows[1] | {"id": 98, "ts": "2026-01-03T00:00:00Z", "rule": "z", "input_hash": "y"}))
     for age, name in enumerate(("z", "20", "0")):  # files arrive by their time
         os.utime(tmp_path / f"in/{name}.json", (1_800_000_000 - age,) * 2)
     stream = telemetry.read_events(spark, str(tmp_path / "in"), 1)
