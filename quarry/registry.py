@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quarry.functions.signature import signature_params
 from quarry.functions.text import estimate_tokens, test_path
-from quarry.operators import compact, graph, health, lookup, overlay, pack, policy, search, spans, telemetry
+from quarry.operators import compact, graph, health, lookup, overlay, pack, policy, search, source, spans, telemetry
 from quarry.plans import views as V
 from quarry.shipping import ship
 
@@ -661,3 +661,36 @@ def override_pairs(spark, d):
     from quarry.streaming import telemetry as streaming
 
     return streaming.overrides(_event_rows(spark, d), DAYS_10).select("id", "rule", "post_id")
+
+
+def _roots(spark, d):
+    ended = V.symbols(spark, d).where("end_line is not null and kind = 'class'")
+    return ended.withColumn("end", F.col("end_line"))
+
+
+@query("""
+, r as (select id as root_id, file_id as root_file, name as root_name, line as start, end_line as stop from sym_v where end_line is not null and kind = 'class'),
+u as (select root_id, root_file, start, stop, o.name as used, min(o.line * 1000000 + o.col) as first from r join occ_v o on root_file = o.file_id and o.line between start and stop and o.name <> root_name group by 1, 2, 3, 4, 5),
+c as (
+  select root_id, used, first, s.id, case when s.file_id = root_file then 0 when exists (select 1 from imp_v i where i.file_id = root_file and i.resolved_file_id = s.file_id) then 1 else 2 end as preference
+  from u join sym_v s on s.name = used where s.id <> root_id and not (s.file_id = root_file and s.line between start and stop)),
+b as (select root_id, used, first, id, preference, row_number() over (partition by root_id, used order by preference, id) as k from c),
+n as (select root_id, row_number() over (partition by root_id order by first, used) as ord, id, used as name, preference from b where k = 1)
+select * from n where ord <= 20""")
+def slice_bodies(spark, d):
+    return source.slices(_roots(spark, d), V.symbols(spark, d), V.occurrences(spark, d), V.imports(spark, d))
+
+
+@query("""
+select id, file_id, case when file_id = 17 then 0 when file_id in (select resolved_file_id from imp_v where file_id = 17) then 1 else 2 end as preference
+from sym_v where name = 'The' order by preference, id limit 1""")
+def definition_at(spark, d):
+    return source.definition_at(V.symbols(spark, d), V.imports(spark, d), 17, "The").select("id", "file_id", "preference")
+
+
+@query("""
+, l as (select f.language, f.status, f.id, (select count(*) from sym_v s where s.file_id = f.id) as n from files_v f)
+select 'status' as section, status as key, count(*) as value from l group by 2 union all select 'files', language, count(*) from l group by 2
+union all select 'symbols', language, sum(n)::bigint from l group by 2 union all select 'total', 'files', count(*) from l union all select 'total', 'symbols', sum(n)::bigint from l""")
+def stats(spark, d):
+    return source.stats(V.files(spark, d), V.symbols(spark, d))

@@ -1,3 +1,6 @@
+import subprocess
+
+from quarry.operators import source
 from quarry.sources import extract
 
 TS = '''import React, { useState as state, type FC } from "react";
@@ -79,3 +82,20 @@ def test_extract_on_executors(spark):
     got = extract.extract(df).cache()
     assert {r.file_id: (r.error or "")[:11] for r in got.select("file_id", "error").collect()} == {1: "SyntaxError", 2: "", 3: "no extracto", 4: "", 5: "no extracto"}
     assert extract.rows(got, "symbols").where("name = 'Circle' and kind = 'class'").count() == 1
+
+
+def test_revisions_and_batch(spark, tmp_path):
+    git = ["git", "-C", str(tmp_path), "-c", "user.name=a", "-c", "user.email=a@b"]
+    subprocess.run([*git, "init", "-q"], check=True)
+    for text in ("def f(a): pass\ndef g(): pass\n", "def f(a, b): pass\ndef h(): pass\n"):
+        (tmp_path / "a.py").write_text(text)
+        subprocess.run([*git, "add", "-A"], check=True)
+        subprocess.run([*git, "commit", "-qm", "x"], check=True)
+    got = {(r.path, r.name, r.change) for r in source.diff_outline(spark, str(tmp_path), "HEAD~1").collect()}
+    assert got == {("a.py", "f", "modified"), ("a.py", "g", "removed"), ("a.py", "h", "added")}
+    files = spark.createDataFrame([(1, "a.py")], "id long, path string")
+    symbols = spark.createDataFrame([(1, 2, "h", "function"), (1, 1, "f", "function")], "file_id long, line int, name string, kind string")
+    row = source.changed(spark, str(tmp_path), files, symbols).first()
+    assert (row.path, row.status, [s.name for s in row.symbols]) == ("a.py", "M", ["f", "h"])
+    done = source.batch([("one", lambda: files), ("two", lambda: files.select("none"))])
+    assert [x["ok"] for x in done] == [True, False] and source.identifier_at("a = fooBar(b)", 8) == "fooBar" and source.identifier_at("+") is None
