@@ -5,6 +5,8 @@ Events have hook_event, tool_name, session_id, tool_input (JSON text) and tool_r
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,10 +86,14 @@ def _touched(root: str) -> Column:
     return F.when(F.lower(p).startswith(top.lower()), F.substr(p, F.lit(len(top) + 1))).otherwise(p)
 
 
+def _let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once; repeated in place it would outgrow generated code."""
+    return F.get(F.transform(F.array(x), f), F.lit(0))
+
+
 def read_on_structured(root: str = "/") -> Column:
-    kind = classify_path(_touched(root))["kind"]
-    said = F.when(kind.isin(STRUCTURED), _say("ask", F.concat(F.lit("query its values instead: "), kind))).when(kind.isin(LOCKS), _say("ask", F.concat(F.lit("list its dependencies instead: "), kind)))
-    return F.when((F.col("tool_name") == "Read") & (_input("file_path") != ""), said)
+    said = lambda k: F.when(k.isin(STRUCTURED), _say("ask", F.concat(F.lit("query its values instead: "), k))).when(k.isin(LOCKS), _say("ask", F.concat(F.lit("list its dependencies instead: "), k)))
+    return F.when((F.col("tool_name") == "Read") & (_input("file_path") != ""), _let(classify_path(_touched(root))["kind"], said))
 
 
 def read_on_source(root: str = "/") -> Column:
@@ -103,8 +109,9 @@ def default_rules(root: str = "/", tool_prefix: str = "quarry_") -> dict[str, Co
 
 def dispatch(events: DataFrame, rules: dict[str, Column]) -> DataFrame:
     """Events with rule, decision, reason and additional_context (never with a denial); none decides: allow, rule null."""
-    named = [F.when(said["decision"].isNotNull() & (said["decision"] != "noop"), F.struct(F.lit(name).alias("rule"), said.alias("s"))) for name, said in rules.items()]
-    e = events.withColumn("__d", F.coalesce(*named))
+    said = F.array(*[F.struct(F.lit(name).alias("rule"), column.alias("s")) for name, column in rules.items()])
+    first = F.get(F.filter(said, lambda x: F.coalesce(x["s"]["decision"], F.lit("noop")) != "noop"), F.lit(0))
+    e = events.withColumn("__d", first)
     context = F.when(F.col("__d.s.decision") != "deny", F.col("__d.s.additional_context"))
     return e.withColumns({"rule": F.col("__d.rule"), "decision": F.coalesce(F.col("__d.s.decision"), F.lit("allow")), "reason": F.col("__d.s.reason"), "additional_context": context}).drop("__d")
 

@@ -63,8 +63,10 @@ def classify_path(path: Column | str, languages: dict[str, list[str]] | None = N
         F.when(low.startswith("tsconfig") & low.endswith(".json"), "tsconfig_json"),
         F.when(workflow, "gha_workflow"),
     )
-    kind = F.coalesce(special, F.when(language.isNotNull(), "source"), _lookup(GENERIC, extension), F.lit("ignored"))
-    return F.when(p.isNotNull(), F.struct(kind.alias("kind"), F.when(special.isNull(), language).alias("language")))
+    found = F.array(F.struct(special.alias("special"), language.alias("language"), _lookup(GENERIC, extension).alias("generic")))
+    kind = lambda x: F.coalesce(x["special"], F.when(x["language"].isNotNull(), "source"), x["generic"], F.lit("ignored"))
+    both = F.transform(found, lambda x: F.struct(kind(x).alias("kind"), F.when(x["special"].isNull(), x["language"]).alias("language")))
+    return F.when(p.isNotNull(), F.get(both, F.lit(0)))
 
 
 def minified(text: Column | str, size: Column | str) -> Column:
