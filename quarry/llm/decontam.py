@@ -11,6 +11,10 @@ bit of (walk, j, word) says so, which turns edit distance into Hamming distance.
 embedding; the number of tables follows from the target recall at agreement AGREE. Windows that meet an item in a table are
 verified exactly by bit-parallel dynamic programming over the passage with its margins.
 
+Agreement falls as items grow and by the kind of edits, so it is measured for each item size at the most edits allowed
+(`recall`: words changed, dropped and added, scattered and in one block). Sizes at which the tables miss the target recall
+don't use them: there every passage that passes the exact bounds is verified.
+
 The benchmark is taken in blocks of at most BLOCK_CHARS characters; each block goes to the executors and is run against all
 documents, so any benchmark size works.
 
@@ -35,7 +39,7 @@ MAX_SHARE, MIN_WORDS = 0.2, 5
 TARGET_RECALL, AGREE, SAMPLES, WALKS = 0.999, 0.35, 2, 9
 TABLES = math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - AGREE**SAMPLES) / WALKS)
 BLOCK_CHARS = 4_000_000
-RARE, CHUNK = 0.02, 2048
+RARE, LEAST_KEPT, CHUNK = 0.02, 3, 2048
 _ABC = Alphabet(fold=True, punctuation=True)
 _FILTER_BITS = 20
 _PAD = np.uint64(0x5851F42D4C957F2D)
@@ -70,6 +74,52 @@ def keys(emitted: np.ndarray, stood: np.ndarray, size: int, walk: int) -> Iterat
         yield key
 
 
+def _edited(items: np.ndarray, k: int, rng: np.random.Generator) -> list[np.ndarray]:
+    """Items (rows of words) after k edits of each kind, with other words behind them; as wide as an item."""
+    n, size = items.shape
+    new = lambda width: rng.integers(1, 1 << 63, (n, width), dtype=np.uint64)
+    out = []
+
+    def add(keep: np.ndarray, extra: np.ndarray, swap: np.ndarray) -> None:
+        """Drop words that aren't kept, put a word before those of ``extra``, change those of ``swap``."""
+        body = np.where(swap, new(size), items)
+        both = np.stack([new(size), body], axis=2).reshape(n, 2 * size)
+        there = np.stack([extra, keep], axis=2).reshape(n, 2 * size)
+        order = np.argsort(~there, axis=1, kind="stable")[:, :size]
+        out.append(np.where(np.take_along_axis(there, order, 1), np.take_along_axis(both, order, 1), new(size)))
+
+    none = np.zeros((n, size), bool)
+    drawn = np.argsort(rng.random((n, size)), axis=1).argsort(axis=1)
+    some, kind = drawn < k, drawn % 3
+    add(~some, none, none)
+    add(~none, some, none)
+    add(~none, none, some)
+    add(~(some & (kind == 0)), some & (kind == 1), some & (kind == 2))
+    for at in (0, (size - k) // 2):
+        block = none.copy()
+        block[:, at : at + k] = True
+        add(~block, none, none)
+        if at:
+            add(~none, block, none)
+            add(~none, none, block)
+    return out
+
+
+def recall(size: int, k: int, trials: int = 200) -> float:
+    """Measured chance that the tables find an item of so many words after k edits, of the kind that they find least."""
+    rng = np.random.default_rng(size)
+    items = rng.integers(1, 1 << 63, (trials, size), dtype=np.uint64)
+    kinds = np.stack(_edited(items, k, rng))
+    missed = np.ones(kinds.shape[:2])
+    for walk in range(WALKS):
+        own, _ = embed(items, size, walk)
+        rows, _ = embed(kinds.reshape(-1, size), size, walk)
+        # beyond the item's end both are padding only where both stand there; counted as different
+        agree = (rows.reshape(2 * size, *missed.shape) == own[:, None, :]).mean(axis=0)
+        missed *= (1 - agree**SAMPLES) ** TABLES
+    return float(1 - missed.mean(axis=1).max())
+
+
 def infix_distance(pattern: list[int], text: list[int]) -> tuple[int, int]:
     """Least edit distance of pattern to any part of text, and the end of the first best part (Myers' bit vectors)."""
     m = len(pattern)
@@ -115,12 +165,14 @@ class Index:
         # rare: in few items; any choice keeps the bounds exact
         flat = [(size, y, np.searchsorted(self.vocabulary, np.unique(h))) for size, xs in self.sizes.items() for y, (_, h) in enumerate(xs)]
         n = np.bincount(np.concatenate([v for *_, v in flat]), minlength=len(self.vocabulary)) if flat else np.zeros(0, np.int64)
-        self.rare = n <= max(2, RARE * len(used))
+        rare = n <= max(2, RARE * len(used))
         self.size = np.array([size for size, *_ in flat], np.int64)
+        # where an item has too few rare words, its next rarest serve as such
+        chosen = [v[np.argsort(n[v], kind="stable")][: max(int(rare[v].sum()), int(share * size) + LEAST_KEPT)] for size, _, v in flat]
         # different rare words that a match of each item keeps; where that is none, the item is looked up everywhere
-        self.keeps = np.array([self.rare[v].sum() - int(share * size) for size, _, v in flat], np.int64)
+        self.keeps = np.array([len(v) - int(share * size) for (size, *_), v in zip(flat, chosen)], np.int64)
         self.everywhere = sorted({size for size, keeps in zip(self.size.tolist(), self.keeps.tolist()) if keeps < 1})
-        pairs = np.concatenate([np.column_stack([v[self.rare[v]], np.full(int(self.rare[v].sum()), i)]) for i, (*_, v) in enumerate(flat)]) if flat else np.zeros((0, 2), np.int64)
+        pairs = np.concatenate([np.column_stack([v, np.full(len(v), i)]) for i, v in enumerate(chosen)]) if flat else np.zeros((0, 2), np.int64)
         pairs = pairs[np.argsort(pairs[:, 0], kind="stable")]
         self.items_of = pairs[:, 1]
         self.first_of = np.searchsorted(pairs[:, 0], np.arange(len(self.vocabulary) + 1))
@@ -128,7 +180,10 @@ class Index:
         self.filter[(self.vocabulary >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
         self.longest = max(self.sizes, default=0)
         self.sets = {size: [frozenset(h.tolist()) for _, h in xs] for size, xs in self.sizes.items()}
-        self.tables = {size: [[self._table(k) for k in keys(*embed(np.stack([h for _, h in xs]), size, walk), size, walk)] for walk in range(WALKS)] for size, xs in self.sizes.items()}
+        self.nth = [y for _, y, _ in flat]
+        self.words = [np.unique(self.sizes[size][y][1]) for size, y, _ in flat]
+        self.whole = {size for size in self.sizes if recall(size, int(share * size)) < TARGET_RECALL}
+        self.tables = {size: [[self._table(k) for k in keys(*embed(np.stack([h for _, h in xs]), size, walk), size, walk)] for walk in range(WALKS)] for size, xs in self.sizes.items() if size not in self.whole}
 
     @staticmethod
     def _table(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -144,10 +199,9 @@ class Index:
             out[some] = np.where(self.vocabulary[at] == h[some], at, -1)
         return out
 
-    def _close(self, number: np.ndarray, w) -> list[tuple[int, int]]:
-        """(item, position) such that enough different rare words of the item lie from there on, within its size and k."""
+    def _close(self, number: np.ndarray, w) -> tuple[np.ndarray, np.ndarray]:
+        """Items and positions such that enough different rare words of the item lie from there on, within its size and k."""
         at = np.flatnonzero(number >= 0)
-        at = at[self.rare[number[at]]]
         times = self.first_of[number[at] + 1] - self.first_of[number[at]]
         pos = np.repeat(at, times)
         nth = np.arange(len(pos)) - np.repeat(np.cumsum(times) - times, times)
@@ -155,7 +209,7 @@ class Index:
         order = np.lexsort([pos, item])
         pos, item = pos[order], item[order]
         if not len(pos):
-            return []
+            return item, pos
         span = len(number) + 1
         key = item * span + pos
         size = self.size[item]
@@ -168,7 +222,21 @@ class Index:
         here = np.arange(len(pos))
         keeps = self.keeps[item]
         ok = (keeps > 0) & (last - here >= keeps) & (changes[last] - changes[here + 1] + 1 >= keeps)
-        return list(zip(item[ok].tolist(), pos[ok].tolist()))
+        return item[ok], pos[ok]
+
+    def _passages(self, item: np.ndarray, pos: np.ndarray, w) -> Iterator[tuple[int, int, int]]:
+        """(item, first word, word after the last): joined ranges that hold all passages around close positions."""
+        if len(pos):
+            reach = self.size[item] + (self.share * self.size[item]).astype(np.int64)
+            lo = np.maximum(pos - reach + 1, w.first[w.doc[pos]])
+            hi = np.minimum(pos + reach, w.first[w.doc[pos] + 1])
+            new = np.ones(len(pos), bool)
+            new[1:] = (item[1:] != item[:-1]) | (lo[1:] >= hi[:-1])
+            at = np.flatnonzero(new)
+            yield from zip(item[at].tolist(), lo[at].tolist(), hi[np.append(at[1:], len(pos)) - 1].tolist())
+        for i in np.flatnonzero(self.keeps < 1).tolist():
+            if int(self.size[i]) in self.whole:
+                yield from ((i, int(a), int(b)) for a, b in zip(w.first[:-1], w.first[1:]) if a < b)
 
     def hits(self, t: Texts) -> list[tuple[int, int, int, int, int, int]]:
         """(row, item, distance, item's words, first word, word after the last), the best of each row and item."""
@@ -179,8 +247,10 @@ class Index:
         number = self.known(w.hash)
         ahead = np.concatenate([[0], np.cumsum(number >= 0)])
         stop = w.first[1:][w.doc]
-        spots: dict[int, list[np.ndarray]] = {size: [np.flatnonzero(number >= 0)] for size in self.everywhere}
-        for item, p in self._close(number, w):
+        spots: dict[int, list[np.ndarray]] = {size: [np.flatnonzero(number >= 0)] for size in self.everywhere if size not in self.whole}
+        close, near = self._close(number, w)
+        whole = np.isin(self.size[close], list(self.whole))
+        for item, p in zip(close[~whole].tolist(), near[~whole].tolist()):
             size = int(self.size[item])
             if size not in self.everywhere:
                 spots.setdefault(size, []).append(np.arange(max(int(w.first[w.doc[p]]), p - size - int(self.share * size) + 1), p + 1))
@@ -197,8 +267,32 @@ class Index:
             every = np.unique(np.concatenate(list(starts.values())))
             for i in range(0, len(every), CHUNK):
                 self._windows(every[i : i + CHUNK], starts, stop, w, best)
+        for item, lo, hi in self._passages(close[whole], near[whole], w):
+            self._search(item, lo, hi, w, best)
         return [(d, item, *x) for (d, item), x in best.items()]
 
+    def _search(self, i: int, lo: int, hi: int, w, best: dict) -> None:
+        """Verify an item against all words from lo to hi of one text."""
+        size = int(self.size[i])
+        k, mine = int(self.share * size), self.words[i]
+        item, h = self.sizes[size][self.nth[i]]
+        text = w.hash[lo:hi]
+        # a passage has at most size + k words, of which at least size - k are the item's
+        held = np.concatenate([[0], np.cumsum(mine[np.minimum(np.searchsorted(mine, text), len(mine) - 1)] == text)])
+        last = np.minimum(np.arange(len(text)) + size + k, len(text))
+        if (held[last] - held[:-1]).max(initial=0) >= size - k:
+            self._measure(item, h, k, lo, text.tolist(), w, int(w.doc[lo]), best)
+
+    @staticmethod
+    def _measure(item: int, h: np.ndarray, k: int, lo: int, text: list[int], w, doc: int, best: dict) -> None:
+        d, e = infix_distance(h.tolist(), text)
+        if d <= k:
+            _, b = infix_distance(h[::-1].tolist(), text[:e][::-1])
+            first = int(w.first[doc])
+            got = (d, len(h), lo + e - b - first, lo + e - first)
+            if (doc, item) not in best or got < best[(doc, item)]:
+                best[(doc, item)] = got
+
     def _windows(self, at: np.ndarray, starts: dict, stop: np.ndarray, w, best: dict) -> None:
         """Look up all windows that start at ``at``."""
         cols = at[:, None] + np.arange(self.longest)
@@ -230,14 +324,7 @@ class Index:
             if sum(v in mine for v in rows[x, :size].tolist()) < size - k:
                 continue
             lo = max(int(w.first[doc]), start - k)
-            text = w.hash[lo : min(start + size + k, int(stop[start]))].tolist()
-            d, e = infix_distance(h.tolist(), text)
-            if d <= k:
-                _, b = infix_distance(h[::-1].tolist(), text[:e][::-1])
-                first = int(w.first[doc])
-                got = (d, size, lo + e - b - first, lo + e - first)
-                if (doc, item) not in best or got < best[(doc, item)]:
-                    best[(doc, item)] = got
+            self._measure(item, h, k, lo, w.hash[lo : min(start + size + k, int(stop[start]))].tolist(), w, doc, best)
 
 
 def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:

@@ -294,6 +294,45 @@ def test_decontamination(spark, none):
     assert decontam.matches(df, bench.limit(0)).count() == 0 and decontam.matches(none, bench).count() == 0
 
 
+def shortened(rng, x, kind):
+    """x after floor(0.2 * len) edits: words dropped at random, the first or middle ones dropped, changed, added, or each in turn."""
+    k = int(0.2 * len(x))
+    if kind in ("front", "middle"):
+        at = 0 if kind == "front" else len(x) // 2
+        return x[:at] + x[at + k :]
+    picked = set(rng.sample(range(len(x)), k))
+    out = []
+    for i, v in enumerate(x):
+        how = ("drop", "change", "add")[i % 3] if kind == "mixed" else kind
+        out += [v] if i not in picked else {"drop": [], "change": ["zz"], "add": ["zz", v]}[how]
+    return out
+
+
+def test_decontamination_long_items():
+    rng = random.Random(18)
+    # words of a small vocabulary, so that few are rare, and words of their own
+    items = [(i, text_of(rng, n) if i % 2 else " ".join(f"w{rng.randrange(4000)}" for _ in range(n))) for i, n in enumerate([5, 8, 12, 20, 40, 60, 61, 90, 120, 121, 180, 240, 241, 300])]
+    items.append((14, "buffalo " * 60))
+    index = decontam.Index(items, 0.2)
+    for kind in ("drop", "front", "middle", "change", "add", "mixed"):
+        texts, want = [], {}
+        for i, x in items:
+            for _ in range(5):
+                body = shortened(rng, x.split(), kind)
+                want[(len(texts), i)] = edit_infix(x.split(), body)
+                texts.append(text_of(rng, rng.randint(0, 60)).split() + body + ["end", *text_of(rng, 30).split()])
+        raw = [" ".join(t).encode() for t in texts]
+        batch = pa.RecordBatch.from_arrays([pa.array([x.decode() for x in raw])], ["text"])
+        got = {(h[0], h[1]): h[2] for t in decontam.text_slices([batch]) for h in index.hits(t)}
+        assert all(got.get(k, 99) <= d for k, d in want.items()), kind
+
+
+def test_decontamination_recall():
+    assert decontam.recall(8, 1) >= decontam.TARGET_RECALL > decontam.recall(60, 12) > decontam.recall(240, 48)
+    index = decontam.Index([(1, " ".join(f"w{i}" for i in range(60))), (2, " ".join(f"v{i}" for i in range(8)))], 0.2)
+    assert index.whole == {60} and set(index.tables) == {8}
+
+
 def test_infix_distance():
     rng = random.Random(6)
     for _ in range(300):
