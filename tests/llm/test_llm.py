@@ -350,6 +350,39 @@ def test_lm(spark, none):
     assert lm_score.score(none).count() == 0
 
 
+def test_lm_vocabulary(spark, none, monkeypatch):
+    rng = random.Random(3)
+    # 400 words, more than have a symbol of their own, and words that occur once
+    usual = [f"w{i}" for i in range(400)]
+    rows = [(i, " ".join(rng.choice(usual) for _ in range(150))) for i in range(60)]
+    rows += [(100, " ".join(f"invented{i}" for i in range(150))), (101, None), (None, rows[3][1]), rows[4]]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    counts = Counter(w for _, t in rows for w in (t or "").split())
+    hashed = lambda t: words(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t.encode())]), lm_score._ABC).hash
+    number = dict(zip(map(int, hashed(" ".join(counts))), counts.values()))
+    for share in (1e-6, 0.002, 0.5):  # all words known, some, none
+        monkeypatch.setattr(lm_score, "SHARE", share)
+        staged = lm_score.count_words(df)
+        assert {r.key % (1 << 64): r.n for r in staged.collect()} == number
+        v = lm_score.vocabulary(staged)
+        flat = lm_score.train(df, v.top)
+        monkeypatch.setattr(lm_score, "train", lambda docs, top, flat=flat: flat)
+        got = lm_score.score(df).collect()
+        monkeypatch.undo()
+        assert len(got) == len(rows) and len({r.log_prob for r in got if r.doc_id in (3, None)}) == 1
+        classes, net = {}, lm_score.Network(flat)
+        symbol = dict(zip(number, lm_score.symbols(np.array(list(number), np.uint64), v.top).tolist()))
+        for x, s in symbol.items():
+            classes[s] = classes.get(s, 0) + number[x]
+        by = {r.doc_id: r for r in got}
+        for i in (0, 7, 100):
+            t = rows[i][1] if i < 60 else rows[60][1]
+            target, context, *_ = lm_score.windows(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), v.top)
+            want = net.log_probs(target, context).sum() + sum(np.log(number[x] / classes[symbol[x]]) for x in map(int, hashed(t)))
+            assert abs(by[i].log_prob - want) < 0.01, (share, i, len(v.known), v.least)
+        assert by[100].mean_log_prob < min(by[i].mean_log_prob for i in range(60)) - 2 and by[101].mean_log_prob is None
+
+
 def test_lm_gradient():
     net = lm_score.Network(seed=2)
     rng = np.random.default_rng(0)
