@@ -3,9 +3,10 @@
 A page is cut into text nodes; each has a root-to-leaf path of tags (with class and id tokens). Over all nodes of a path
 are added up: characters, punctuation, nodes, characters in links. Two ratios, characters per node and punctuation per
 node, less the share of links, are smoothed over the sequence of nodes by a Gaussian and fused by their product. Paths
-whose fused mean passes a fraction of the page's deviation are content. The content root is the deepest element that
-holds the bulk of the content paths' weight, or an article, main or role=main element if there is one; the result is
-the text of the root's blocks, without those parts that HTML itself or their naming marks as something else: menus, headers of the page,
+whose fused mean passes a fraction of the page's deviation are content. The content roots are the article, main or role=main
+elements where these together hold the bulk of the content paths' weight, else the deepest element that holds it. The result
+is the text of all blocks with a content path, wherever they stand, and of the roots' other blocks that aren't links
+throughout, without those parts that HTML itself or their naming marks as something else: menus, headers of the page,
 footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by \\n.
@@ -192,27 +193,28 @@ def main_text(page: str) -> str:
         while e is not None:
             below[e] = below.get(e, 0.0) + w
             e = e.parent
-    marked = [e for e in below if e.root]
-    if marked:
-        # the outermost marked elements: one page may hold several articles
-        roots = {e for e in marked if not _inside(e.parent, set(marked))}
-        best = max(below[e] for e in roots)
-        roots = {e for e in roots if below[e] >= BULK * best or e.tag == "main"}
-    else:
+    marked = {e for e in below if e.root}
+    # the outermost marked elements: one page may hold several articles
+    roots = {e for e in marked if not _inside(e.parent, marked)}
+    if sum(below[e] for e in roots) < BULK * total:
         fit = [e for e, w in below.items() if w >= BULK * total and (e.tag in _BLOCK or e.parent is None)]
         deep = max(fit, key=lambda e: e.depth)
         # a lone block that holds the bulk is the article's body only with its siblings
         if deep.tag in ("p", "h1", "h2", "h3", "li", "blockquote", "pre", "td") and deep.parent is not None:
             deep = deep.parent
         roots = {deep}
-    blocks: list[list[str]] = []
-    last = None
     known: dict[_Element, bool] = {}
-    for x in live:
+    chosen: set[int] = set()
+    for x in some:
         inside = known.get(x.at)
         if inside is None:
             inside = known[x.at] = _inside(x.at, roots)
-        if not inside:
+        if scores[x.at.path] >= cut or inside and not x.at.link:
+            chosen.add(x.block)
+    blocks: list[list[str]] = []
+    last = None
+    for x in live:
+        if x.block not in chosen:
             continue
         if x.block != last:
             blocks.append([])

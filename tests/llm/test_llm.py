@@ -193,6 +193,24 @@ def test_html():
     assert html_extract.main_text(f"<body><nav>x</nav><article><h1>H</h1>{long}</article></body>").count("\n") == 3000
 
 
+def test_html_roots():
+    story = "".join(f"<p>Sentence {i}, which tells part of the story, at some length.</p>" for i in range(8))
+    told = "\n".join(f"Sentence {i}, which tells part of the story, at some length." for i in range(8))
+    # a teaser is no root: the story outside it stays
+    got = html_extract.main_text(f"<body><div class=content><h1>Title</h1>{story}</div><article class=card><p>Teaser, short.</p></article></body>")
+    assert got.startswith("Title\n" + told)
+    # short articles beside a long one stay
+    short = "<article><h2>Second</h2><p>A short piece, complete in itself.</p></article>"
+    assert html_extract.main_text(f"<body><article><h2>First</h2>{story}</article>{short}</body>") == f"First\n{told}\nSecond\nA short piece, complete in itself."
+    # title and lead outside the deepest block with the bulk
+    got = html_extract.main_text(f"<body><div><h1>Title of it</h1><p>The lead, which says what happened.</p><div class=body>{story}</div></div></body>")
+    assert got == f"Title of it\nThe lead, which says what happened.\n{told}"
+    # paths under the threshold: link lists without a telling name
+    links = "<ul>" + "".join(f"<li><a href=x{i}>Go to {i}</a></li>" for i in range(9)) + "</ul>"
+    got = html_extract.main_text(f"<body><article><h1>Title</h1>{story}<div>{links}</div></article></body>")
+    assert got.startswith("Title\n" + told) and "Go to 5" not in got
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>" + html_.escape("a & b") + "</article>", "x"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.url, r.text, r.n_chars) for r in html_extract.extract(pages).collect()) == [(1, "u", "a & b", 5), (2, None, "", 0)]
