@@ -7,7 +7,8 @@ whose fused mean passes a fraction of the page's deviation are content. The cont
 elements where these together hold the bulk of the content paths' weight, else the deepest element that holds it. The result
 is the text of all blocks with a content path, wherever they stand, and of the roots' other blocks that aren't links
 throughout, without those parts that HTML itself or their naming marks as something else: menus, headers of the page,
-footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments.
+footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments. Names of states (has-, with-,
+no-, -open, category-, tag-) mark nothing, nor does the name of an element that holds most of the page's content.
 
 Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by \\n.
 
@@ -45,24 +46,28 @@ _NAMES = re.compile(
     r"|footer|foot|header|masthead|topbar|toolbar|comment|comments|commentlist|disqus|respond|reply|replies|discussion|reactions|related|recommended|recommendations|share|sharing|social|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay"
     r"|subscribe|subscription|newsletter|signup|login|search|searchbox|form|pagination|pager|skip|copyright|legal|disclaimer|hidden|tags|toc)"
 )
+#: Class names that tell of a state, a category or what a page has, by their first or last word.
+_STATE = re.compile(r"(?:has|have|with|without|no|not|non|category|cat|tag|tagged)[^a-zA-Z].*|(?:has|with|without|no)(?=[A-Z]).*|.*(?:[^a-zA-Z](?:open|opened|closed|enabled|disabled|on|off)|(?:Open|Opened|Closed|Enabled|Disabled))", re.S)
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _PUNCT = re.compile("[.,;:!?。，；：！？、…¿¡]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 FRACTION, BULK, SIGMA = 0.1, 0.75, 1.0
+#: A name doesn't drop what holds more than this share of the page's content, unless articles apart from it hold ASIDE of it.
+MOST, ASIDE = 0.5, 0.1
 
 
 class _Element:
-    __slots__ = ("tag", "path", "parent", "depth", "dropped", "link", "root")
+    __slots__ = ("tag", "path", "parent", "depth", "dropped", "named", "link", "root")
 
-    def __init__(self, tag: str, label: str, parent: _Element | None, dropped: bool, root: bool):
-        self.tag, self.parent, self.dropped, self.root = tag, parent, dropped, root
+    def __init__(self, tag: str, label: str, parent: _Element | None, dropped: bool, named: bool, root: bool):
+        self.tag, self.parent, self.dropped, self.named, self.root = tag, parent, dropped, named, root
         self.path = f"{parent.path}/{label}" if parent else label
         self.depth = parent.depth + 1 if parent else 0
         self.link = tag == "a" or bool(parent and parent.link)
 
 
 def _open(tag: str, raw: str, parent: _Element) -> _Element:
-    dropped, names, root = parent.dropped or tag in _DROP, "", tag in ("article", "main")
+    dropped, named, names, root = parent.dropped or tag in _DROP, False, "", tag in ("article", "main")
     if raw and not raw.isspace():
         attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)}
         role = attrs.get("role", "").lower()
@@ -70,14 +75,14 @@ def _open(tag: str, raw: str, parent: _Element) -> _Element:
         names = " ".join(x for x in (attrs.get("class", ""), attrs.get("id", "")) if x)
         if role in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style", "")):
             dropped = True
-        elif names and tag not in ("html", "body", "main") and any(_NAMES.fullmatch(x.lower()) for x in _SPLIT.split(names) if x):
-            dropped = True
+        elif names and tag not in ("html", "body", "main"):
+            named = any(_NAMES.fullmatch(x.lower()) for name in names.split() if not _STATE.fullmatch(name) for x in _SPLIT.split(name) if x)
     if tag == "header":  # a page's header; one inside an article holds its title
         up: _Element | None = parent
         while up and not up.root:
             up = up.parent
         dropped |= up is None
-    return _Element(tag, tag + "".join("." + x for x in names.split()), parent, dropped, root)
+    return _Element(tag, tag + "".join("." + x for x in names.split()), parent, dropped, named, root)
 
 
 class _Node:
@@ -89,7 +94,7 @@ class _Node:
 
 def nodes(page: str) -> list[_Node]:
     """Text nodes in page order, with their element and the number of their block."""
-    top = _Element("", "", None, False, False)
+    top = _Element("", "", None, False, False, False)
     stack, out, block, i, n = [top], [], 0, 0, len(page)
 
     def text(a: int, b: int) -> None:
@@ -174,25 +179,57 @@ def path_scores(found: list[_Node]) -> dict[str, float]:
     return {p: float(mean[k]) for p, k in index.items()}
 
 
-def main_text(page: str) -> str:
-    found = [x for x in nodes(page) if x.text]
-    live = [x for x in found if not x.at.dropped]
-    some = [x for x in live if x.text.strip()]
-    if not some:
-        return ""
+def _weigh(some: list[_Node]) -> tuple[dict[str, float], float, dict[_Element, float]]:
+    """Scores of the paths, their threshold, and the weight of content at and below each element."""
     scores = path_scores(some)
     cut = FRACTION * float(np.std(list(scores.values())))
     own: dict[_Element, float] = {}
     for x in some:
         if scores[x.at.path] >= cut:
             own[x.at] = own.get(x.at, 0.0) + len(x.text.strip()) * (0.1 if x.at.link else 1.0)
-    total = sum(own.values())
-    # weight of content below each element
     below: dict[_Element, float] = {}
     for e, w in own.items():
         while e is not None:
             below[e] = below.get(e, 0.0) + w
             e = e.parent
+    return scores, cut, below
+
+
+def _parts(found: list[_Node]) -> set[_Element]:
+    """Elements that their names mark as something else than content, without those that hold the page's content."""
+    named: set[_Element] = set()
+    for e in {x.at for x in found}:
+        while e is not None:
+            if e.named:
+                named.add(e)
+            e = e.parent
+    if not named:
+        return named
+    _, _, below = _weigh(found)
+    total = max((w for e, w in below.items() if e.parent is None), default=0.0)
+    for part in [e for e in named if below.get(e, 0.0) > MOST * total]:
+        up: set[_Element] = set()
+        at: _Element | None = part
+        while at is not None:
+            up.add(at)
+            at = at.parent
+        apart = {e for e in below if e.root and e not in up and not _inside(e, {part})}
+        if sum(below[e] for e in apart if not _inside(e.parent, apart)) < ASIDE * total:
+            named.discard(part)
+    return named
+
+
+def main_text(page: str) -> str:
+    live = [x for x in nodes(page) if x.text and not x.at.dropped]
+    parts = _parts([x for x in live if x.text.strip()])
+    if parts:
+        away = {e: _inside(e, parts) for e in {x.at for x in live}}
+        live = [x for x in live if not away[x.at]]
+    some = [x for x in live if x.text.strip()]
+    if not some:
+        return ""
+    scores, cut, below = _weigh(some)
+    total = max(w for e, w in below.items() if e.parent is None)
     marked = {e for e in below if e.root}
     # the outermost marked elements: one page may hold several articles
     roots = {e for e in marked if not _inside(e.parent, marked)}

@@ -211,6 +211,18 @@ def test_html_roots():
     assert got.startswith("Title\n" + told) and "Go to 5" not in got
 
 
+def test_html_names():
+    story = "".join(f"<p>Sentence {i}, which tells part of the story, at some length.</p>" for i in range(8))
+    told = "Title\n" + "\n".join(f"Sentence {i}, which tells part of the story, at some length." for i in range(8))
+    ad = "<div class=ad><p>Buy it, now. Really.</p></div><div class='menu-list'><p>Home, and more.</p></div>"
+    for tag, names in [("div", "layout has-sidebar"), ("div", "with-sidebar"), ("article", "post comments-open"), ("article", "post category-legal tag-search"), ("div", "no-ads"), ("div", "hasSidebar"), ("div", "sidebar-left layout"), ("article", "promo")]:
+        assert html_extract.main_text(f"<body><{tag} class='{names}'><h1>Title</h1>{story}{ad}</{tag}></body>") == told, names
+    # small elements with names of states beside the story, and long comments apart from the article
+    assert html_extract.main_text(f"<body><div><h1>Title</h1>{story}</div><div class=no-ads><p>More of it, at the end.</p></div></body>") == told + "\nMore of it, at the end."
+    comments = "<section class=comments>" + "<p>I liked it, thanks. A long reply, by a reader, of some length.</p>" * 40 + "</section>"
+    assert html_extract.main_text(f"<body><main><article><h1>Title</h1>{story}</article>{comments}</main></body>") == told
+
+
 def test_html_table(spark):
     pages = spark.createDataFrame([(1, "u", "<article><p>" + html_.escape("a & b") + "</article>", "x"), (2, None, None, "y")], "page_id long, url string, html string, text string")
     assert sorted((r.page_id, r.url, r.text, r.n_chars) for r in html_extract.extract(pages).collect()) == [(1, "u", "a & b", 5), (2, None, "", 0)]
