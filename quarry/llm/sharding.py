@@ -3,8 +3,11 @@
 Documents with equal texts are linked. Every document starts in a shard drawn by digest; in each round a hub per group of
 equal texts counts its members by shard, a join brings the counts to the members, and each wants the shard that holds
 most of them (ties by a digest of group and shard, so that a group agrees). Moves into a shard are admitted up to its free
-capacity: a group that fits moves whole, of larger ones as many members as fit. Documents without links fill what is
-left; so all shards end with counts at most one apart (law ``rows``), and only groups that don't fit are cut.
+capacity: a group that fits moves whole, of larger ones as many members as fit. What the rounds leave cut though it would
+fit a shard is then packed whole, largest first, into the room that whole groups leave: members of groups over one shard's
+size yield their places, as these are cut in any case. Where that doesn't suffice, all groups are packed anew. Documents
+without links fill what is left; so all shards end with counts at most one apart (law ``rows``), and only groups over a
+shard's size are cut, or such that find no shard with room when packed largest first.
 
 Ranks, for the fill and for slots, come from counts by digest prefix (`hash_rank`); no task sorts a shard.
 
@@ -60,6 +63,45 @@ def propagate(members: DataFrame, shards: int, capacity: int) -> DataFrame:
     return cur
 
 
+def _fill(count: dict[int, int], free: list[int]) -> tuple[list[tuple[int, int, int, int]], bool]:
+    """Largest first into the freest shards: (size, shard, from, to) by rank of the groups of a size, and if all fit."""
+    free, out, every = list(free), [], True
+    for size in sorted(count, reverse=True):
+        done = 0
+        for s in sorted(range(len(free)), key=lambda s: (-free[s], s)):
+            some = min(count[size] - done, max(0, free[s]) // size)
+            if some:
+                out.append((size, s, done, done + some))
+                free[s] -= some * size
+                done += some
+        every &= done == count[size]
+    return out, every
+
+
+def pack(members: DataFrame, shards: int, capacity: int, rows: int) -> DataFrame:
+    """members(node, hub, shard) → (node, shard, whole): groups of up to capacity in one shard each, as far as these have room.
+
+    The driver sees how many groups there are of each size, at most sqrt(2 * rows) numbers.
+    """
+    spark = members.sparkSession
+    groups = stage(members.groupBy("hub").agg(F.count("*").alias("n"), F.min("shard").alias("least"), F.max("shard").alias("most")).where(F.col("n") <= capacity), "shard_groups")
+    kept = F.col("least") == F.col("most")
+    load = {r["least"]: r["n"] for r in groups.where(kept).groupBy("least").agg(F.sum("n").alias("n")).collect()}
+    sizes = lambda df: {r["n"]: r["count"] for r in df.groupBy("n").count().collect()}
+    free = [capacity - load.get(s, 0) for s in range(shards)]
+    ranges, fits = _fill(sizes(groups.where(~kept)), free)
+    if not fits or min(free) < 0:
+        anew = _fill(sizes(groups), [capacity] * shards)
+        # whole groups keep their shards unless these are overfull or packing anew places all
+        if anew[1] or min(free) < 0:
+            kept, ranges = F.lit(False), anew[0]
+    where = spark.createDataFrame(ranges, "size long, to int, low long, high long")
+    ranked = hash_rank(groups.where(~kept).select("hub", "n"), ["n"], ["hub"], rows)
+    to = ranked.join(F.broadcast(where), (F.col("n") == F.col("size")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).select("hub", "to")
+    to = stage(to.union(groups.where(kept).select("hub", F.col("least").alias("to"))), "shard_packed")
+    return members.join(to, "hub", "left").select("node", F.coalesce("to", "shard").alias("shard"), F.col("to").isNotNull().alias("whole"))
+
+
 def layout(docs: DataFrame, shards: int = 8, seed: int = 5) -> DataFrame:
     """h (digest of the row), doc_id, size, text_crc32, shard, slot for every row of docs."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
@@ -73,11 +115,16 @@ def layout(docs: DataFrame, shards: int = 8, seed: int = 5) -> DataFrame:
     # a repeated row is a node of its own
     nodes = stage(linked.withColumn("node", F.concat_ws(":", "h", F.row_number().over(Window.partitionBy("h").orderBy("size")).cast("string"))), "shard_linked")
     moved = propagate(stage(nodes.select("node", "hub", start.alias("shard")), "shard_start"), shards, min(quota) if n else 0)
-    placed = nodes.join(moved.select("node", "shard"), "node").select("h", "doc_id", "size", "text_crc32", "shard")
-    placed = stage(hash_rank(placed, ["shard"], ["h"], n).withColumnRenamed("rank", "slot"), "shard_placed")
-    fits = F.lit(False)
+    moved = pack(moved, shards, min(quota) if n else 0, n)
+    placed = nodes.join(moved, "node").select("h", "doc_id", "size", "text_crc32", "shard", "whole")
+    placed = stage(hash_rank(placed, ["shard", "whole"], ["h"], n).withColumnRenamed("rank", "slot"), "shard_placed")
+    whole = {r["shard"]: r["n"] for r in placed.where("whole").groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    # members of cut groups come after those of whole ones
+    after, fits = F.lit(0), F.lit(False)
     for s in range(shards):
+        after = F.when(F.col("shard") == s, F.lit(whole.get(s, 0))).otherwise(after)
         fits = F.when(F.col("shard") == s, F.col("slot") < quota[s]).otherwise(fits)
+    placed = placed.withColumn("slot", F.col("slot") + F.when(F.col("whole"), 0).otherwise(after)).drop("whole")
     held = {r["shard"]: r["n"] for r in placed.where(fits).groupBy("shard").agg(F.count("*").alias("n")).collect()}
     single = base.join(several, "hub", "left_anti").select("h", "doc_id", "size", "text_crc32")
     pool = hash_rank(single.union(placed.where(~fits).select(*single.columns)), [], ["h"], n)

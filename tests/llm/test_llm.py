@@ -161,6 +161,26 @@ def test_sharding(spark, docs, none):
     assert full.count() == len(corpus()) and full.columns == [*docs.columns, "shard", "slot"]
 
 
+def test_sharding_beside_a_hot_group(spark):
+    # a third of all rows has one text; pairs and larger groups stay whole beside it
+    texts = ["hot"] * 600 + [f"pair {i}" for i in range(250) for _ in range(2)] + [f"five {i}" for i in range(40) for _ in range(5)] + ["hundred"] * 150 + [f"single {i}" for i in range(350)]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    rows = sharding.shard_table(df).collect()
+    assert sorted(r.doc_id for r in rows) == list(range(len(texts)))
+    counts = Counter(r.shard for r in rows)
+    assert len(counts) == 8 and max(counts.values()) - min(counts.values()) <= 1
+    assert len({(r.shard, r.slot) for r in rows}) == len(rows) and all(0 <= r.slot < counts[r.shard] for r in rows)
+    where = {}
+    for r in rows:
+        where.setdefault(texts[r.doc_id], set()).add(r.shard)
+    assert [t for t, x in where.items() if len(x) > 1] == ["hot"]
+
+
+def test_sharding_fill():
+    assert sharding._fill({5: 2, 3: 1, 2: 3}, [9, 10]) == ([(5, 1, 0, 2), (3, 0, 0, 1), (2, 0, 0, 3)], True)
+    assert sharding._fill({7: 3}, [9, 9]) == ([(7, 0, 0, 1), (7, 1, 1, 2)], False)
+
+
 def test_quality_rules(spark, none):
     rng = random.Random(9)
     good = [(i, ". ".join(text_of(rng, 12).capitalize() for _ in range(12)) + ".", "en") for i in range(80)]
