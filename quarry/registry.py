@@ -280,6 +280,17 @@ def resolve_paths(spark, d):
     return graph.resolve_paths(e.select("file_id", source.alias("source"), "line"), f.withColumn("path", F.replace("path", F.lit(".txt"), F.lit(".ts"))))
 
 
+@query()
+def resolve_paths_all(spark, d):
+    """resolve_paths over the symbols of all lines, with all files as targets."""
+    f = V.files(spark, d)
+    g = f.select(F.col("id").alias("g_id"), F.split("path", "/").alias("p"))
+    s = V.symbols(spark, d).crossJoin(F.broadcast(f.agg((F.max("id") + 1).alias("ids"))))
+    e = s.join(g, (F.col("file_id") * 7 + 3) % F.col("ids") == F.col("g_id"))
+    source = F.concat(F.lit("../"), F.col("p")[1], F.lit("/"), F.replace(F.col("p")[2], F.lit(".txt"), F.lit("")), F.when(F.col("file_id") % 2 == 0, ".js").otherwise(""))
+    return graph.resolve_paths(e.select("file_id", source.alias("source"), "line"), f.withColumn("path", F.replace("path", F.lit(".txt"), F.lit(".ts"))))
+
+
 @query("""select r.id, r.file_id, r.target_name, coalesce(n.t_id, m.t_id) as target_id
 from (select id, file_id, name as target_name from sym_v where line % 3 = 1) r
 left join (select file_id, name, min(id) as t_id from sym_v where kind in ('class', 'interface', 'type') and scope is null group by 1, 2) n on n.file_id = r.file_id and n.name = r.target_name
@@ -292,6 +303,13 @@ def resolve_relations(spark, d):
     return graph.resolve_relations(r, s, V.imports(spark, d))
 
 
+@query()
+def resolve_relations_all(spark, d):
+    """resolve_relations with every symbol as a relation."""
+    s = V.symbols(spark, d)
+    return graph.resolve_relations(s.select("id", "file_id", F.col("name").alias("target_name")), s, V.imports(spark, d))
+
+
 # --- health ------------------------------------------------------------------------------------------------------------
 
 _UNUSED = """
@@ -415,6 +433,14 @@ def overlay_occurrences(spark, d):
     return overlay.merge_children(o, f, o.where("file_id % 10 = 0 and file_id > 0 and line <= 2"), c, x).groupBy("file_id").agg(F.count("*").alias("n"))
 
 
+@query()
+def overlay_occurrences_all(spark, d):
+    """overlay_occurrences with all lines of the changed files."""
+    f, c, x = _delta(spark, d)
+    o = V.occurrences(spark, d)
+    return overlay.merge_children(o, f, o.where("file_id % 10 = 0 and file_id > 0"), c, x).groupBy("file_id").agg(F.count("*").alias("n"))
+
+
 @query("""select file_id, line, case when resolved_file_id % 10 = 0 and resolved_file_id > 0 then -resolved_file_id when resolved_file_id % 17 = 0 and resolved_file_id >= 0 then null else resolved_file_id end as resolved_file_id from imp_v""")
 def overlay_remap(spark, d):
     f, c, x = _delta(spark, d)
