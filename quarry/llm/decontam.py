@@ -18,7 +18,8 @@ don't use them: there every passage that passes the exact bounds is verified.
 The benchmark is taken in blocks of at most BLOCK_CHARS characters; each block goes to the executors and is run against all
 documents, so any benchmark size works.
 
-Edge cases: null texts and null items count as empty; items of fewer than MIN_WORDS words are skipped, as common phrases;
+Edge cases: null texts and null items count as empty; items without words are skipped; those of fewer than 1 / MAX_SHARE words
+are found where they occur word for word (a script without spaces is one word from one ASCII separator to the next);
 repeated rows are scored each; items with equal ids are told apart by text and reported once, with the least distance; an
 empty benchmark or table gives an empty result; other columns are ignored (``drop``: pass through).
 """
@@ -35,7 +36,7 @@ from pyspark.sql import functions as F
 
 from quarry.llm._common import Alphabet, Texts, map_arrow, mix64, text_slices, words
 
-MAX_SHARE, MIN_WORDS = 0.2, 5
+MAX_SHARE = 0.2
 TARGET_RECALL, AGREE, SAMPLES, WALKS = 0.999, 0.35, 2, 9
 TABLES = math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - AGREE**SAMPLES) / WALKS)
 BLOCK_CHARS = 4_000_000
@@ -158,7 +159,7 @@ class Index:
         w = words(np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)]), _ABC)
         for k, (item, _) in enumerate(items):
             h = w.hash[w.first[k] : w.first[k + 1]]
-            if len(h) >= MIN_WORDS:
+            if len(h):
                 self.sizes.setdefault(len(h), []).append((item, h))
         used = [h for xs in self.sizes.values() for _, h in xs]
         self.vocabulary = np.unique(np.concatenate(used)) if used else np.zeros(0, np.uint64)
@@ -318,7 +319,7 @@ class Index:
             start = int(at[x])
             doc = int(w.doc[start])
             item, h = items[y]
-            if best.get((doc, item), (k,))[0] == 0:
+            if best.get((doc, item), (1,))[0] == 0:
                 continue
             mine = self.sets[size][y]
             if sum(v in mine for v in rows[x, :size].tolist()) < size - k:

@@ -377,6 +377,14 @@ def test_decontamination_long_items():
         assert all(got.get(k, 99) <= d for k, d in want.items()), kind
 
 
+def test_decontamination_short_items():
+    items = [(1, "zig"), (2, "zig zag"), (3, "One two, THREE four!"), (4, "今天天气很好。"), (5, ""), (6, "..."), (7, "one two three four five")]
+    texts = ["a zig b", "x zig-zag", "zag zig", "so one two three four", "one two three", "他说: 今天天气很好。 ok", "one two three five", ""]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])
+    got = {h[:3] for t in decontam.text_slices([batch]) for h in decontam.Index(items, 0.2).hits(t)}
+    assert got == {(0, 1, 0), (1, 1, 0), (1, 2, 0), (2, 1, 0), (3, 3, 0), (3, 7, 1), (5, 4, 0), (6, 7, 1)}
+
+
 def test_decontamination_recall():
     assert decontam.recall(8, 1) >= decontam.TARGET_RECALL > decontam.recall(60, 12) > decontam.recall(240, 48)
     index = decontam.Index([(1, " ".join(f"w{i}" for i in range(60))), (2, " ".join(f"v{i}" for i in range(8)))], 0.2)
