@@ -20,10 +20,12 @@ _OWN: dict[str, str] = {}
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, a temporary one of this process (tests)."""
+    """The folder all executors share: ``spark.checkpoint.dir``; where that is unset, in local mode, a temporary one of this process."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if base:
         return f"{base.rstrip('/')}/quarry-{spark.sparkContext.applicationId}"
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _OWN:
         _OWN["dir"] = tempfile.mkdtemp(prefix="quarry-")
         atexit.register(shutil.rmtree, _OWN["dir"], True)
@@ -55,6 +57,25 @@ def map_arrow(df: DataFrame, f, schema) -> DataFrame:
     return df.mapInArrow(f, schema)
 
 
+def packed(df: DataFrame, *names: str) -> DataFrame:
+    """df's rows whole, as ``row``, beside copies of some columns: no other name of df can clash with those to come."""
+    return df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), *names)
+
+
+#: A key with more than this share of the rows is hot; so there are at most 1 / HOT of them.
+HOT = 1e-4
+
+
+def join_one(left: DataFrame, right: DataFrame, key: str, weight: str, rows: int) -> DataFrame:
+    """Left join on key with right, which has one row per key and tells, as ``weight``, how many of left's ``rows`` have it.
+
+    The rows of hot keys meet theirs by a broadcast of at most 1 / HOT rows, so that none of them loads one task.
+    """
+    hot = F.col(weight) > HOT * rows
+    few = right.where(hot).drop(weight)
+    return left.join(F.broadcast(few), key).union(left.join(F.broadcast(few.select(key)), key, "left_anti").join(right.where(~hot).drop(weight), key, "left"))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

@@ -4,17 +4,19 @@ Definition. A text's words are the runs of ``[^\\x20\\x09-\\x0D]`` with A-Z lowe
 ``width``-word shingles; a text with fewer words has one, its whole word sequence; null and empty texts have none and are
 linked with nothing. Two documents are linked if 100 * |intersection| >= percent * |union|.
 
-Plan. Equal texts are one node, named by the MD5 of the text, so copies cost one row each and no pairs. Nodes that share
-a band of their signature are compared. A bucket with many nodes is cut into blocks, and every pair of blocks is a task
-of its own; a task compares only nodes that no earlier link has joined, and returns a spanning forest of the links that
-it confirms, so neither rows out nor memory grow with the square of a bucket. The bands go in chunks: links of one
-chunk are merged by large-star and small-star before the next, which then skips buckets that lie in one component.
+Plan. Equal texts are one node, named by the MD5 of the text, so copies cost one row each and no pairs; a node keeps its
+signature. Nodes that share a band of it are a bucket. First every node is verified against one other only, the least head
+(first node) of its buckets; that joins most copies at the price of one text a node. Then buckets whose nodes lie in
+several components are compared in full, in blocks: a task of a pair of blocks tells by signatures which nodes have a
+partner in another component, and only these nodes' texts follow for the exact comparison, which returns a spanning forest
+of the links that it confirms. So neither rows out nor memory grow with the square of a bucket. The bands go in chunks:
+links are merged by large-star and small-star before the next, which then skips buckets that lie in one component.
 
 Recall: with 20 bands of 4 minima, a pair at similarity 0.85 shares no band with probability (1 - 0.85**4)**20 = 4e-7.
 
 Edge cases: a null doc_id takes part in links but is never a component's id (null if all of its ids are null); repeated
 rows get the same component; rows with equal doc_id and different texts are different nodes; an empty table gives an
-empty result; columns other than doc_id and text are ignored.
+empty result; columns other than doc_id and text are ignored (``keep_one``: pass through, whatever their names).
 """
 
 from __future__ import annotations
@@ -26,13 +28,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import Alphabet, Texts, connected_components, map_arrow, mix64, stage, text_slices, unstage, words
+from quarry.llm._common import Alphabet, Texts, connected_components, join_one, map_arrow, mix64, packed, stage, text_slices, unstage, words
 
 BANDS, ROWS = 20, 4
-#: Bands in each chunk; most links are found in the first.
-CHUNKS = ((0, 4), (4, 10), (10, 20))
-#: A block of a bucket has about so many nodes or shingles at most.
-BLOCK_NODES, BLOCK_SHINGLES = 256, 400_000
+#: Bands in each chunk that is compared in full.
+CHUNKS = ((0, 5), (5, 20))
+#: A block of a bucket has about so many nodes or shingles at most; so many nodes at most meet one copy of their head.
+BLOCK_NODES, BLOCK_SHINGLES, HEAD_NODES = 2048, 4_000_000, 4096
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -40,8 +42,6 @@ _B = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64)
 _ABC = Alphabet(fold=True)
 
 
-
-
 def shingle_sets(t: Texts, width: int) -> Iterator[np.ndarray]:
     """Sorted distinct 64-bit shingle hashes of each row."""
     w = words(t.data, t.off, _ABC)
@@ -75,173 +75,260 @@ def signature(s: np.ndarray) -> np.ndarray:
     return out
 
 
-def bands(sig: np.ndarray) -> np.ndarray:
-    h = np.arange(1, BANDS + 1, dtype=np.uint64)
+def band_keys(sigs: np.ndarray) -> np.ndarray:
+    """A key for each row and band; its last five bits are the band's number."""
+    band = np.arange(BANDS, dtype=np.uint64)
+    h = np.broadcast_to(band + np.uint64(1), (len(sigs), BANDS)).copy()
     for k in range(ROWS):
-        h = mix64(h * np.uint64(0x2545F4914F6CDD1D) + sig.reshape(BANDS, ROWS)[:, k])
-    return h.view(np.int64)
+        h = mix64(h * np.uint64(0x2545F4914F6CDD1D) + sigs.reshape(-1, BANDS, ROWS)[:, :, k])
+    return ((h & ~np.uint64(31)) | band).view(np.int64)
 
 
 def _scan(width: int):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in text_slices(batches):
-            ns, bs = [], []
+            ns, sigs = [], []
             for s in shingle_sets(t, width):
                 ns.append(len(s))
-                bs.append(bands(signature(s)) if len(s) else None)
-            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(0 if b is None else BANDS for b in bs)]), pa.int32()), pa.array(np.concatenate([b for b in bs if b is not None]) if any(b is not None for b in bs) else np.zeros(0, np.int64)))
-            yield pa.RecordBatch.from_arrays([t.rows.column(0), t.rows.column(1), pa.array(ns, pa.int64()), lists], ["doc_id", "h", "n_shingles", "bands"])
+                sigs.append(signature(s).tobytes() if len(s) else None)
+            yield pa.RecordBatch.from_arrays([t.rows.column(0), t.rows.column(1), pa.array(ns, pa.int64()), pa.array(sigs, pa.binary())], ["doc_id", "h", "n_shingles", "sig"])
 
     return run
 
 
-def _sets(width: int):
+def _signatures(column: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint32).reshape(len(column), BANDS * ROWS)
+
+
+def _flat(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(key, id, size): a row for each node and band."""
+    for batch in batches:
+        keys = band_keys(_signatures(batch.column(2)))
+        each = [np.repeat(batch.column(x).to_numpy(), BANDS) for x in (0, 1)]
+        yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), *map(pa.array, each)], ["key", "id", "size"])
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.int64())], ["a", "b"])
+
+
+def _linked(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    if 100 * min(len(x), len(y)) < percent * max(len(x), len(y)):
+        return False
+    inter = len(np.intersect1d(x, y, assume_unique=True))
+    return 100 * inter >= percent * (len(x) + len(y) - inter)
+
+
+def _star(width: int, percent: int):
+    """Rows (head, nb, salt, other, id, text), the head first in each group: links of the others with it."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, head, mine = None, None, np.zeros(0, np.uint64)
         for t in text_slices(batches):
-            sets = list(shingle_sets(t, width))
-            yield pa.RecordBatch.from_arrays([t.rows.column(0), pa.array([signature(s).tobytes() for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary())], ["h", "sig", "shingles"])
+            found = []
+            rows = zip(*(t.rows.column(x).to_pylist() for x in range(5)))
+            for (h, nb, salt, other, node), s in zip(rows, shingle_sets(t, width)):
+                if not other:
+                    key, head, mine = (h, nb, salt), node, s
+                elif key == (h, nb, salt) and _linked(mine, s, percent):
+                    found.append((node, head))
+            if found:
+                yield _pairs(found)
 
     return run
 
 
-def _links_in_block(band: int, left: list, right: list | None, percent: int) -> list[tuple[str, str]]:
-    """A spanning forest of the confirmed links between nodes of one bucket; rows are (h, comp, sig, shingles)."""
-    rows = left + (right or [])
-    n = len(rows)
-    sig = np.frombuffer(b"".join(r[2] for r in rows), np.uint32).reshape(n, BANDS * ROWS)
-    size = np.array([len(r[3]) // 8 for r in rows], np.int64)
-    comp = {}
-    code = np.array([comp.setdefault(r[1], len(comp)) for r in rows], np.int64)
-    parent = list(range(len(comp)))
-
-    def root(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = parent[parent[x]]
-            x = parent[x]
-        return x
-
-    cols = np.arange(len(left), n) if right is not None else np.arange(n)
-    sets, out = {}, []
-
-    def get(i: int) -> frozenset:
-        if i not in sets:
-            sets[i] = frozenset(np.frombuffer(rows[i][3], np.uint64).tolist())
-        return sets[i]
-
-    for i in range(len(left)):
-        js = cols if right is not None else cols[i + 1 :]
+def _blocks(batches: Iterable[pa.RecordBatch], held_columns: list[str]) -> Iterator[tuple[tuple[int, int, int], pa.Table]]:
+    """The rows of each (key, i, j), which follow each other."""
+    parts: list[pa.RecordBatch] = []
+    key = None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        k = np.column_stack([batch.column(x).to_numpy() for x in range(3)])
+        cuts = np.flatnonzero((k[1:] != k[:-1]).any(axis=1)) + 1
+        for a, b in zip([0, *cuts.tolist()], [*cuts.tolist(), len(k)]):
+            now = tuple(k[a].tolist())
+            if now != key and parts:
+                yield key, pa.Table.from_batches(parts).select(held_columns)
+                parts = []
+            key = now
+            parts.append(batch.slice(a, b - a))
+    if parts:
+        yield key, pa.Table.from_batches(parts).select(held_columns)
+
+
+def _partners(key: tuple[int, int, int], mine: np.ndarray, code: np.ndarray, size: np.ndarray, sig: np.ndarray, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each node of the left block those that it may be linked with, in other components; the likeliest first."""
+    band, two = key[0] & 31, key[1] != key[2]
+    left = np.flatnonzero(mine == key[1]) if two else np.arange(len(mine))
+    right = np.flatnonzero(mine == key[2])
+    for at, i in enumerate(left.tolist()):
+        js = right if two else right[at + 1 :]
         js = js[(code[js] != code[i]) & (100 * np.minimum(size[js], size[i]) >= percent * np.maximum(size[js], size[i]))]
         if not len(js):
             continue
         same = sig[js] == sig[i]
         est = same.sum(axis=1)
-        ok = est * 2 >= same.shape[1]  # a pair at 0.85 falls under one half with probability under 1e-14
+        ok = est * 2 >= same.shape[1]  # a pair at 0.8 falls under one half with probability under 1e-9
         if band:  # a pair is compared in the first band that it shares
             ok &= ~same[:, : band * ROWS].reshape(len(js), band, ROWS).all(axis=2).any(axis=1)
-        for j in js[ok][np.argsort(-est[ok], kind="stable")].tolist():
-            a, b = root(int(code[i])), root(int(code[j]))
-            if a == b:
+        if ok.any():
+            yield i, js[ok][np.argsort(-est[ok], kind="stable")]
+
+
+_HELD = ["mine", "id", "comp", "size", "sig"]
+
+
+def _candidates(percent: int):
+    """Rows (key, i, j, mine, id, comp, size, sig) of those nodes that have a partner by their signatures."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for key, rows in _blocks(batches, _HELD):
+            mine, node, comp, size = (rows.column(x).to_numpy() for x in range(4))
+            if comp.min() == comp.max():
                 continue
-            inter = len(get(i) & get(j))
-            if 100 * inter >= percent * (size[i] + size[j] - inter):
-                parent[max(a, b)] = min(a, b)
-                out.append((rows[i][0], rows[j][0]))
-    return out
+            need = np.zeros(len(mine), bool)
+            for i, js in _partners(key, mine, comp, size, _signatures(rows.column(4).combine_chunks()), percent):
+                need[i] = True
+                need[js] = True
+            if need.any():
+                some = rows.filter(pa.array(need)).combine_chunks().to_batches()[0]
+                n = some.num_rows
+                yield pa.RecordBatch.from_arrays([pa.array([key[0]] * n, pa.int64()), pa.array([key[1]] * n, pa.int32()), pa.array([key[2]] * n, pa.int32()), *some.columns], ["key", "i", "j", *_HELD])
+
+    return run
 
 
-def _verify(percent: int):
+def _verify(width: int, percent: int):
+    """A spanning forest of the confirmed links between components, for the nodes of each pair of blocks."""
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, ([], [])
-        found: list[tuple[str, str]] = []
-
-        def flush() -> None:
-            if key is not None:
-                band, two = key[1], key[2] != key[3]
-                if held[0] and (held[1] if two else len(held[0]) > 1):
-                    found.extend(_links_in_block(band, held[0], held[1] if two else None, percent))
-
-        def made() -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.string())], ["a", "b"])
-
-        for batch in batches:
-            k, band, i, j, mine, h, comp, sig, shingles = (batch.column(x) for x in range(9))
-            for key_, b_, i_, j_, m_, h_, c_, s_, x_ in zip(k.to_pylist(), band.to_pylist(), i.to_pylist(), j.to_pylist(), mine.to_pylist(), h.to_pylist(), comp.to_pylist(), sig, shingles):
-                now = (key_, b_, i_, j_)
-                if now != key:
-                    flush()
-                    key, held = now, ([], [])
-                held[0 if m_ == i_ else 1].append((h_, c_, s_.as_py(), x_.as_py()))
+        for key, rows in _blocks(batches, [*_HELD, "text"]):
+            mine, node, comp, size = (rows.column(x).to_numpy() for x in range(4))
+            code = np.unique(comp, return_inverse=True)[1]
+            parent = list(range(int(code.max()) + 1))
+
+            def root(x: int) -> int:
+                while parent[x] != x:
+                    parent[x] = parent[parent[x]]
+                    x = parent[x]
+                return x
+
+            sets = [s for t in text_slices(rows.select(["text"]).to_batches()) for s in shingle_sets(t, width)]
+            found = []
+            for i, js in _partners(key, mine, code, size, _signatures(rows.column(4).combine_chunks()), percent):
+                for j in js.tolist():
+                    a, b = root(int(code[i])), root(int(code[j]))
+                    if a != b and _linked(sets[i], sets[j], percent):
+                        parent[max(a, b)] = min(a, b)
+                        found.append((int(node[i]), int(node[j])))
             if found:
-                yield made()
-                found.clear()
-        flush()
-        if found:
-            yield made()
+                yield _pairs(found)
 
     return run
 
 
+def _merged(labels: DataFrame | None, found: DataFrame) -> DataFrame | None:
+    """labels(node, label) after the links found(a, b); what is merged already stands for itself by its label."""
+    new = stage(found, "nd_links")
+    if not new.isEmpty():
+        edges = new if labels is None else new.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        old, labels = labels, connected_components(edges)
+        if old is not None:
+            unstage(old)
+    unstage(new)
+    return labels
+
+
 def components(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs; see the module's text."""
-    return _components(docs, width, percent).drop("h")
+    return _components(docs, width, percent).drop("h", "group")
+
+
+def _digest() -> F.Column:
+    return F.unhex(F.md5(F.coalesce(F.col("text"), F.lit(""))))
 
 
 def _components(docs: DataFrame, width: int, percent: int) -> DataFrame:
-    spark = docs.sparkSession
-    texts = docs.select(F.col("doc_id").alias("doc_id"), F.col("text").alias("text")).select("doc_id", F.md5(F.coalesce("text", F.lit(""))).alias("h"), "text")
-    scan = stage(map_arrow(texts, _scan(width), "doc_id long, h string, n_shingles long, bands array<long>"), "nd_scan")
-    nodes = scan.where("n_shingles > 0").groupBy("h").agg(F.min("doc_id").alias("rep"), F.any_value("n_shingles").alias("size"), F.any_value("bands").alias("bands"))
-    flat = nodes.select("h", "rep", "size", F.posexplode("bands").alias("band", "key"))
-    shared = flat.groupBy("band", "key").agg(F.count("*").alias("cnt"), F.sum("size").alias("all")).where("cnt > 1")
-    buckets = stage(flat.join(shared, ["band", "key"]), "nd_buckets")
-    need = stage(buckets.groupBy("h").agg(F.min("rep").alias("rep")), "nd_need")
-    want = need.select(F.col("h").alias("h2"), "rep")
-    t = texts.join(want, (texts["h"] == want["h2"]) & texts["doc_id"].eqNullSafe(want["rep"]), "left_semi")
-    sets = map_arrow(t.select("h", "text"), _sets(width), "h string, sig binary, shingles binary").groupBy("h").agg(F.any_value("sig").alias("sig"), F.any_value("shingles").alias("shingles"))
-    sets = stage(sets, "nd_sets")
-    edges, labels = None, None
+    """With h, the text's digest, and group, a number for each component (null without shingles); staged."""
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").select("doc_id", _digest().alias("h"), "text")
+    scan = stage(map_arrow(texts, _scan(width), "doc_id long, h binary, n_shingles long, sig binary"), "nd_scan")
+    nodes = scan.where("n_shingles > 0").groupBy("h").agg(F.min("doc_id").alias("rep"), F.count("*").alias("copies"), F.any_value("n_shingles").alias("size"), F.any_value("sig").alias("sig"))
+    nodes = stage(nodes.withColumn("id", F.monotonically_increasing_id()), "nd_nodes")
+    flat = map_arrow(nodes.select("id", "size", "sig"), _flat, "key long, id long, size long")
+    heads = flat.groupBy("key").agg(F.min("id").alias("head"), F.count("*").alias("cnt")).where("cnt > 1")
+    buckets = stage(flat.join(heads, "key"), "nd_buckets")
+    # the texts of nodes in buckets, from the row of each that has the least doc_id
+    need = buckets.select("id").distinct().join(nodes.select("id", "h", "rep"), "id").select("id", F.col("h").alias("h1"), "rep")
+    held = texts.join(need, (texts["h"] == need["h1"]) & texts["doc_id"].eqNullSafe(need["rep"])).groupBy("id").agg(F.any_value("text").alias("text"))
+    held = stage(held, "nd_texts")
+
+    # each node against one head
+    first = buckets.where("id <> head").groupBy("id").agg(F.min("head").alias("head"), F.max("cnt").alias("cnt"))
+    first = first.withColumn("nb", F.ceil(F.col("cnt") / HEAD_NODES).cast("long")).withColumn("salt", F.pmod(F.xxhash64("id"), F.col("nb")))
+    both = first.select("head", "nb", "salt", F.lit(True).alias("other"), "id").union(first.select("head", "nb", "salt").distinct().select("head", "nb", "salt", F.lit(False), F.col("head")))
+    group = ["head", "nb", "salt"]
+    full = both.join(held, "id").select(*group, "other", "id", "text").repartition(*group).sortWithinPartitions(*group, "other", "id")
+    labels = _merged(None, map_arrow(full, _star(width, percent), "a long, b long"))
+
+    # buckets that hold several components, in full
     for lo, hi in CHUNKS:
-        b = buckets.where(f"band >= {lo} and band < {hi}").select("h", "band", "key", "cnt", "all")
-        if labels is not None:
-            b = b.join(labels.withColumnRenamed("node", "h"), "h", "left").withColumn("comp", F.coalesce("label", "h")).drop("label")
-            open_ = b.groupBy("band", "key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1")).where("c0 <> c1").select("band", "key")
-            b = b.join(open_, ["band", "key"])
+        b = buckets.where((F.col("key").bitwiseAND(31) >= lo) & (F.col("key").bitwiseAND(31) < hi)).select("key", "id", "size")
+        if labels is None:
+            b = b.withColumn("comp", F.col("id"))
         else:
-            b = b.withColumn("comp", F.col("h"))
+            b = b.join(labels.withColumnRenamed("node", "id"), "id", "left").withColumn("comp", F.coalesce("label", "id")).drop("label")
+        open_ = b.groupBy("key").agg(F.min("comp").alias("c0"), F.max("comp").alias("c1"), F.count("*").alias("cnt"), F.sum("size").alias("all")).where("c0 <> c1")
         nb = F.greatest(F.ceil(F.col("cnt") / BLOCK_NODES), F.ceil(F.col("all") / BLOCK_SHINGLES)).cast("int")
-        b = b.withColumn("nb", nb).withColumn("mine", F.pmod(F.xxhash64("h", "key"), F.col("nb")).cast("int"))
-        b = b.select("h", "band", "key", "comp", "mine", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-        b = b.select("key", "band", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "mine", "h", "comp")
-        full = b.join(sets, "h").select("key", "band", "i", "j", "mine", "h", "comp", "sig", "shingles")
-        found = map_arrow(full.repartition("key", "band", "i", "j").sortWithinPartitions("key", "band", "i", "j", "mine", "h"), _verify(percent), "a string, b string")
-        new = stage(found, "nd_links")
-        if new.isEmpty():
-            unstage(new)
-            continue
-        # what is merged already stands for itself by its label
-        edges = new if labels is None else new.union(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
-        old, labels = labels, connected_components(edges)
-        unstage(new)
-        if old is not None:
-            unstage(old)
-    unstage(sets)
-    reps = nodes.select("h", "rep")
-    if labels is not None:
-        named = labels.withColumnRenamed("node", "h")
-        ids = named.join(reps, "h").groupBy("label").agg(F.min("rep").alias("id"))
-        merged = named.join(ids, "label").select(F.col("h").alias("h1"), "id")
-        reps = reps.join(merged, F.col("h") == F.col("h1"), "left").select("h", F.expr("case when h1 is null then rep else id end").alias("id"))
+        b = b.join(open_.select("key", nb.alias("nb")), "key").withColumn("mine", F.pmod(F.xxhash64("id", "key"), F.col("nb")).cast("int"))
+        b = b.select("key", "id", "comp", "mine", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+        b = b.select("key", F.least("mine", "o").alias("i"), F.greatest("mine", "o").alias("j"), "mine", "id", "comp").join(nodes.select("id", "size", "sig"), "id")
+        order = ["key", "i", "j"]
+        b = b.select(*order, *_HELD).repartition(*order).sortWithinPartitions(*order, "mine", "id")
+        some = stage(map_arrow(b, _candidates(percent), "key long, i int, j int, mine int, id long, comp long, size long, sig binary"), "nd_some")
+        full = some.join(held, "id").select(*order, *_HELD, "text").repartition(*order).sortWithinPartitions(*order, "mine", "id")
+        labels = _merged(labels, map_arrow(full, _verify(width, percent), "a long, b long"))
+        unstage(some)
+    unstage(held)
+    unstage(buckets)
+
+    named = nodes.select("id", "h", "rep", "copies")
+    if labels is None:
+        named = named.select("h", F.col("id").alias("group"), F.col("rep").alias("cid"), "copies")
     else:
-        reps = reps.withColumnRenamed("rep", "id")
-    # a text that many rows share is one row on the right, so a hot text only makes a long left side
-    reps = reps.select(F.col("h").alias("h1"), "id")
-    out = scan.select("doc_id", "h", "n_shingles").join(reps, F.col("h") == F.col("h1"), "left")
-    cid = F.when(F.col("n_shingles") > 0, F.col("id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "h", "n_shingles", cid.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+        mine = labels.withColumnRenamed("node", "id").join(nodes.select("id", "rep"), "id")
+        mine = mine.join(mine.groupBy("label").agg(F.min("rep").alias("least")), "label").select("id", "label", "least", F.lit(True).alias("in"))
+        named = named.join(mine, "id", "left").select("h", F.coalesce("label", "id").alias("group"), F.expr("case when `in` then least else rep end").alias("cid"), "copies")
+    named = stage(named, "nd_named")
+    # a text that many rows share is one row on the right
+    out = join_one(scan.select("doc_id", "h", "n_shingles"), named, "h", "copies", scan.count())
+    cid = F.when(F.col("n_shingles") > 0, F.col("cid")).otherwise(F.col("doc_id"))
+    out = out.select("doc_id", "h", "group", "n_shingles", cid.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    out = stage(out, "nd_rows")
+    for x in (scan, nodes, named, labels):
+        if x is not None:
+            unstage(x)
+    return out
 
 
 def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs without those that have a smaller doc_id in their component; all columns."""
-    gone = stage(_components(docs, width, percent).where("not kept").select(F.col("doc_id").alias("__id"), F.col("h").alias("__h")), "nd_gone")
-    same = docs["doc_id"].eqNullSafe(gone["__id"]) & (F.md5(F.coalesce(docs["text"], F.lit(""))) == gone["__h"])
-    return docs.join(gone, same, "left_anti")
+    """One row of docs for each component, and all rows without words; all columns.
+
+    A component keeps its least doc_id; of several texts under that id the one with the least digest, and of repeated rows
+    the one whose columns have the least hash.
+    """
+    found = _components(docs, width, percent)
+    some = found.where("n_shingles > 0")
+    least = some.where("kept").groupBy("group").agg(F.min("h").alias("h0"))
+    rows = some.groupBy("group", "doc_id", "h", "kept").agg(F.count("*").alias("times")).join(least, "group")
+    rows = stage(rows.select(F.col("doc_id").alias("id1"), F.col("h").alias("h1"), "times", (F.col("kept") & (F.col("h") == F.col("h0"))).alias("stays")), "nd_keys")
+    unstage(found)
+    mine = packed(docs, "doc_id", "text").withColumn("h", _digest())
+    same = lambda keys: mine["doc_id"].eqNullSafe(keys["id1"]) & (mine["h"] == keys["h1"])
+    out = mine.join(gone := rows.where("times > 1 or not stays"), same(gone), "left_anti").select("row.*")
+    again = rows.where("times > 1 and stays")
+    if not again.isEmpty():
+        one = mine.join(again, same(again), "left_semi").groupBy("doc_id", "h").agg(F.min_by("row", F.xxhash64("row")).alias("row"))
+        out = out.union(one.select("row.*"))
+    return out
