@@ -9,11 +9,12 @@ size yield their places, as these are cut in any case. Where that doesn't suffic
 without links fill what is left; so all shards end with counts at most one apart (law ``rows``), and only groups over a
 shard's size are cut, or such that find no shard with room when packed largest first.
 
-Ranks, for the fill and for slots, come from counts by digest prefix (`hash_rank`); no task sorts a shard.
+Ranks, for the fill and for slots, come from counts by digest prefix (`hash_rank`); no task sorts a shard. All of this is
+done on narrow rows; ``assign`` then moves each text once, to meet its place.
 
 Edge cases: null text has size 1, CRC 0 and no links; a null doc_id is a row like others; repeated rows are linked rows;
 with fewer rows than shards some shards are empty; an empty table gives an empty result; further columns pass through
-``assign`` untouched.
+``assign`` untouched, whatever their names, but for an input's own ``shard`` and ``slot``, which the new ones replace.
 """
 
 from __future__ import annotations
@@ -21,9 +22,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import hash_rank, stage, unstage
+from quarry.llm._common import HOT, hash_rank, join_one, packed, stage, unstage
 
 ROUNDS = 6
+#: Up to so many repetitions of one row its places are one list.
+LISTED = 10_000
 
 
 def _group() -> F.Column:
@@ -35,17 +38,20 @@ def _row(seed: int) -> F.Column:
 
 
 def propagate(members: DataFrame, shards: int, capacity: int) -> DataFrame:
-    """members(node, hub, shard) → the same with shards after label propagation; no shard admits more than capacity members."""
+    """members(node, draw, hub, shard) → the same with shards after label propagation; moves into a shard are drawn so that
+    they fill its free capacity on average (`pack` mends what that leaves)."""
     cur = members
+    total = cur.count()
     for _ in range(ROUNDS):
         hubs = cur.groupBy("hub").agg(F.array(*[F.count_if(F.col("shard") == i) for i in range(shards)]).alias("by"))
         tie = lambda i: F.pmod(F.xxhash64("hub", F.lit(i)), F.lit(1 << 30))
         best = F.array_max(F.array(*[F.struct(F.col("by")[i].alias("n"), tie(i).alias("t"), F.lit(i).alias("to")) for i in range(shards)]))
         hubs = hubs.select("hub", best["to"].alias("to"), F.expr("aggregate(by, 0L, (x, y) -> x + y)").alias("members"))
-        want = stage(cur.join(hubs, "hub"), "shard_want")
+        want = stage(join_one(cur, hubs.withColumn("weight", F.col("members")), "hub", "weight", total).select("node", "draw", "hub", "shard", "to", "members"), "shard_want")
         load = {r["shard"]: r for r in want.groupBy("shard").agg(F.count("*").alias("n"), F.count_if(F.col("to") != F.col("shard")).alias("leave")).collect()}
         asked = {r["to"]: r["n"] for r in want.where("`to` <> shard").groupBy("to").agg(F.count("*").alias("n")).collect()}
         if not asked:
+            unstage(want)
             break
         free = {s: capacity - (load[s]["n"] - load[s]["leave"] if s in load else 0) for s in range(shards)}
         share = {s: max(0.0, min(1.0, free[s] / n)) for s, n in asked.items()}
@@ -55,8 +61,8 @@ def propagate(members: DataFrame, shards: int, capacity: int) -> DataFrame:
             f = F.when(F.col("to") == s, F.lit(x)).otherwise(f)
             room = F.when(F.col("to") == s, F.lit(max(0, free[s]))).otherwise(room)
         whole = F.col("members") * 8 <= room
-        draw = F.pmod(F.when(whole, F.xxhash64("hub", F.lit("m"))).otherwise(F.xxhash64("node", F.lit("m"))), F.lit(1 << 30)) / F.lit(float(1 << 30))
-        new = stage(want.withColumn("shard", F.when((F.col("to") != F.col("shard")) & (draw < f), F.col("to")).otherwise(F.col("shard"))).select("node", "hub", "shard"), "shard_round")
+        draw = F.pmod(F.when(whole, F.xxhash64("hub", F.lit("m"))).otherwise(F.col("draw")), F.lit(1 << 30)) / F.lit(float(1 << 30))
+        new = stage(want.withColumn("shard", F.when((F.col("to") != F.col("shard")) & (draw < f), F.col("to")).otherwise(F.col("shard"))).select("node", "draw", "hub", "shard"), "shard_round")
         unstage(want)
         unstage(cur)
         cur = new
@@ -79,12 +85,14 @@ def _fill(count: dict[int, int], free: list[int]) -> tuple[list[tuple[int, int,
 
 
 def pack(members: DataFrame, shards: int, capacity: int, rows: int) -> DataFrame:
-    """members(node, hub, shard) → (node, shard, whole): groups of up to capacity in one shard each, as far as these have room.
+    """members(node, draw, hub, shard) → (node, shard, whole): groups of up to capacity in one shard each, as far as these have room.
 
     The driver sees how many groups there are of each size, at most sqrt(2 * rows) numbers.
     """
     spark = members.sparkSession
-    groups = stage(members.groupBy("hub").agg(F.count("*").alias("n"), F.min("shard").alias("least"), F.max("shard").alias("most")).where(F.col("n") <= capacity), "shard_groups")
+    groups = stage(members.groupBy("hub").agg(F.count("*").alias("n"), F.min("shard").alias("least"), F.max("shard").alias("most")), "shard_groups")
+    sizes_ = groups.select("hub", F.col("n").alias("weight"))
+    groups = groups.where(F.col("n") <= capacity)
     kept = F.col("least") == F.col("most")
     load = {r["least"]: r["n"] for r in groups.where(kept).groupBy("least").agg(F.sum("n").alias("n")).collect()}
     sizes = lambda df: {r["n"]: r["count"] for r in df.groupBy("n").count().collect()}
@@ -98,36 +106,38 @@ def pack(members: DataFrame, shards: int, capacity: int, rows: int) -> DataFrame
     where = spark.createDataFrame(ranges, "size long, to int, low long, high long")
     ranked = hash_rank(groups.where(~kept).select("hub", "n"), ["n"], ["hub"], rows)
     to = ranked.join(F.broadcast(where), (F.col("n") == F.col("size")) & (F.col("rank") >= F.col("low")) & (F.col("rank") < F.col("high"))).select("hub", "to")
-    to = stage(to.union(groups.where(kept).select("hub", F.col("least").alias("to"))), "shard_packed")
-    return members.join(to, "hub", "left").select("node", F.coalesce("to", "shard").alias("shard"), F.col("to").isNotNull().alias("whole"))
+    to = to.union(groups.where(kept).select("hub", F.col("least").alias("to")))
+    to = stage(sizes_.join(to, "hub", "left"), "shard_packed")
+    return join_one(members, to, "hub", "weight", members.count()).select("node", F.coalesce("to", "shard").alias("shard"), F.col("to").isNotNull().alias("whole"))
 
 
 def layout(docs: DataFrame, shards: int = 8, seed: int = 5) -> DataFrame:
-    """h (digest of the row), doc_id, size, text_crc32, shard, slot for every row of docs."""
+    """h (digest of the row), doc_id, size, text_crc32, shard, slot for every row of docs; staged."""
     size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long") + 1
     base = docs.select("doc_id", size.alias("size"), F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0)).cast("long").alias("text_crc32"), F.when(F.col("text").isNotNull(), _group()).alias("hub"), _row(seed).alias("h"))
-    base = stage(base, "shard_rows")
+    # a repeated row is a node of its own
+    base = stage(base.withColumn("node", F.monotonically_increasing_id()), "shard_rows")
     n = base.count()
     quota = [n // shards + (s < n % shards) for s in range(shards)]
     start = F.pmod(F.xxhash64("h"), F.lit(shards)).cast("int")
-    several = base.where("hub is not null").groupBy("hub").count().where("count > 1").select("hub")
-    linked = base.join(several, "hub", "left_semi").select("h", "doc_id", "size", "text_crc32", "hub")
-    # a repeated row is a node of its own
-    nodes = stage(linked.withColumn("node", F.concat_ws(":", "h", F.row_number().over(Window.partitionBy("h").orderBy("size")).cast("string"))), "shard_linked")
-    moved = propagate(stage(nodes.select("node", "hub", start.alias("shard")), "shard_start"), shards, min(quota) if n else 0)
-    moved = pack(moved, shards, min(quota) if n else 0, n)
-    placed = nodes.join(moved, "node").select("h", "doc_id", "size", "text_crc32", "shard", "whole")
+    several = base.where("hub is not null").groupBy("hub").agg(F.count("*").alias("weight")).where("weight > 1").withColumn("linked", F.lit(True))
+    nodes = stage(join_one(base, several, "hub", "weight", n).select(*base.columns, "linked"), "shard_nodes")
+    linked = nodes.where("linked")
+    moved = propagate(stage(linked.select("node", F.xxhash64("h", F.lit("m")).alias("draw"), "hub", start.alias("shard")), "shard_start"), shards, min(quota) if n else 0)
+    packs = pack(moved, shards, min(quota) if n else 0, n)
+    placed = linked.select("node", "h", "doc_id", "size", "text_crc32").join(packs, "node")
     placed = stage(hash_rank(placed, ["shard", "whole"], ["h"], n).withColumnRenamed("rank", "slot"), "shard_placed")
+    unstage(moved)
     whole = {r["shard"]: r["n"] for r in placed.where("whole").groupBy("shard").agg(F.count("*").alias("n")).collect()}
     # members of cut groups come after those of whole ones
     after, fits = F.lit(0), F.lit(False)
     for s in range(shards):
         after = F.when(F.col("shard") == s, F.lit(whole.get(s, 0))).otherwise(after)
         fits = F.when(F.col("shard") == s, F.col("slot") < quota[s]).otherwise(fits)
-    placed = placed.withColumn("slot", F.col("slot") + F.when(F.col("whole"), 0).otherwise(after)).drop("whole")
-    held = {r["shard"]: r["n"] for r in placed.where(fits).groupBy("shard").agg(F.count("*").alias("n")).collect()}
-    single = base.join(several, "hub", "left_anti").select("h", "doc_id", "size", "text_crc32")
-    pool = hash_rank(single.union(placed.where(~fits).select(*single.columns)), [], ["h"], n)
+    ranked = placed.withColumn("slot", F.col("slot") + F.when(F.col("whole"), 0).otherwise(after)).drop("whole")
+    held = {r["shard"]: r["n"] for r in ranked.where(fits).groupBy("shard").agg(F.count("*").alias("n")).collect()}
+    cols = ["h", "doc_id", "size", "text_crc32"]
+    pool = hash_rank(nodes.where("linked is null").select(*cols).union(ranked.where(~fits).select(*cols)), [], ["h"], n)
     shard, slot, low = F.lit(None).cast("int"), F.lit(None).cast("long"), 0
     for s in range(shards):
         high = low + quota[s] - held.get(s, 0)
@@ -135,9 +145,11 @@ def layout(docs: DataFrame, shards: int = 8, seed: int = 5) -> DataFrame:
         shard = F.when(here, F.lit(s)).otherwise(shard)
         slot = F.when(here, F.col("rank") - low + held.get(s, 0)).otherwise(slot)
         low = high
-    cols = ["h", "doc_id", "size", "text_crc32"]
     filled = pool.select(*cols, shard.cast("int").alias("shard"), slot.cast("long").alias("slot"))
-    return placed.where(fits).select(*cols, "shard", F.col("slot").cast("long").alias("slot")).union(filled)
+    out = stage(ranked.where(fits).select(*cols, "shard", F.col("slot").cast("long").alias("slot")).union(filled), "shard_places")
+    for x in (base, nodes, placed):
+        unstage(x)
+    return out
 
 
 def shard_table(docs: DataFrame, shards: int = 8, seed: int = 5) -> DataFrame:
@@ -147,8 +159,17 @@ def shard_table(docs: DataFrame, shards: int = 8, seed: int = 5) -> DataFrame:
 
 def assign(docs: DataFrame, shards: int = 8, seed: int = 5) -> DataFrame:
     """The rows of docs with ``shard`` and ``slot``; repeated rows each get a place."""
-    same = Window.partitionBy("__h")
-    places = layout(docs, shards, seed).select(F.col("h").alias("__h"), "shard", "slot").withColumn("__k", F.row_number().over(same.orderBy("shard", "slot")))
-    columns = [c for c in docs.columns if c not in ("shard", "slot")]
-    rows = docs.select(*columns, _row(seed).alias("__h")).withColumn("__k", F.row_number().over(same.orderBy(F.lit(0))))
-    return rows.join(places, ["__h", "__k"]).select(*columns, "shard", "slot")
+    places = layout(docs, shards, seed)
+    n = places.count()
+    hot = F.broadcast(stage(places.groupBy("h").count().where(F.col("count") > max(LISTED, HOT * n)).select("h"), "shard_hot"))
+    rows = packed(docs, "doc_id", "text").select("row", _row(seed).alias("h"))
+    lists = places.join(hot, "h", "left_anti").groupBy("h").agg(F.sort_array(F.collect_list(F.struct("shard", "slot"))).alias("at"))
+    nth = F.row_number().over(Window.partitionBy("h").orderBy(F.xxhash64("row")))
+    out = rows.join(hot, "h", "left_anti").join(lists, "h").withColumn("to", F.col("at")[nth - 1]).select("row", "to.shard", "to.slot")
+    if not hot.isEmpty():
+        # the repetitions of a hot row meet its places by rank, both in the order of digests of their own
+        some = stage(rows.join(hot, "h").withColumn("u", F.monotonically_increasing_id()), "shard_hot_rows")
+        mine = hash_rank(some.select("h", "u", F.md5(F.col("u").cast("string")).alias("d")), ["h"], ["d"], n).select("h", "u", "rank")
+        theirs = hash_rank(places.join(hot, "h").withColumn("d", F.md5(F.concat_ws(":", "shard", "slot"))), ["h"], ["d"], n).select("h", "rank", "shard", "slot")
+        out = out.union(some.join(mine.join(theirs, ["h", "rank"]).select("u", "shard", "slot"), "u").select("row", "shard", "slot"))
+    return out.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in ("shard", "slot")], "shard", "slot")
