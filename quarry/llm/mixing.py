@@ -6,13 +6,14 @@ what it can't take goes to the others by weight. Sorted by cap over weight, the
 of the rest follows from two running sums over one row per source and no iteration is needed.
 
 A source's epochs are target / size: every document is repeated floor(epochs) times and a seeded subset once more. The
-subset is a prefix of the source in the order of a digest of the id, cut where its running size comes nearest to what is
-left of the target. The cut is found by sums over digest prefixes, level by level, so that no task sorts a whole source;
-only rows that share six hex digits with the cut are sorted.
+subset is a prefix of the source in the order of a digest of id and text, cut where its running size comes nearest to what
+is left of the target. The cut is found by sums over digest prefixes, level by level, so that no task sorts a whole source;
+only digests that share six hex digits with the cut are sorted, a row for each. Repeated rows at the cut are counted.
 
 Edge cases: null text has size 0; null is a source of its own, last; a source of size 0 has target 0 and takes nothing;
-rows with equal id and size are taken together or not at all; an empty table gives an empty result; further columns pass
-through ``mix`` untouched.
+of repeated rows (equal id and text) at the cut as many are taken as the target asks for, whichever; rows without an id are
+told apart by their texts; an empty table gives an empty result; further columns pass through ``mix`` untouched, whatever
+their names.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.llm._common import stage
+from quarry.llm._common import packed, stage, unstage
 
 WORD = r"[^\x20\x09-\x0D]+"
 LEVELS, DIGITS = 2, 3
@@ -31,7 +32,7 @@ def _size() -> F.Column:
 
 
 def _digest(seed: int) -> F.Column:
-    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
+    return F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce(F.col("text"), F.lit("")))))
 
 
 def targets(sizes: DataFrame, max_epochs: int = 3, cycle: int = 3) -> DataFrame:
@@ -49,58 +50,73 @@ def targets(sizes: DataFrame, max_epochs: int = 3, cycle: int = 3) -> DataFrame:
 
 
 def plan(sized: DataFrame, max_epochs: int = 3) -> DataFrame:
-    """sized(source, size, h): per source the target, whole repetitions, and the last (h, size) that is taken once more."""
+    """sized(source, size, h): per source the target, the whole repetitions, and where the rows end that are taken once more:
+    all below ``prefix``; below it those up to the digest ``last``, of whose rows ``part`` (null: all)."""
     t = targets(sized, max_epochs)
     whole = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
     cuts = stage(t.withColumn("whole", whole).withColumn("rest", F.col("target") - F.col("whole") * F.col("source_size")).withColumn("before", F.lit(0).cast("long")).withColumn("prefix", F.lit("")), "mix_cut")
-    scope = sized
     for k in range(LEVELS):
         at = cuts.select(F.col("source").alias("s0"), "rest", "before", "prefix")
-        near = scope.join(at, F.col("source").eqNullSafe(F.col("s0")) & F.col("h").startswith(F.col("prefix")))
+        near = sized.join(at, F.col("source").eqNullSafe(F.col("s0")) & F.col("h").startswith(F.col("prefix")))
         sums = near.groupBy("source", F.substring("h", 1, (k + 1) * DIGITS).alias("p")).agg(F.sum("size").alias("n"), F.first("rest").alias("rest"), F.first("before").alias("before"))
         end = F.col("before") + F.sum("n").over(Window.partitionBy("source").orderBy("p"))
         first = sums.withColumn("end", end).where("end > rest").groupBy(F.col("source").alias("s1")).agg(F.min(F.struct("p", (F.col("end") - F.col("n")).alias("b"))).alias("cut"))
-        cuts = cuts.join(first, F.col("source").eqNullSafe(F.col("s1")), "left").withColumn("prefix", F.coalesce("cut.p", "prefix")).withColumn("before", F.coalesce("cut.b", "before")).drop("s1", "cut")
+        old, cuts = cuts, cuts.join(first, F.col("source").eqNullSafe(F.col("s1")), "left").withColumn("prefix", F.coalesce("cut.p", "prefix")).withColumn("before", F.coalesce("cut.b", "before")).drop("s1", "cut")
         cuts = stage(cuts, "mix_cut")
+        unstage(old)
     at = cuts.select(F.col("source").alias("s0"), "rest", "before", "prefix")
-    near = scope.join(at, F.col("source").eqNullSafe(F.col("s0")) & F.col("h").startswith(F.col("prefix")) & (F.length("prefix") > 0))
-    end = F.col("before") + F.sum("size").over(Window.partitionBy("source").orderBy("h", "size").rowsBetween(Window.unboundedPreceding, 0))
-    last = near.withColumn("end", end).where("2 * end - size <= 2 * rest").groupBy(F.col("source").alias("s1")).agg(F.max(F.struct("h", "size")).alias("last"))
-    cuts = cuts.join(last, F.col("source").eqNullSafe(F.col("s1")), "left")
-    return stage(cuts.select("source", "source_size", "weight", "target", "whole", "prefix", "last"), "mix_plan")
-
-
-def _times(h: F.Column, size: F.Column) -> F.Column:
-    p = F.coalesce(F.col("__prefix"), F.lit(""))
-    here = F.struct(h.alias("h"), size.alias("size")) <= F.col("__last")
-    extra = F.when(F.length(p) == 0, False).when(h.startswith(p), F.coalesce(here, F.lit(False))).otherwise(F.substring(h, 1, LEVELS * DIGITS) < p)
-    return (F.col("__whole") + extra.cast("long")).cast("long")
+    near = sized.join(at, F.col("source").eqNullSafe(F.col("s0")) & F.col("h").startswith(F.col("prefix")) & (F.length("prefix") > 0))
+    runs = near.groupBy("source", "h").agg(F.max("size").alias("size"), F.count("*").alias("n"), F.first("rest").alias("rest"), F.first("before").alias("before"))
+    upto = F.col("before") + F.coalesce(F.sum(F.col("size") * F.col("n")).over(Window.partitionBy("source").orderBy("h").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    # a row is taken where its middle lies within the rest
+    fits = F.when(F.col("size") > 0, F.floor((F.col("rest") - F.col("upto")) / F.col("size") + 0.5)).otherwise(F.when(F.col("upto") <= F.col("rest"), F.col("n")).otherwise(0))
+    runs = runs.withColumn("upto", upto).withColumn("taken", F.least(fits, F.col("n")).cast("long")).where("taken > 0")
+    last = runs.groupBy(F.col("source").alias("s1")).agg(F.max(F.struct("h", F.when(F.col("taken") < F.col("n"), F.col("taken")).alias("part"))).alias("last"))
+    cuts = cuts.join(last, F.col("source").eqNullSafe(F.col("s1")), "left").select("source", "source_size", "weight", "target", "whole", "prefix", F.col("last.h").alias("last"), F.col("last.part").alias("part"))
+    return stage(cuts, "mix_plan")
 
 
 def _joined(rows: DataFrame, cuts: DataFrame) -> DataFrame:
-    named = cuts.select(F.col("source").alias("__source"), F.col("source_size").alias("__source_size"), F.col("target").alias("__target"), F.col("whole").alias("__whole"), F.col("prefix").alias("__prefix"), F.col("last").alias("__last"))
-    return rows.join(named, rows["source"].eqNullSafe(named["__source"]), "left")
+    """rows(source, h, ...) with source_size, target, whole and extra: 1, 0, or null for repeated rows some of which are taken."""
+    named = cuts.withColumnRenamed("source", "s0")
+    h = F.col("h")
+    extra = F.when(F.length("prefix") == 0, 0).when(~h.startswith(F.col("prefix")), (F.substring("h", 1, LEVELS * DIGITS) < F.col("prefix")).cast("int"))
+    extra = extra.when((h == F.col("last")) & F.col("part").isNotNull(), F.lit(None)).otherwise(F.coalesce((h <= F.col("last")).cast("int"), F.lit(0)))
+    return rows.join(named, rows["source"].eqNullSafe(named["s0"]), "left").withColumn("extra", extra).drop("s0", "prefix", "last", "weight")
 
 
 def amounts(docs: DataFrame, max_epochs: int = 3, seed: int = 11) -> DataFrame:
     """doc_id, size, source_size, target, taken, source, times for every row of docs."""
     sized = stage(docs.select("doc_id", "source", _size().alias("size"), _digest(seed).alias("h")), "mix_sizes")
-    out = _joined(sized, plan(sized, max_epochs)).withColumn("times", _times(F.col("h"), F.col("size")))
-    return out.select("doc_id", "size", F.col("__source_size").alias("source_size"), F.col("__target").alias("target"), (F.col("times") * F.col("size")).alias("taken"), "source", "times")
+    out = _joined(sized, plan(sized, max_epochs))
+    clear = out.where("extra is not null").withColumn("times", F.col("whole") + F.col("extra"))
+    # repeated rows are one row with a count until it is told how many of them are taken
+    tied = out.where("extra is null").groupBy("doc_id", "size", "source_size", "target", "source", "whole", "part").agg(F.count("*").alias("n"))
+    tied = tied.withColumn("k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("n")))).withColumn("times", F.col("whole") + (F.col("k") <= F.col("part")).cast("int"))
+    cols = ["doc_id", "size", "source_size", "target", (F.col("times") * F.col("size")).cast("long").alias("taken"), "source", F.col("times").cast("long").alias("times")]
+    return clear.select(*cols).union(tied.select(*cols))
 
 
 def mix(docs: DataFrame, max_epochs: int = 3, seed: int = 11) -> DataFrame:
     """The rows of docs, each as many times as the mix takes it."""
     sized = stage(docs.select("source", _size().alias("size"), _digest(seed).alias("h")), "mix_sizes")
-    rows = docs.withColumn("__size", _size()).withColumn("__h", _digest(seed))
-    out = _joined(rows, plan(sized, max_epochs)).withColumn("__times", _times(F.col("__h"), F.col("__size")))
-    return out.where("__times > 0").withColumn("__k", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__times")))).select(*docs.columns)
+    cuts = plan(sized, max_epochs)
+    out = _joined(packed(docs, "source", _digest(seed).alias("h")), cuts)
+    clear = out.where("extra is not null").select("row", (F.col("whole") + F.col("extra")).alias("times"))
+    if not cuts.where("part is not null").isEmpty():
+        order = Window.partitionBy("source").orderBy(F.xxhash64("row"))
+        tied = out.where("extra is null").groupBy("source", "whole", "part", "row").agg(F.count("*").alias("n"))
+        tied = tied.withColumn("before", F.coalesce(F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        some = F.greatest(F.lit(0), F.least(F.col("n"), F.col("part") - F.col("before")))
+        clear = clear.union(tied.select("row", F.col("n") * F.col("whole") + some))
+    unstage(sized)
+    return clear.where("times > 0").select("row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("times").cast("long")))).select("row.*")
 
 
 SQL = r"""
 with d as (
   select doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+'))::bigint as size,
-         md5('11:' || coalesce(cast(doc_id as varchar), '')) as h
+         md5('11:' || coalesce(cast(doc_id as varchar), '') || ':' || md5(coalesce(text, ''))) as h
   from documents),
 s as (
   select source, sum(size)::bigint as source_size, ((row_number() over (order by source nulls last) - 1) % 3 + 1)::bigint as weight
