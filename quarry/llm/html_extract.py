@@ -1,26 +1,34 @@
 """Main text of web pages by tag-path ratios.
 
-A page is cut into text nodes; each has a root-to-leaf path of tags (with class and id tokens). Over all nodes of a path
+A page is cut into text nodes; each has a root-to-leaf path of tags (with role, class and id tokens). Over all nodes of a path
 are added up: characters, punctuation, nodes, characters in links. Two ratios, characters per node and punctuation per
-node, less the share of links, are smoothed over the sequence of nodes by a Gaussian and fused by their product. Paths
-whose fused mean passes a fraction of the page's deviation are content. The content roots are the article, main or role=main
-elements where these together hold the bulk of the content paths' weight, else the deepest element that holds it. The result
-is the text of all blocks with a content path, wherever they stand, and of the roots' other blocks that aren't links
-throughout, without those parts that HTML itself or their naming marks as something else: menus, headers of the page,
-footers, sidebars, notices, adverts, forms, scripts, styles, hidden parts and reader comments. Names of states (has-, with-,
-no-, -open, category-, tag-) mark nothing, nor does the name of an element that holds most of the page's content.
+node, less the share of links, are smoothed over the sequence of nodes by a Gaussian and fused by their product. Elements
+that HTML itself or their naming marks as menus, headers of the page, footers, sidebars, notices, adverts, forms and reader
+comments weigh the score of what they hold down by the factor ``PRIOR``. Nodes whose score passes a fraction of the
+deviation of the page's paths are content.
 
-Character references are decoded, white space inside a block becomes one space, blocks are joined in page order by \\n.
+The content roots are the article, main or role=main elements where these together hold the bulk of the content's weight,
+else the deepest element that holds it. In a root, short texts (headings, items of lists) are content too, unless they are links
+throughout or marked. The result is the text of all blocks with a content node, wherever they stand, without their marked
+parts. Scripts, styles, controls and what is hidden are no text nodes at all.
+
+A name marks by all of its words together: ``comment-list`` and ``related-posts`` do, ``has-sidebar``, ``comments-open``,
+``side-by-side``, ``post-header`` don't. A name, a form or a header that holds most of the page's content marks nothing.
+
+Tags are read as HTML reads them (quotes matter only where a value begins). Paths are interned by parent and label, and sums
+run once up and once down the tree, so time is linear in the page at any depth of nesting. Character references are decoded,
+white space inside a block becomes one space, blocks are joined in page order by \\n.
 
 Edge cases: null and empty html give an empty text; text without tags is one block; unclosed tags end where HTML's rules
-end them; a tag cut off at the end of the page is dropped; repeated rows get equal results; an empty table gives an empty
-result; other columns are ignored.
+end them; a tag cut off at the end of the page is dropped, and so is what follows a quote that never ends; repeated rows get
+equal results; an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import html as _html
 import re
+from collections import Counter
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -29,8 +37,9 @@ from pyspark.sql import DataFrame
 
 from quarry.llm._common import map_arrow
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*)([^>\"']*(?:\"[^\"]*\"[^>\"']*|'[^']*'[^>\"']*)*)(?:>|\Z)", re.S)
-_ATTR = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'=<>`]+)))?""")
+_VALUE = r"\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\s\"'>][^\s>]*+"
+_TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>\x00]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+(?:\s*+=\s*+(?:{_VALUE})?+)?+)*+)(?:>|\Z)", re.S)
+_ATTR = re.compile(rf"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+({_VALUE})?+)?+")
 _RAW = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>", re.I) for t in ("script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes")}
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul head title caption option select".split())
@@ -38,51 +47,48 @@ _BLOCK = frozenset("address article aside blockquote body center dd details dial
 _ENDS_P = _BLOCK - frozenset("td th tr tbody thead tfoot caption option html head body title".split())
 _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "option": ("option",), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _SCOPE = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select", "datalist"), "tr": ("table",), "td": ("table", "tr"), "th": ("table", "tr")}
-_DROP = frozenset("head script style noscript template nav aside footer form button select option textarea iframe svg math canvas object audio video map menu dialog search datalist input noframes noembed title".split())
+#: What these hold is no text of the page.
+_DROP = frozenset("head script style noscript template button select option textarea iframe svg canvas object audio video map datalist input noframes noembed title".split())
+#: Elements and roles that mark a part as something else than the main text; the latter ones unless they hold most of it.
+_MARKED, _OFTEN = frozenset("nav aside footer dialog menu search".split()), frozenset("form header".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog toolbar".split())
-#: Whole tokens of class and id names.
-_NAMES = re.compile(
-    r"(?:ad|ads|adv|advert|adverts|advertisement|advertising|adsense|sponsor|sponsored|promo|promotion|banner|nav|navbar|navigation|menu|submenu|breadcrumb|breadcrumbs|sidebar|side|aside|widget|widgets"
-    r"|footer|foot|header|masthead|topbar|toolbar|comment|comments|commentlist|disqus|respond|reply|replies|discussion|reactions|related|recommended|recommendations|share|sharing|social|cookie|cookies|consent|gdpr|notice|notices|notification|alert|popup|modal|overlay"
-    r"|subscribe|subscription|newsletter|signup|login|search|searchbox|form|pagination|pager|skip|copyright|legal|disclaimer|hidden|tags|toc)"
+#: Words of class and id names that mark a part, also beside the words for an article, a place or a box ...
+_TELLING = frozenset(
+    "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar"
+    " comment comments commentlist disqus reply replies discussion reactions related recommended recommendations share sharing social cookie cookies consent gdpr"
+    " popup modal subscribe subscription newsletter signup login pagination pager".split()
 )
-#: Class names that tell of a state, a category or what a page has, by their first or last word.
-_STATE = re.compile(r"(?:has|have|with|without|no|not|non|category|cat|tag|tagged)[^a-zA-Z].*|(?:has|with|without|no)(?=[A-Z]).*|.*(?:[^a-zA-Z](?:open|opened|closed|enabled|disabled|on|off)|(?:Open|Opened|Closed|Enabled|Disabled))", re.S)
+#: ... and those that do alone or beside the words for a place or a box.
+_WEAK = frozenset("banner side aside widget widgets footer foot header masthead topbar toolbar respond notice notices notification alert overlay searchbox search form skip copyright legal disclaimer hidden tags toc".split())
+_PLACE = frozenset("wrapper wrap container content contents box block area section inner outer list item items group unit slot row col column left right top bottom main primary secondary site page global user reader bar link links button buttons icon icons text title heading label panel module region zone holder sticky fixed mobile desktop body the".split())
+_ABOUT = frozenset("post posts article articles entry entries story stories blog media more also author".split())
 _SPLIT = re.compile(r"[^a-zA-Z]+|(?<=[a-z])(?=[A-Z])")
 _PUNCT = re.compile("[.,;:!?。，；：！？、…¿¡]")
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
-FRACTION, BULK, SIGMA = 0.1, 0.75, 1.0
-#: A name doesn't drop what holds more than this share of the page's content, unless articles apart from it hold ASIDE of it.
+FRACTION, BULK, SIGMA, PRIOR = 0.1, 0.75, 1.0, 0.001
+#: A name doesn't mark what holds more than this share of the page's content, unless articles apart from it hold ASIDE of it.
 MOST, ASIDE = 0.5, 0.1
 
 
+def marks(name: str) -> bool:
+    """Whether a class or id token names a part that isn't main text."""
+    words = {x.lower() for x in _SPLIT.split(name) if x}
+    if words & _TELLING:
+        return words <= _TELLING | _WEAK | _PLACE | _ABOUT
+    return bool(words & _WEAK) and words <= _WEAK | _PLACE
+
+
 class _Element:
-    __slots__ = ("tag", "path", "parent", "depth", "dropped", "named", "link", "root")
+    __slots__ = ("tag", "path", "parent", "at", "depth", "dropped", "marked", "often", "link", "root", "rooted")
 
-    def __init__(self, tag: str, label: str, parent: _Element | None, dropped: bool, named: bool, root: bool):
-        self.tag, self.parent, self.dropped, self.named, self.root = tag, parent, dropped, named, root
-        self.path = f"{parent.path}/{label}" if parent else label
+    def __init__(self, tag: str, path: int, parent: _Element | None, at: int):
+        self.tag, self.path, self.parent, self.at = tag, path, parent, at
         self.depth = parent.depth + 1 if parent else 0
+        self.dropped = bool(parent and parent.dropped)
         self.link = tag == "a" or bool(parent and parent.link)
-
-
-def _open(tag: str, raw: str, parent: _Element) -> _Element:
-    dropped, named, names, root = parent.dropped or tag in _DROP, False, "", tag in ("article", "main")
-    if raw and not raw.isspace():
-        attrs = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in _ATTR.finditer(raw)}
-        role = attrs.get("role", "").lower()
-        root |= role in ("main", "article")
-        names = " ".join(x for x in (attrs.get("class", ""), attrs.get("id", "")) if x)
-        if role in _ROLES or "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style", "")):
-            dropped = True
-        elif names and tag not in ("html", "body", "main"):
-            named = any(_NAMES.fullmatch(x.lower()) for name in names.split() if not _STATE.fullmatch(name) for x in _SPLIT.split(name) if x)
-    if tag == "header":  # a page's header; one inside an article holds its title
-        up: _Element | None = parent
-        while up and not up.root:
-            up = up.parent
-        dropped |= up is None
-    return _Element(tag, tag + "".join("." + x for x in names.split()), parent, dropped, named, root)
+        self.marked = self.often = False
+        self.root = tag in ("article", "main")
+        self.rooted = self.root or bool(parent and parent.rooted)
 
 
 class _Node:
@@ -92,67 +98,103 @@ class _Node:
         self.text, self.at, self.block = text, at, block
 
 
-def nodes(page: str) -> list[_Node]:
-    """Text nodes in page order, with their element and the number of their block."""
-    top = _Element("", "", None, False, False, False)
-    stack, out, block, i, n = [top], [], 0, 0, len(page)
-
-    def text(a: int, b: int) -> None:
-        if a < b:
-            s = page[a:b]
-            out.append(_Node(_html.unescape(s) if "&" in s else s, stack[-1], block))
-
-    while i < n:
-        m = _TOKEN.search(page, i)
-        if not m:
-            # a tag that the page's end cuts off isn't text
-            cut = page.rfind("<", i)
-            text(i, cut if cut >= 0 and re.match(r"<[/a-zA-Z!?]", page[cut:]) else n)
-            break
-        text(i, m.start())
-        i = m.end()
-        if m[2] is None:
-            continue
-        tag = m[2].lower()
-        if m[1]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    if any(x.tag in _BLOCK for x in stack[k:]):
-                        block += 1
-                    del stack[k:]
-                    break
-            continue
-        if tag in _ENDS_P:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == "p":
-                    del stack[k:]
-                    break
-                if stack[k].tag in ("table", "button", "td", "th", "object"):
-                    break
-        if tag in _CLOSES:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag in _CLOSES[tag]:
-                    del stack[k:]
-                elif stack[k].tag in _SCOPE[tag]:
-                    break
-        if tag in ("html", "body") and any(x.tag == tag for x in stack):
-            continue
-        if tag == "body":
-            del stack[next((k for k, x in enumerate(stack) if x.tag == "head"), len(stack)) :]
-        if tag in _BLOCK:
-            block += 1
-        if tag == "br" and out:
-            out.append(_Node(" ", stack[-1], block))
-        if tag in _VOID:
-            continue
-        raw = m[3] or ""
-        e = _open(tag, raw[:-1] if raw.endswith("/") else raw, stack[-1])
-        if tag in _RAW:
-            end = _RAW[tag].search(page, i)
-            i = end.end() if end else n
-            continue
-        stack.append(e)
-    return out
+class _Page:
+    """Elements in page order (a parent before its children), and text nodes with their element and block."""
+
+    def __init__(self, page: str):
+        self.elements: list[_Element] = [_Element("", 0, None, 0)]
+        self.paths: dict[tuple[int, str], int] = {}
+        self.nodes: list[_Node] = []
+        self._read(page)
+
+    def _open(self, tag: str, raw: str, parent: _Element) -> _Element:
+        attrs: dict[str, str] = {}
+        if raw and not raw.isspace():
+            for m in _ATTR.finditer(raw):
+                v = m[2] or ""
+                attrs.setdefault(m[1].lower(), v[1 : -1 if v[-1] == v[0] and len(v) > 1 else None] if v[:1] in ("'", '"') else v)
+        role = attrs.get("role", "").lower()
+        names = f"{attrs.get('class', '')} {attrs.get('id', '')}".split()
+        label = tag + "".join("." + x for x in names) + (f"[{role}]" if role else "")
+        e = _Element(tag, self.paths.setdefault((parent.path, label), len(self.paths) + 1), parent, len(self.elements))
+        self.elements.append(e)
+        if role in ("main", "article"):
+            e.root = e.rooted = True
+        if tag in _DROP or "hidden" in attrs or attrs.get("aria-hidden") == "true" or _HIDDEN.search(attrs.get("style", "")):
+            e.dropped = True
+        if tag in _MARKED or role in _ROLES:
+            e.marked = True
+        elif tag == "form" or tag == "header" and not parent.rooted:  # a header inside an article holds its title
+            e.marked = e.often = True
+        elif names and tag not in ("html", "body", "main", "h1", "h2", "h3", "h4", "h5", "h6") and any(map(marks, names)):
+            e.marked = e.often = True
+        return e
+
+    def _read(self, page: str) -> None:
+        stack, out, block, i, n = [self.elements[0]], self.nodes, 0, 0, len(page)
+        open_: Counter[str] = Counter()  # so that no search goes through the stack for what isn't there
+
+        def text(a: int, b: int) -> None:
+            if a < b:
+                s = page[a:b]
+                out.append(_Node(_html.unescape(s) if "&" in s else s, stack[-1], block))
+
+        def cut(k: int) -> bool:
+            """Close stack[k] and all above it; whether one of them is a block."""
+            gone = stack[k:]
+            open_.subtract(x.tag for x in gone)
+            del stack[k:]
+            return any(x.tag in _BLOCK for x in gone)
+
+        while i < n:
+            m = _TOKEN.search(page, i)
+            if not m:
+                text(i, n)
+                break
+            text(i, m.start())
+            i = m.end()
+            if m[2] is None:
+                continue
+            if page[i - 1] != ">":
+                break  # the page ends inside a tag
+            tag = m[2].lower()
+            if m[1]:
+                if open_[tag] > 0:
+                    k = len(stack) - 1
+                    while stack[k].tag != tag:
+                        k -= 1
+                    block += cut(k)
+                continue
+            if tag in _ENDS_P and open_["p"] > 0:
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag == "p":
+                        cut(k)
+                        break
+                    if stack[k].tag in ("table", "button", "td", "th", "object"):
+                        break
+            if tag in _CLOSES and any(open_[x] > 0 for x in _CLOSES[tag]):
+                for k in range(len(stack) - 1, 0, -1):
+                    if stack[k].tag in _CLOSES[tag]:
+                        cut(k)
+                    elif stack[k].tag in _SCOPE[tag]:
+                        break
+            if tag in ("html", "body") and open_[tag] > 0:
+                continue
+            if tag == "body" and open_["head"] > 0:
+                cut(next(k for k, x in enumerate(stack) if x.tag == "head"))
+            if tag in _BLOCK:
+                block += 1
+            if tag == "br" and out:
+                out.append(_Node(" ", stack[-1], block))
+            if tag in _VOID:
+                continue
+            e = self._open(tag, m[3] or "", stack[-1])
+            if tag in _RAW:
+                end = _RAW[tag].search(page, i)
+                i = end.end() if end else n
+                continue
+            stack.append(e)
+            open_[tag] += 1
 
 
 def _smooth(x: np.ndarray) -> np.ndarray:
@@ -163,95 +205,99 @@ def _smooth(x: np.ndarray) -> np.ndarray:
     return np.convolve(np.pad(x, 2, mode="edge"), k, "valid")
 
 
-def path_scores(found: list[_Node]) -> dict[str, float]:
-    """Smoothed and fused ratios of each tag path."""
+def path_scores(found: list[_Node]) -> np.ndarray:
+    """For each node the smoothed and fused ratios of its tag path."""
     size = np.array([len(x.text.strip()) for x in found], float)
     punct = np.array([len(_PUNCT.findall(x.text)) for x in found], float)
     link = np.array([x.at.link for x in found], float) * size
-    index: dict[str, int] = {}
-    of = np.array([index.setdefault(x.at.path, len(index)) for x in found])
+    of = np.unique(np.array([x.at.path for x in found]), return_inverse=True)[1]
     count = np.bincount(of).astype(float)
-    total = lambda v: np.bincount(of, v, minlength=len(index))
+    total = lambda v: np.bincount(of, v)
     free = 1 - total(link) / np.maximum(total(size), 1)
     text_ratio, punct_ratio = total(size) / count, (1 + total(punct)) / count
     fused = _smooth((text_ratio * free)[of]) * _smooth(np.log1p(punct_ratio * free)[of])
-    mean = total(fused) / count
-    return {p: float(mean[k]) for p, k in index.items()}
-
-
-def _weigh(some: list[_Node]) -> tuple[dict[str, float], float, dict[_Element, float]]:
-    """Scores of the paths, their threshold, and the weight of content at and below each element."""
-    scores = path_scores(some)
-    cut = FRACTION * float(np.std(list(scores.values())))
-    own: dict[_Element, float] = {}
-    for x in some:
-        if scores[x.at.path] >= cut:
-            own[x.at] = own.get(x.at, 0.0) + len(x.text.strip()) * (0.1 if x.at.link else 1.0)
-    below: dict[_Element, float] = {}
-    for e, w in own.items():
-        while e is not None:
-            below[e] = below.get(e, 0.0) + w
-            e = e.parent
-    return scores, cut, below
-
-
-def _parts(found: list[_Node]) -> set[_Element]:
-    """Elements that their names mark as something else than content, without those that hold the page's content."""
-    named: set[_Element] = set()
-    for e in {x.at for x in found}:
-        while e is not None:
-            if e.named:
-                named.add(e)
-            e = e.parent
-    if not named:
-        return named
-    _, _, below = _weigh(found)
-    total = max((w for e, w in below.items() if e.parent is None), default=0.0)
-    for part in [e for e in named if below.get(e, 0.0) > MOST * total]:
-        up: set[_Element] = set()
-        at: _Element | None = part
-        while at is not None:
-            up.add(at)
-            at = at.parent
-        apart = {e for e in below if e.root and e not in up and not _inside(e, {part})}
-        if sum(below[e] for e in apart if not _inside(e.parent, apart)) < ASIDE * total:
-            named.discard(part)
-    return named
+    return (total(fused) / count)[of]
+
+
+def _threshold(found: list[_Node], scores: np.ndarray) -> float:
+    """A fraction of the deviation of the scores, each path once."""
+    each = {(x.at.path, s): s for x, s in zip(found, scores.tolist())}
+    return FRACTION * float(np.std(list(each.values())))
+
+
+def _weights(elements: list[_Element], found: list[_Node], scores: np.ndarray, cut: float) -> list[float]:
+    """The weight of content at and below each element."""
+    below = [0.0] * len(elements)
+    for x, s in zip(found, scores.tolist()):
+        if s >= cut:
+            below[x.at.at] += len(x.text.strip()) * (0.1 if x.at.link else 1.0)
+    for e in reversed(elements[1:]):
+        below[e.parent.at] += below[e.at]
+    return below
+
+
+def _under_marks(elements: list[_Element], found: list[_Node]) -> list[bool]:
+    """For each element whether it is, or is inside, a marked one; not by a mark that holds the page's content."""
+    void: set[int] = set()
+    if any(e.often for e in elements):
+        scores = path_scores(found)
+        below = _weights(elements, found, scores, _threshold(found, scores))
+        # how much of the weight articles cover: below each element, in its children, and apart from its own line
+        cover, within, apart = [0.0] * len(elements), [0.0] * len(elements), [0.0] * len(elements)
+        for e in reversed(elements):
+            cover[e.at] = below[e.at] if e.root else within[e.at]
+            if e.parent:
+                within[e.parent.at] += cover[e.at]
+        for e in elements[1:]:
+            apart[e.at] = apart[e.parent.at] + within[e.parent.at] - cover[e.at]
+            if e.often and below[e.at] > MOST * below[0] and apart[e.at] < ASIDE * below[0]:
+                void.add(e.at)
+    out = [False] * len(elements)
+    for e in elements[1:]:
+        out[e.at] = out[e.parent.at] or e.marked and e.at not in void
+    return out
+
+
+def _roots(elements: list[_Element], below: list[float]) -> list[bool]:
+    """For each element whether it is, or is inside, a content root."""
+    out = [False] * len(elements)
+    held = 0.0
+    for e in elements:  # the outermost articles: one page may hold several
+        out[e.at] = bool(e.parent and out[e.parent.at])
+        if e.root and not out[e.at] and below[e.at] > 0:
+            out[e.at] = True
+            held += below[e.at]
+    if held >= BULK * below[0]:
+        return out
+    deep = max((e for e in elements if below[e.at] >= BULK * below[0] and (e.tag in _BLOCK or e.parent is None)), key=lambda e: e.depth)
+    # a lone block that holds the bulk is the article's body only with its siblings
+    if deep.tag in ("p", "h1", "h2", "h3", "li", "blockquote", "pre", "td") and deep.parent is not None:
+        deep = deep.parent
+    out = [False] * len(elements)
+    for e in elements[deep.at :]:
+        out[e.at] = e is deep or bool(e.parent and out[e.parent.at])
+    return out
 
 
 def main_text(page: str) -> str:
-    live = [x for x in nodes(page) if x.text and not x.at.dropped]
-    parts = _parts([x for x in live if x.text.strip()])
-    if parts:
-        away = {e: _inside(e, parts) for e in {x.at for x in live}}
-        live = [x for x in live if not away[x.at]]
+    parsed = _Page(page)
+    elements, live = parsed.elements, [x for x in parsed.nodes if x.text and not x.at.dropped]
     some = [x for x in live if x.text.strip()]
     if not some:
         return ""
-    scores, cut, below = _weigh(some)
-    total = max(w for e, w in below.items() if e.parent is None)
-    marked = {e for e in below if e.root}
-    # the outermost marked elements: one page may hold several articles
-    roots = {e for e in marked if not _inside(e.parent, marked)}
-    if sum(below[e] for e in roots) < BULK * total:
-        fit = [e for e, w in below.items() if w >= BULK * total and (e.tag in _BLOCK or e.parent is None)]
-        deep = max(fit, key=lambda e: e.depth)
-        # a lone block that holds the bulk is the article's body only with its siblings
-        if deep.tag in ("p", "h1", "h2", "h3", "li", "blockquote", "pre", "td") and deep.parent is not None:
-            deep = deep.parent
-        roots = {deep}
-    known: dict[_Element, bool] = {}
-    chosen: set[int] = set()
-    for x in some:
-        inside = known.get(x.at)
-        if inside is None:
-            inside = known[x.at] = _inside(x.at, roots)
-        if scores[x.at.path] >= cut or inside and not x.at.link:
+    marked = _under_marks(elements, some)
+    scores = path_scores(some) * np.array([PRIOR if marked[x.at.at] else 1.0 for x in some])
+    cut = _threshold(some, scores)
+    roots = _roots(elements, _weights(elements, some, scores, cut))
+    chosen, kept = set(), set()
+    for x, s in zip(some, scores.tolist()):
+        if s >= cut or roots[x.at.at] and not x.at.link and not marked[x.at.at]:
             chosen.add(x.block)
+            kept.add(id(x))
     blocks: list[list[str]] = []
     last = None
     for x in live:
-        if x.block not in chosen:
+        if x.block not in chosen or marked[x.at.at] and id(x) not in kept:
             continue
         if x.block != last:
             blocks.append([])
@@ -260,14 +306,6 @@ def main_text(page: str) -> str:
     return "\n".join(t for b in blocks if (t := " ".join("".join(b).split())))
 
 
-def _inside(e: _Element | None, roots: set) -> bool:
-    while e is not None:
-        if e in roots:
-            return True
-        e = e.parent
-    return False
-
-
 def _extract(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for i in range(0, batch.num_rows, 500):
