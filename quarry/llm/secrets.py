@@ -1,14 +1,15 @@
 """Secret scanning by one deterministic automaton over bytes.
 
 All rules are compiled into one NFA, made deterministic by subset construction over classes of equal bytes, and minimised
-by partition refinement into one transition array. A batch of texts is one buffer, scanned once: it is cut into lanes
-that step together, each lane starting in the state in which the one before it ended (lanes whose guess of that state
-was wrong are run again until all agree, so the result is that of one pass from left to right). No rule holds a newline,
-and texts are joined by one, so that none reaches over.
+by partition refinement into one transition array. It is that of the rules read backwards, so that it accepts at the byte
+where a match begins. A batch of texts is one buffer, scanned once from its end: it is cut into lanes that step together,
+each lane starting in the state in which the one before it ended (lanes whose guess of that state was wrong are run again
+until all agree, so the result is that of one pass). No rule holds a newline, and texts are joined by one, so that none
+reaches over.
 
-Where the automaton accepts, the rule's own minimised automaton gives the spans of the text: leftmost, longest, not
-overlapping per kind, as a backtracking matcher finds them for these rules; matches that miss the rule's least length are
-dropped but consume their bytes.
+From the first marked byte of a rule its own minimised automaton runs to the end of the longest match, and goes on at the
+next mark behind it: spans are leftmost, longest, not overlapping per kind, as a backtracking matcher finds them for these
+rules, and only bytes of matches are read again. Matches that miss the rule's least length are dropped but consume their bytes.
 
 Edge cases: null counts as empty; a text without secrets has empty ``spans`` and the digest of the empty string; repeated
 rows get equal results; an empty table gives an empty result; other columns are ignored.
@@ -163,15 +164,22 @@ class Automaton(NamedTuple):
     dead: int  # the state nothing leaves, or -1
 
 
-def compile_rules(patterns: Iterable[tuple[str, bool]], anywhere: bool) -> Automaton:
-    """Minimal deterministic automaton of all patterns; ``anywhere``: a match may begin at each byte."""
+def compile_rules(patterns: Iterable[tuple[str, bool]], backwards: bool) -> Automaton:
+    """Minimal deterministic automaton of all patterns; ``backwards``: of the patterns reversed, and anywhere in a text."""
     nfa = _Nfa()
+    built = [nfa.build(pattern, any_case) for pattern, any_case in patterns]
+    if backwards:
+        empty, edges = nfa.empty, nfa.edges
+        nfa.empty, nfa.edges = [[] for _ in empty], [[] for _ in edges]
+        for s in range(len(empty)):
+            for t in empty[s]:
+                nfa.empty[t].append(s)
+            for got, t in edges[s]:
+                nfa.edges[t].append((got, s))
+        built = [(b, a) for a, b in built]
     first = nfa.state()
-    ends: dict[int, int] = {}
-    for k, (pattern, any_case) in enumerate(patterns):
-        a, b = nfa.build(pattern, any_case)
-        nfa.empty[first].append(a)
-        ends[b] = k
+    nfa.empty[first] += [a for a, _ in built]
+    ends = {b: k for k, (_, b) in enumerate(built)}
     # classes of bytes that no edge tells apart
     sets = {s for es in nfa.edges for s, _ in es}
     kinds: dict[tuple, int] = {}
@@ -193,7 +201,7 @@ def compile_rules(patterns: Iterable[tuple[str, bool]], anywhere: bool) -> Autom
     for state in todo:
         row = []
         for k in range(len(kinds)):
-            into: set[int] = set(start) if anywhere else set()
+            into: set[int] = set(start) if backwards else set()
             for s in state:
                 for got, t in nfa.edges[s]:
                     if one[k] in got:
@@ -227,22 +235,21 @@ def combined() -> Automaton:
 
 
 @lru_cache(None)
-def single(k: int) -> tuple[list[list[int]], list[bool], int, int, bytes]:
+def single(k: int) -> tuple[list[list[int]], list[bool], int, int]:
     a = compile_rules([(RULES[k].pattern, RULES[k].any_case)], False)
-    firsts = bytes(b for b in range(256) if a.next[a.start, b] != a.dead)
-    return a.next.tolist(), [bool(x) for x in a.accept], a.start, a.dead, firsts
+    return a.next.tolist(), [bool(x) for x in a.accept], a.start, a.dead
 
 
 LANE = 192
 
 
 def scan(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Positions of data at which a rule accepts, and the masks of rules."""
+    """Positions of data at which a match of a rule begins, ascending, and the masks of rules."""
     a = combined()
     n = len(data)
     lanes = max(1, -(-n // LANE))
     grid = np.full(lanes * LANE, 10, np.uint8)
-    grid[:n] = data
+    grid[:n] = data[::-1]
     grid = np.ascontiguousarray(grid.reshape(lanes, LANE).T)
     states = np.zeros((LANE, lanes), np.int32)
     table = a.next.ravel()
@@ -259,17 +266,16 @@ def scan(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         begin = real
     hit = a.accept[states] != 0
     k, lane = np.nonzero(hit)
-    at = lane * LANE + k
+    at = n - 1 - (lane * LANE + k)
     order = np.argsort(at)
     return at[order], a.accept[states[k, lane]][order]
 
 
-def find(text: bytes, k: int) -> list[tuple[int, int]]:
-    """Spans (bytes) of rule k in text."""
+def follow(text: bytes, k: int, begins: list[int]) -> list[tuple[int, int]]:
+    """Spans (bytes) of rule k in text, given all positions at which a match of it begins, ascending."""
     rule = RULES[k]
-    step, accept, start, dead, firsts = single(k)
+    step, accept, start, dead = single(k)
     out, i, n = [], 0, len(text)
-    begins = [p for p in range(n) if text[p] in firsts] if len(firsts) < 64 else range(n)
     for p in begins:
         if p < i:
             continue
@@ -281,8 +287,6 @@ def find(text: bytes, k: int) -> list[tuple[int, int]]:
             q += 1
             if accept[s]:
                 end = q
-        if end < 0:
-            continue
         i = end
         length = end - p
         if rule.value:
@@ -299,9 +303,9 @@ def find(text: bytes, k: int) -> list[tuple[int, int]]:
     return out
 
 
-def spans(text: bytes, mask: int) -> list[tuple[int, int, int]]:
-    """(start, kind, end) in code points, ascending, of the rules in mask."""
-    found = sorted((p, k, e) for k in range(len(RULES)) if mask >> k & 1 for p, e in find(text, k))
+def spans(text: bytes, at: np.ndarray, masks: np.ndarray) -> list[tuple[int, int, int]]:
+    """(start, kind, end) in code points, ascending, given where matches of which rules begin."""
+    found = sorted((p, k, e) for k in range(len(RULES)) for p, e in follow(text, k, at[masks >> k & 1 == 1].tolist()))
     if not text.isascii():
         ahead = np.concatenate([[0], np.cumsum((np.frombuffer(text, np.uint8) & 0xC0) != 0x80)])
         found = [(int(ahead[p]), k, int(ahead[e])) for p, k, e in found]
@@ -322,10 +326,10 @@ def _scan(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros((docs, len(base)), np.int64)
         sha, all_ = [nothing] * docs, [""] * docs
         if len(at):
-            of = np.searchsorted(t.off[1:] + np.arange(docs), at)
-            for d in np.unique(of).tolist():
-                mask = int(np.bitwise_or.reduce(masks[of == d]))
-                got = spans(t.data[t.off[d] : t.off[d + 1]].tobytes(), mask)
+            first = np.searchsorted(at, t.off + np.arange(docs + 1))
+            for d in np.flatnonzero(np.diff(first)).tolist():
+                mine = slice(first[d], first[d + 1])
+                got = spans(t.data[t.off[d] : t.off[d + 1]].tobytes(), at[mine] - t.off[d] - d, masks[mine])
                 mine = [x for x in got if x[1] in base]
                 for j, k in enumerate(base):
                     counts[d, j] = sum(x[1] == k for x in mine)
