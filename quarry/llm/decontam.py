@@ -7,16 +7,18 @@ Every window of an item's size, at every word of every text, is a candidate, unl
 all but k of an item's words, and all but k of the different rare ones among them (those that few items have). So a window
 is only looked up where that many rare words of one item lie close enough, and where enough of its words occur in any item;
 running sums over all words tell both, and no match is lost. The rest are embedded by CGK random walks: at step j the walk emits the word it stands on and moves on if a random
-bit of (walk, j, word) says so, which turns edit distance into Hamming distance. Tables sample SAMPLES positions of an
-embedding; the number of tables follows from the target recall at agreement AGREE. Windows that meet an item in a table are
-verified exactly by bit-parallel dynamic programming over the passage with its margins.
+bit of (walk, j, word) says so, which turns edit distance into Hamming distance. Each table samples one position of an
+embedding (the first DENSE positions of a walk, half of the others); an item is in those that lie within twice its size.
+Windows that meet an item in a table are verified exactly by bit-parallel
+dynamic programming over the passage with its margins.
 
 Agreement falls as items grow and by the kind of edits, so it is measured for each item size at the most edits allowed
-(`recall`: words changed, dropped and added, scattered and in one block). Sizes at which the tables miss the target recall
-don't use them: there every passage that passes the exact bounds is verified.
+(`walks`: words changed, dropped and added, scattered and in one block), and the size gets as many walks as reach the target
+recall for the worst kind. Where even the most walks miss it (items of some 60 words and more), every passage that passes the
+exact bounds is verified instead.
 
-The benchmark is taken in blocks of at most BLOCK_CHARS characters; each block goes to the executors and is run against all
-documents, so any benchmark size works.
+The benchmark is taken in blocks of at most BLOCK_CHARS characters (or one longer item); each block goes to the executors and
+is run against all documents before the next is read, so any benchmark size works.
 
 Edge cases: null texts and null items count as empty; items without words are skipped; those of fewer than 1 / MAX_SHARE words
 are found where they occur word for word (a script without spaces is one word from one ASCII separator to the next);
@@ -27,19 +29,22 @@ empty benchmark or table gives an empty result; other columns are ignored (``dro
 from __future__ import annotations
 
 import math
+import uuid
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quarry.llm._common import Alphabet, Texts, map_arrow, mix64, text_slices, words
+from quarry.llm._common import Alphabet, Texts, map_arrow, mix64, stage, text_slices, unstage, words
 
 MAX_SHARE = 0.2
-TARGET_RECALL, AGREE, SAMPLES, WALKS = 0.999, 0.35, 2, 9
-TABLES = math.ceil(math.log(1 - TARGET_RECALL) / math.log(1 - AGREE**SAMPLES) / WALKS)
-BLOCK_CHARS = 4_000_000
+TARGET_RECALL, DENSE, WALKS = 0.999, 16, (8, 16, 32, 64)
+#: Items of more words aren't measured: long before, the most walks miss the target.
+MEASURED = 512
+BLOCK_CHARS = 2_000_000
 RARE, LEAST_KEPT, CHUNK = 0.02, 3, 2048
 _ABC = Alphabet(fold=True, punctuation=True)
 _FILTER_BITS = 20
@@ -65,14 +70,15 @@ def embed(rows: np.ndarray, length: int, walk: int) -> tuple[np.ndarray, np.ndar
     return out, stood
 
 
-def keys(emitted: np.ndarray, stood: np.ndarray, size: int, walk: int) -> Iterator[np.ndarray]:
-    """One key per row for each table of a walk; what lies beyond the row's first ``size`` words is padding."""
-    rng = np.random.default_rng(5000 + walk * 131 + size)
-    for _ in range(TABLES):
-        key = np.zeros(emitted.shape[1], np.uint64)
-        for j in rng.integers(0, 2 * size, SAMPLES):
-            key = mix64(key * np.uint64(0x9E3779B97F4A7C15) + np.where(stood[j] < size, emitted[j], _PAD) + np.uint64(j))
-        yield key
+def positions(length: int, walk: int) -> np.ndarray:
+    """The positions of embeddings of so many words that a walk's tables sample."""
+    draw = np.random.default_rng(5000 + walk).random(2 * length)
+    return np.flatnonzero((np.arange(2 * length) < DENSE) | (draw < 0.5))
+
+
+def keys(emitted: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """A key for each position and row."""
+    return mix64(emitted[at] + at[:, None].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
 def _edited(items: np.ndarray, k: int, rng: np.random.Generator) -> list[np.ndarray]:
@@ -106,19 +112,31 @@ def _edited(items: np.ndarray, k: int, rng: np.random.Generator) -> list[np.ndar
     return out
 
 
-def recall(size: int, k: int, trials: int = 200) -> float:
-    """Measured chance that the tables find an item of so many words after k edits, of the kind that they find least."""
+def _recalls(size: int, k: int, trials: int = 100) -> Iterator[float]:
+    """After each walk the chance that the tables so far find an item of so many words after k edits, of the kind that they
+    find least."""
     rng = np.random.default_rng(size)
     items = rng.integers(1, 1 << 63, (trials, size), dtype=np.uint64)
     kinds = np.stack(_edited(items, k, rng))
     missed = np.ones(kinds.shape[:2])
-    for walk in range(WALKS):
+    for walk in range(WALKS[-1]):
         own, _ = embed(items, size, walk)
         rows, _ = embed(kinds.reshape(-1, size), size, walk)
         # beyond the item's end both are padding only where both stand there; counted as different
         agree = (rows.reshape(2 * size, *missed.shape) == own[:, None, :]).mean(axis=0)
-        missed *= (1 - agree**SAMPLES) ** TABLES
-    return float(1 - missed.mean(axis=1).max())
+        missed *= (1 - agree) ** len(positions(size, walk))
+        yield float(1 - missed.mean(axis=1).max())
+
+
+@lru_cache(None)
+def walks(size: int, k: int) -> int:
+    """The walks that reach the target recall at this size, or 0."""
+    if size > MEASURED:
+        return 0
+    for n, got in enumerate(_recalls(size, k), 1):
+        if n in WALKS and got >= TARGET_RECALL:
+            return n
+    return 0
 
 
 def infix_distance(pattern: list[int], text: list[int]) -> tuple[int, int]:
@@ -179,17 +197,34 @@ class Index:
         self.first_of = np.searchsorted(pairs[:, 0], np.arange(len(self.vocabulary) + 1))
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[(self.vocabulary >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
-        self.longest = max(self.sizes, default=0)
+        self.walks = {size: n for size in self.sizes if (n := walks(size, int(share * size)))}
+        self.whole = self.sizes.keys() - self.walks.keys()
+        self.longest = max(self.walks, default=0)
         self.sets = {size: [frozenset(h.tolist()) for _, h in xs] for size, xs in self.sizes.items()}
         self.nth = [y for _, y, _ in flat]
         self.words = [np.unique(self.sizes[size][y][1]) for size, y, _ in flat]
-        self.whole = {size for size in self.sizes if recall(size, int(share * size)) < TARGET_RECALL}
-        self.tables = {size: [[self._table(k) for k in keys(*embed(np.stack([h for _, h in xs]), size, walk), size, walk)] for walk in range(WALKS)] for size, xs in self.sizes.items() if size not in self.whole}
-
-    @staticmethod
-    def _table(k: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(k, kind="stable")
-        return k[order], order
+        self.name = uuid.uuid4().hex
+        self._made: list[tuple] = []
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_made": []}  # tables are made where they are used
+
+    def tables(self, walk: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The tables of a walk as one: sorted keys, the items in that order, and a filter of the keys."""
+        while len(self._made) <= walk:
+            nth = len(self._made)
+            mine = [i for i, size in enumerate(self.size.tolist()) if nth < self.walks.get(size, 0)]
+            rows = [np.pad(self.sizes[size][y][1], (0, self.longest - size), constant_values=_PAD) for i in mine for size, y in [(int(self.size[i]), self.nth[i])]]
+            emitted, stood = embed(np.stack(rows), self.longest, nth)
+            at = positions(self.longest, nth)
+            size = self.size[mine]
+            there = (at[:, None] < 2 * size) & (stood[at] < size)
+            key, item = keys(emitted, at)[there], np.broadcast_to(np.array(mine, np.int32), there.shape)[there]
+            order = np.argsort(key, kind="stable")
+            filter_ = np.zeros(1 << _FILTER_BITS, bool)
+            filter_[(key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)] = True
+            self._made.append((key[order], item[order], filter_))
+        return self._made[walk]
 
     def known(self, h: np.ndarray) -> np.ndarray:
         """Number in the vocabulary of each word, or -1."""
@@ -296,54 +331,70 @@ class Index:
 
     def _windows(self, at: np.ndarray, starts: dict, stop: np.ndarray, w, best: dict) -> None:
         """Look up all windows that start at ``at``."""
-        cols = at[:, None] + np.arange(self.longest)
+        fit = {size: there for size, p in starts.items() if (there := np.isin(at, p, assume_unique=True)).any()}
+        numbers = np.full(self.longest + 1, 0)
+        numbers[list(fit)] = np.arange(1, len(fit) + 1)
+        fits = np.stack([np.zeros(len(at), bool), *fit.values()])
+        cols = at[:, None] + np.arange(max(fit))
         rows = np.where(cols < stop[at][:, None], w.hash[np.minimum(cols, len(w.hash) - 1)], _PAD)
-        mine = {size: x for size, p in starts.items() if len(x := np.flatnonzero(np.isin(at, p, assume_unique=True)))}
-        pairs: dict[int, set[tuple[int, int]]] = {size: set() for size in mine}
-        for walk in range(WALKS):
-            emitted, stood = embed(rows, max(mine, default=0), walk)
-            for size, x in mine.items():
-                for (sorted_, order), key in zip(self.tables[size][walk], keys(emitted[: 2 * size, x], stood[: 2 * size, x], size, walk)):
-                    lo = np.searchsorted(sorted_, key)
-                    for y in np.flatnonzero(sorted_[np.minimum(lo, len(sorted_) - 1)] == key).tolist():
-                        z = int(lo[y])
-                        while z < len(sorted_) and sorted_[z] == key[y]:
-                            pairs[size].add((int(order[z]), int(x[y])))
-                            z += 1
-        for size, found in pairs.items():
-            self._verify(size, sorted(found), at, rows, stop, w, best)
-
-    def _verify(self, size: int, found: list, at: np.ndarray, rows: np.ndarray, stop: np.ndarray, w, best: dict) -> None:
-        k, items = int(self.share * size), self.sizes[size]
-        for y, x in found:
-            start = int(at[x])
-            doc = int(w.doc[start])
-            item, h = items[y]
-            if best.get((doc, item), (1,))[0] == 0:
-                continue
-            mine = self.sets[size][y]
-            if sum(v in mine for v in rows[x, :size].tolist()) < size - k:
-                continue
-            lo = max(int(w.first[doc]), start - k)
-            self._measure(item, h, k, lo, w.hash[lo : min(start + size + k, int(stop[start]))].tolist(), w, doc, best)
-
-
-def _blocks(benchmark: DataFrame) -> Iterator[list[tuple[int, str]]]:
-    sized = benchmark.select(F.col("item_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("text"))
+        met = []
+        for walk in range(max(self.walks[size] for size in fit)):
+            sorted_, order, filter_ = self.tables(walk)
+            emitted, stood = embed(rows, max(fit), walk)
+            j = positions(self.longest, walk)
+            j = j[j < len(emitted)]
+            key = keys(emitted, j)
+            y, x = np.nonzero(filter_[(key >> np.uint64(64 - _FILTER_BITS)).astype(np.int64)])
+            key = key[y, x]
+            lo, hi = np.searchsorted(sorted_, key), np.searchsorted(sorted_, key, "right")
+            times = hi - lo
+            nth = np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
+            item = order[np.repeat(lo, times) + nth]
+            y, x = np.repeat(y, times), np.repeat(x, times)
+            size = self.size[item]
+            ok = fits[numbers[size], x] & (stood[j[y], x] < size)
+            met.append(np.unique(item[ok].astype(np.int64) * len(at) + x[ok]))
+        for code in np.unique(np.concatenate(met)).tolist():
+            self._verify(code // len(at), int(at[code % len(at)]), rows[code % len(at)], stop, w, best)
+
+    def _verify(self, i: int, start: int, row: np.ndarray, stop: np.ndarray, w, best: dict) -> None:
+        size, doc = int(self.size[i]), int(w.doc[start])
+        k, mine = int(self.share * size), self.sets[size][self.nth[i]]
+        item, h = self.sizes[size][self.nth[i]]
+        if best.get((doc, item), (1,))[0] == 0 or sum(v in mine for v in row[:size].tolist()) < size - k:
+            return
+        lo = max(int(w.first[doc]), start - k)
+        self._measure(item, h, k, lo, w.hash[lo : min(start + size + k, int(stop[start]))].tolist(), w, doc, best)
+
+
+def _blocks(benchmark: DataFrame) -> Iterator[tuple[list[tuple[int, str]], bool]]:
+    """The items of each block, and whether there are several blocks."""
+    sized = benchmark.select(F.col("item_id").alias("item_id"), F.coalesce("text", F.lit("")).alias("text")).distinct()
     total = sized.agg(F.sum(F.length("text"))).first()[0] or 0
     n = max(1, math.ceil(total / BLOCK_CHARS))
     for b in range(n):
         part = sized if n == 1 else sized.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b)
         rows = [(r["item_id"], r["text"]) for r in part.collect()]
         if rows:
-            yield sorted(rows, key=lambda r: (r[0] is None, r[0], r[1]))
+            yield sorted(rows, key=lambda r: (r[0] is None, r[0], r[1])), n > 1
 
 
 SCHEMA = "doc_id long, item_id long, distance int, item_words int, first_word int, end_word int"
 
 
-def _find(index: Index):
+_HELD: list[Index] = []
+
+
+def _held(index: Index) -> Index:
+    """The index that this process already has by the same name, with its tables."""
+    if not _HELD or _HELD[0].name != index.name:
+        _HELD[:] = [index]
+    return _HELD[0]
+
+
+def _find(given: Index):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _held(given)
         for t in text_slices(batches):
             hits = sorted(index.hits(t), key=lambda x: (x[0], x[1] is None, x[1] or 0))
             ids = t.rows.column(0).to_pylist() if hits else []
@@ -357,28 +408,37 @@ def _find(index: Index):
 def matches(docs: DataFrame, benchmark: DataFrame, share: float = MAX_SHARE) -> DataFrame:
     """One row per document and item that it holds: doc_id, item_id, distance, item_words, first_word, end_word."""
     slim = docs.select("doc_id", "text")
-    out = docs.sparkSession.createDataFrame([], SCHEMA)
-    made = [map_arrow(slim, _find(Index(block, share)), SCHEMA) for block in _blocks(benchmark)]
-    for k, x in enumerate(made):
-        out = x if k == 0 else out.union(x)
-    return out
+    out = None
+    for part, several in _blocks(benchmark):
+        found = map_arrow(slim, _find(Index(part, share)), SCHEMA)
+        found = stage(found, "dc_found") if several else found
+        out = found if out is None else out.union(found)
+    return docs.sparkSession.createDataFrame([], SCHEMA) if out is None else out
+
+
+def _without(given: Index, at: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = _held(given)
+        for batch in batches:
+            ok = np.ones(batch.num_rows, bool)
+            i = 0
+            for t in text_slices([pa.RecordBatch.from_arrays([batch.column(at)], ["text"])]):
+                for hit in index.hits(t):
+                    ok[i + hit[0]] = False
+                i += t.rows.num_rows
+            yield batch.filter(pa.array(ok))
+
+    return run
 
 
 def drop(docs: DataFrame, benchmark: DataFrame, share: float = MAX_SHARE) -> DataFrame:
     """The rows of docs that hold no item, all columns; one pass per block of the benchmark."""
-    at = docs.columns.index("text")
-    for block in _blocks(benchmark):
-        index = Index(block, share)
-
-        def run(batches: Iterable[pa.RecordBatch], index: Index = index) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                ok = np.ones(batch.num_rows, bool)
-                i = 0
-                for t in text_slices([pa.RecordBatch.from_arrays([batch.column(at)], ["text"])]):
-                    for hit in index.hits(t):
-                        ok[i + hit[0]] = False
-                    i += t.rows.num_rows
-                yield batch.filter(pa.array(ok))
-
-        docs = map_arrow(docs, run, docs.schema)
+    at, old = docs.columns.index("text"), None
+    for part, several in _blocks(benchmark):
+        docs = map_arrow(docs, _without(Index(part, share), at), docs.schema)
+        if several:  # no block's index stays at the driver
+            docs = stage(docs, "dc_kept")
+            if old is not None:
+                unstage(old)
+            old = docs
     return docs
