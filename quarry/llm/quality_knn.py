@@ -1,15 +1,17 @@
 """Quality by nearest-neighbour voting over latent-semantic vectors.
 
-A text's terms are its byte pairs (log counts) and a few shape terms: how often its commonest word, its distinct words,
-symbols, capitals, digits and separators occur, in steps. The terms of a bounded sample of labelled rows (at most
-``MAX_ROWS``, first by digest of the id, at most ``MAX_CHARS`` characters; never from the held-out fold) are weighted by
-inverse document frequency and factored (truncated SVD) into ``DIMS`` latent dimensions. The labelled vectors, at most
-MAX_ROWS * DIMS floats, go to every executor. Each document's vector is multiplied with all of them in blocks; the
-exact ``NEIGHBOURS`` nearest by cosine vote with similarity ** POWER as weight, classes weighted to their share over all
-labelled rows.
-
-Edge cases: null and empty texts have the zero vector and score the labelled share of 1; null doc_id has no label and is
-not held out; rows of labels with null or repeated ids count once, with the largest label; without labels all scores
+A text's terms are its words (hashed), the shapes of its words and of neighbouring words (runs of small and capital letters,
+digits, punctuation, symbols; hashed), how many words equal the one 1 to ``LAGS`` places before, and how many belong to
+words that occur once, 2 to 3, 4 to 7, ... times; each by the square root of its count. The terms of a bounded sample of
+labelled rows (at most ``MAX_ROWS``, first by digest of the id, at most ``MAX_CHARS`` characters; never from the held-out
+fold) are weighted by inverse document frequency and factored (truncated SVD) into ``DIMS`` latent dimensions. The labelled
+vectors, at most MAX_ROWS * DIMS floats, go to every executor. Each document's vector is multiplied with all of them in
+blocks; the exact ``NEIGHBOURS`` nearest by cosine vote with similarity ** POWER as weight, classes weighted to their share
+over all labelled rows. Terms were chosen by four folds of the rows that aren't held out.
+
+Edge cases: texts without words, null and empty ones have the zero vector and score the labelled share of 1; null doc_id has
+no label and is not held out; rows of labels with null or repeated ids count once, with the largest label; documents that
+repeat an id with another text all have its label; repeated rows get equal results and train once; without labels all scores
 are 0.5; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -21,54 +23,62 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quarry.llm._common import Alphabet, map_arrow, text_slices, words
+from quarry.llm._common import Alphabet, map_arrow, mix64, text_slices, words
 from quarry.llm.toxicity import held_out, sample
 
 MAX_ROWS, MAX_CHARS = {0: 1500, 1: 2500}, 24_000_000
 DIMS, NEIGHBOURS, POWER, BLOCK = 48, 25, 4, 512
 THRESHOLD, FOLDS, HELD = 0.3, 5, 0
-STEPS, KINDS = 12, 7
-PAIRS = 1 << 12
-TERMS = PAIRS + KINDS * STEPS
-SHAPE = 12.0
+WORDS, SHAPES, LAGS, OCTAVES = 2048, 256, 8, 12
+TERMS = WORDS + 2 * SHAPES + LAGS + OCTAVES
 
 _RAW = Alphabet()
-_KIND = np.full(256, 4, np.int8)
+#: Kinds of characters by their bytes: small letters (with all beyond ASCII), capitals, digits, punctuation, symbols.
+_KIND = np.full(256, 4, np.int64)
 _KIND[97:123] = 0
 _KIND[65:91] = 1
 _KIND[48:58] = 2
-_KIND[[32, *range(9, 14)]] = 0
 _KIND[128:] = 0
-_KIND[list(b".,;:'\"-()")] = 3
-_PAIR = (np.arange(65536, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(52)).astype(np.int64)
+_KIND[list(b".,;:'\"-()!?")] = 3
+
+
+def _hashed(x: np.ndarray, n: int) -> np.ndarray:
+    return ((x * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(40)).astype(np.int64) % n
 
 
 def terms(data: np.ndarray, off: np.ndarray) -> np.ndarray:
     """Dense term matrix of a run of texts, float32."""
     docs = len(off) - 1
-    out = np.zeros((docs, TERMS), np.float32)
     w = words(data, off, _RAW)
-    kinds = _KIND[data]
-    for d in range(docs):
-        b = data[off[d] : off[d + 1]]
-        if not len(b):
-            continue
-        if len(b) > 1:
-            pair = _PAIR[b[:-1].astype(np.int64) * 256 + b[1:]]
-            out[d, :PAIRS] = np.log1p(np.bincount(pair, minlength=PAIRS))
-        h = w.hash[w.first[d] : w.first[d + 1]]
-        n = max(1, len(h))
-        kind = np.bincount(kinds[off[d] : off[d + 1]], minlength=5) / len(b)
-        times = np.unique(h, return_counts=True)[1] if len(h) else np.zeros(1)
-        again = np.count_nonzero(h[1:] == h[:-1]) / n if len(h) > 1 else 0.0
-        shares = (times.max() / n, len(times) / n, again, kind[1], kind[2], kind[3], kind[4])
-        for k, s in enumerate(shares):
-            # neighbouring steps share weight, so that close values are close
-            x = min(max(float(s), 0.0), 1.0) ** 0.5 * (STEPS - 1)
-            i = min(int(x), STEPS - 2)
-            out[d, PAIRS + k * STEPS + i] += SHAPE * (1 - (x - i))
-            out[d, PAIRS + k * STEPS + i + 1] += SHAPE * (x - i)
-    return out
+    h, doc, n = w.hash, w.doc, len(w.hash)
+    if not n:
+        return np.zeros((docs, TERMS), np.float32)
+    # a shape is the kinds of a word's runs of characters, the first seven each by its place
+    kind = _KIND[data]
+    inside = np.zeros(len(data) + 1, np.int64)
+    np.add.at(inside, w.start, 1)
+    np.add.at(inside, w.end, -1)
+    run = np.cumsum(inside[:-1]) > 0
+    run[1:] &= kind[1:] != kind[:-1]
+    run[w.start] = True
+    at = np.flatnonzero(run)
+    of = np.searchsorted(w.start, at, "right") - 1
+    nth = np.minimum(np.arange(len(at)) - np.searchsorted(at, w.start)[of], 6)
+    shape = np.bincount(of, (kind[at] + 1) * 7.0**nth, minlength=n).astype(np.uint64)
+    _, first, times = np.unique(h ^ mix64(doc.astype(np.uint64)), return_index=True, return_counts=True)
+    after = np.flatnonzero(doc[1:] == doc[:-1])
+    found = [
+        (doc, (h >> np.uint64(20)).astype(np.int64) % WORDS),
+        (doc, WORDS + _hashed(shape + np.uint64(1), SHAPES)),
+        (doc[after], WORDS + SHAPES + _hashed(shape[after + 1] * np.uint64(1_000_003) + shape[after], SHAPES)),
+    ]
+    for k in range(1, min(LAGS, n - 1) + 1):
+        same = np.flatnonzero((h[k:] == h[:-k]) & (doc[k:] == doc[:-k]))
+        found.append((doc[same], np.full(len(same), WORDS + 2 * SHAPES + k - 1)))
+    octave = np.minimum(np.log2(times).astype(np.int64), OCTAVES - 1)
+    found.append((np.repeat(doc[first], times), np.repeat(TERMS - OCTAVES + octave, times)))
+    code = np.concatenate([d * TERMS + x for d, x in found])
+    return np.sqrt(np.bincount(code, minlength=docs * TERMS)).astype(np.float32).reshape(docs, TERMS)
 
 
 class Model:
@@ -83,8 +93,7 @@ class Model:
         raw = [t.encode() for t, _ in rows]
         off = np.cumsum([0, *map(len, raw)])
         x = np.concatenate([terms(np.frombuffer(b"".join(raw[i : i + 200]), np.uint8), off[i : i + 201] - off[i]) for i in range(0, len(raw), 200)])
-        idf = np.log((1 + len(x)) / (1 + (x[:, :PAIRS] > 0).sum(axis=0)))
-        self.idf = np.concatenate([idf + 0.2, np.ones(TERMS - PAIRS)]).astype(np.float32)
+        self.idf = (np.log((1 + len(x)) / (1 + (x > 0).sum(axis=0))) + 0.2).astype(np.float32)
         x *= self.idf
         x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
         # truncated SVD by the eigenvectors of the smaller side, after a seeded range finder
@@ -102,6 +111,14 @@ class Model:
     def _unit(v: np.ndarray) -> np.ndarray:
         return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-9)
 
+    def nearest(self, data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For each text whether it has words, its nearest labelled rows, in no order, and their cosines."""
+        x = terms(data, off)
+        sim = self._unit((x * self.idf) @ self.basis) @ self.vectors.T
+        k = min(NEIGHBOURS, sim.shape[1])
+        top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
+        return x.any(axis=1), top, np.take_along_axis(sim, top, 1)
+
     def score(self, data: np.ndarray, off: np.ndarray) -> np.ndarray:
         docs = len(off) - 1
         out = np.full(docs, self.prior)
@@ -109,12 +126,8 @@ class Model:
             return out
         for i in range(0, docs, BLOCK):
             j = min(i + BLOCK, docs)
-            x = terms(data[off[i] : off[j]], off[i : j + 1] - off[i]) * self.idf
-            some = np.diff(off[i : j + 1]) > 0
-            sim = self._unit(x @ self.basis) @ self.vectors.T
-            k = min(NEIGHBOURS, sim.shape[1])
-            top = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-            s = np.clip(np.take_along_axis(sim, top, 1), 0, 1) ** POWER * self.weights[top]
+            some, top, sim = self.nearest(data[off[i] : off[j]], off[i : j + 1] - off[i])
+            s = np.clip(sim, 0, 1) ** POWER * self.weights[top]
             share = (s * self.labels[top]).sum(axis=1) / np.maximum(s.sum(axis=1), 1e-12)
             out[i:j] = np.where(some & (s.sum(axis=1) > 0), share, self.prior)
         return np.clip(out, 0, 1)
