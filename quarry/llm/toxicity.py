@@ -6,12 +6,13 @@ words that the sample lacks); a document is toxic with probability
 proportion to its share in the noisy-or, and the sentences that explain the label are found without sentence labels.
 
 Training uses at most ``MAX_POSITIVE`` and ``MAX_NEGATIVE`` labelled rows whose crc32 remainder is not the held-out one,
-first by a digest of the id, and at most ``MAX_CHARS`` characters of them; classes are weighted back to their true share,
+first by digests of id and text, and at most ``MAX_CHARS`` characters of them; classes are weighted back to their true share,
 which is counted over all labelled rows. Scoring reads every whole text once: bytes are folded by a table, split into
 sentences and words, and summed.
 
 Edge cases: null and empty texts score 0; null doc_id has no label and is not held out; rows of labels with a null label
-or repeated ids are taken once, with the largest label; without labelled rows of both classes all scores are 0; an empty
+or repeated ids are taken once, with the largest label; documents that repeat an id with another text all have its label;
+repeated rows get equal results and train once; without labelled rows of both classes all scores are 0; an empty
 table gives an empty result; other columns are ignored.
 """
 
@@ -54,7 +55,10 @@ def held_out(folds: int = FOLDS, held: int = HELD) -> F.Column:
 
 
 def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: dict[int, int], chars: int) -> tuple[list[tuple[str, int]], dict[int, int]]:
-    """Labelled texts outside the held-out fold, bounded by class and in characters, and the count of each class."""
+    """Labelled texts outside the held-out fold, bounded by class and in characters, and the count of each class.
+
+    Rows are chosen by their lengths alone, first by a digest of the id, then of the text; only chosen texts are fetched.
+    """
     known = labels.where(F.col(label).isNotNull() & F.col("doc_id").isNotNull() & ~held_out(folds, held)).groupBy("doc_id").agg(F.max(label).cast("int").alias("y")).where("y in (0, 1)")
     counts = {r["y"]: r["n"] for r in known.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = F.md5(F.concat(F.lit("sample:"), F.col("doc_id").cast("string")))
@@ -63,16 +67,22 @@ def sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int
         part = known.where(F.col("y") == y).withColumn("o", order).orderBy("o").limit(n)
         pick = part if pick is None else pick.union(part)
     pick = F.broadcast(pick.select(F.col("doc_id").alias("id"), "y", "o"))  # at most sum(most) rows of three columns
-    rows = docs.select("doc_id", "text").join(pick, F.col("doc_id") == F.col("id")).select("o", "y", F.coalesce("text", F.lit("")).alias("text"))
-    got: list[tuple[str, int]] = []
-    left = chars
-    # the bound on characters holds while rows arrive, a partition at a time
-    for r in rows.orderBy("o").limit(sum(most.values())).toLocalIterator():
-        left -= len(r["text"])
-        if left < 0 and got:
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", text.alias("text")).withColumn("t", F.md5("text")).join(pick, F.col("doc_id") == F.col("id"))
+    chosen, left = {}, chars
+    # repeated rows count once
+    for r in rows.groupBy("o", "t").agg(F.max(F.length("text")).alias("n")).orderBy("o", "t").limit(sum(most.values())).collect():
+        left -= r["n"]
+        if left < 0 and chosen:
             break
-        got.append((r["text"], r["y"]))
-    return got, counts
+        chosen[(r["o"], r["t"])] = None
+    if not chosen:
+        return [], counts
+    want = F.broadcast(docs.sparkSession.createDataFrame(list(chosen), "o1 string, t1 string"))
+    got = rows.join(want, (F.col("o") == F.col("o1")) & (F.col("t") == F.col("t1"))).groupBy("o", "t").agg(F.first("text").alias("text"), F.first("y").alias("y"))
+    for r in got.toLocalIterator():
+        chosen[(r["o"], r["t"])] = (r["text"], r["y"])
+    return [x for x in chosen.values() if x], counts
 
 
 def train(rows: list[tuple[str, int]], counts: dict[int, int]) -> tuple[dict[bytes, float], float]:
