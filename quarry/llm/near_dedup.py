@@ -320,9 +320,9 @@ def keep_one(docs: DataFrame, width: int = 5, percent: int = 80) -> DataFrame:
     """
     found = _components(docs, width, percent)
     some = found.where("n_shingles > 0")
-    least = some.where("kept").groupBy("group").agg(F.min("h").alias("h0"))
-    rows = some.groupBy("group", "doc_id", "h", "kept").agg(F.count("*").alias("times")).join(least, "group")
-    rows = stage(rows.select(F.col("doc_id").alias("id1"), F.col("h").alias("h1"), "times", (F.col("kept") & (F.col("h") == F.col("h0"))).alias("stays")), "nd_keys")
+    least = some.groupBy("group").agg(F.min(F.when(F.col("kept"), F.col("h"))).alias("h0"), F.count("*").alias("weight"))
+    rows = join_one(some.groupBy("group", "doc_id", "h", "kept").agg(F.count("*").alias("times")), stage(least, "nd_least"), "group", "weight", some.count())
+    rows = stage(rows.select(F.col("doc_id").alias("id1"), F.col("h").alias("h1"), "times", F.coalesce(F.col("kept") & (F.col("h") == F.col("h0")), F.lit(False)).alias("stays")), "nd_keys")
     unstage(found)
     mine = packed(docs, "doc_id", "text").withColumn("h", _digest())
     same = lambda keys: mine["doc_id"].eqNullSafe(keys["id1"]) & (mine["h"] == keys["h1"])
