@@ -2,6 +2,7 @@
 
 import hashlib
 import html as html_
+import math
 import random
 import re
 from collections import Counter
@@ -104,13 +105,47 @@ def brute_components(rows, width, percent):
 @pytest.mark.parametrize(("width", "percent"), [(3, 85), (5, 80)])
 def test_near_dedup(spark, docs, none, width, percent, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_NODES", 4)  # buckets of several blocks
+    monkeypatch.setattr(near_dedup, "HEAD_NODES", 4)
     key = lambda x: tuple((v is None, v or 0) for v in x)
     got = near_dedup.components(docs, width, percent).collect()
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got), key=key) == sorted(brute_components(corpus(), width, percent), key=key)
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
     assert near_dedup.components(none, width, percent).count() == 0
     kept = near_dedup.keep_one(docs, width, percent)
-    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in got)
+    # one row for each component, and each row without words
+    groups = Counter(r.component_id for r in got if r.n_shingles)
+    left = Counter((r.doc_id, r.text) for r in kept.collect())
+    assert kept.columns == docs.columns and max(left.values()) == 1
+    assert sorted(i for i, t in left if (t or "").split()) == sorted(groups) and sum(left.values()) == len(groups) + sum(not r.n_shingles for r in got)
+
+
+def test_near_dedup_large_buckets(spark, monkeypatch):
+    rng = random.Random(14)
+    base = text_of(rng, 100).split()
+
+    def changed(words_, n):
+        words_ = list(words_)
+        for k in rng.sample(range(len(words_)), n):
+            words_[k] = f"x{rng.randrange(10**6)}"
+        return words_
+
+    # copies of one text with 1 or 2 words changed, most of them linked; and texts that share half and aren't
+    rows = [" ".join(changed(base, rng.randint(1, 2))) for _ in range(250)]
+    rows += [" ".join(base[:70] + [f"y{i}w{k}" for k in range(25)]) for i in range(250)]
+    rows = [(i, t) for i, t in enumerate(rows)]
+    monkeypatch.setattr(near_dedup, "BLOCK_NODES", 64)
+    monkeypatch.setattr(near_dedup, "HEAD_NODES", 50)
+    got = near_dedup.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 3, 85).collect()
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in got) == brute_components(rows, 3, 85)
+
+
+def test_near_dedup_keeps_one_of_equal_ids(spark):
+    text = " ".join(f"w{i}" for i in range(60))
+    rows = [(1, text), (1, text), (1, text + " end"), (None, "a b c"), (None, "a b c"), (None, None), (None, None), (2, ""), (2, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("doc_id", "text", "array(doc_id) as `a.b`")
+    got = near_dedup.keep_one(df)
+    assert got.columns == df.columns
+    assert Counter((r.doc_id, (r.text or "")[:2]) for r in got.collect()) == {(1, "w0"): 1, (None, "a "): 1, (None, ""): 2, (2, ""): 2}
 
 
 def test_mixing(spark, docs, none):
@@ -142,6 +177,25 @@ def test_mixing(spark, docs, none):
     assert mixing.amounts(none).count() == 0
 
 
+def test_mixing_ties_and_names(spark):
+    text = " ".join(["w"] * 100)
+    # repeated rows, rows without ids, and columns with the names of what the operator adds
+    rows = [(None, f"{text} {i}", "a") for i in range(30)] + [(5, text, "b")] * 40 + [(None, None, "b"), (None, text, None)]
+    names = ["size", "h", "k", "row", "target", "times", "extra", "prefix", "__source"]
+    df = spark.createDataFrame([(*r, *[i] * len(names)) for i, r in enumerate(rows)], "doc_id long, text string, source string, " + ", ".join(f"{x} long" for x in names)).repartition(3)
+    got = mixing.amounts(df).collect()
+    assert len(got) == len(rows)
+    for s in ("a", "b", None):
+        mine = [r for r in got if r.source == s]
+        assert mine[0].target > 0 and abs(sum(r.taken for r in mine) - mine[0].target) <= 51
+    mixed = mixing.mix(df)
+    assert mixed.columns == df.columns
+    out = Counter(tuple(r) for r in mixed.collect())
+    assert set(out) <= {(*r, *[i] * len(names)) for i, r in enumerate(rows)}
+    taken = lambda rs: Counter((i, t, s) for (i, t, s, *_), n in rs for _ in range(n))
+    assert Counter((i, len(t.split()), s) for i, t, s in taken(out.items()).elements() if t) == Counter({k: v for k, v in Counter(x for r in got for x in [(r.doc_id, r.size, r.source)] * r.times).items() if k[1]})
+
+
 def test_sharding(spark, docs, none):
     rows = sharding.shard_table(docs).collect()
     assert len(rows) == len(corpus())
@@ -176,6 +230,27 @@ def test_sharding_beside_a_hot_group(spark):
     assert [t for t, x in where.items() if len(x) > 1] == ["hot"]
 
 
+def test_sharding_keeps_groups_that_fit(spark):
+    # five whole groups a shard leave no room at all
+    df = spark.createDataFrame([(i, f"group {i % 40}") for i in range(800)], "doc_id long, text string").repartition(3)
+    where = {}
+    for r in sharding.shard_table(df).collect():
+        where.setdefault(r.doc_id % 40, set()).add(r.shard)
+    assert len(where) == 40 and all(len(x) == 1 for x in where.values())
+
+
+def test_sharding_repeated_rows(spark, monkeypatch):
+    rows = [(7, "same", 1, 2, 3)] * 40 + [(7, "same", 9, 9, 9)] + [(i, f"t{i}", 1, 1, 1) for i in range(60)] + [(None, None, 1, 1, 1)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string, h long, shard long, row long").repartition(3)
+    for listed in (10_000, 10):
+        monkeypatch.setattr(sharding, "LISTED", listed)
+        got = sharding.assign(df)
+        assert got.columns == ["doc_id", "text", "h", "row", "shard", "slot"]
+        got = got.collect()
+        assert sorted(map(str, ((r.doc_id, r.text, r.h, r.row) for r in got))) == sorted(map(str, ((a, b, c, e) for a, b, c, _, e in rows)))
+        assert len({(r.shard, r.slot) for r in got}) == len(rows) and set(Counter(r.shard for r in got).values()) == {13}
+
+
 def test_sharding_fill():
     assert sharding._fill({5: 2, 3: 1, 2: 3}, [9, 10]) == ([(5, 1, 0, 2), (3, 0, 0, 1), (2, 0, 0, 3)], True)
     assert sharding._fill({7: 3}, [9, 9]) == ([(7, 0, 0, 1), (7, 1, 1, 2)], False)
@@ -243,24 +318,125 @@ def test_html_names():
     assert html_extract.main_text(f"<body><main><article><h1>Title</h1>{story}</article>{comments}</main></body>") == told
 
 
+def naive_main_text(page):
+    """The same definition with whole paths as strings, ancestors walked and every sum recomputed."""
+    parsed = html_extract._Page(page)
+    live = [x for x in parsed.nodes if x.text and not x.at.dropped]
+    some = [x for x in live if x.text.strip()]
+    if not some:
+        return ""
+
+    def line(e):
+        return [e, *line(e.parent)] if e.parent is not None else [e]
+
+    def scored(prior):
+        of = [tuple(y.path for y in line(x.at)) for x in some]
+        text, punct = {}, {}
+        for path in set(of):
+            mine = [x for x, p in zip(some, of) if p == path]
+            chars = sum(len(x.text.strip()) for x in mine)
+            free = 1 - sum(len(x.text.strip()) for x in mine if any(y.tag == "a" for y in line(x.at))) / chars
+            text[path] = chars / len(mine) * free
+            punct[path] = np.log1p((1 + sum(len(html_extract._PUNCT.findall(x.text)) for x in mine)) / len(mine) * free)
+        gauss = [np.exp(-(k**2) / 2) for k in range(-2, 3)]
+
+        def smooth(v):
+            if len(v) < 3:
+                return v
+            return [sum(g * v[min(max(i + k - 2, 0), len(v) - 1)] for k, g in enumerate(gauss)) / sum(gauss) for i in range(len(v))]
+
+        fused = [a * b for a, b in zip(smooth([text[p] for p in of]), smooth([punct[p] for p in of]))]
+        mean = {p: np.mean([f for f, q in zip(fused, of) if p == q]) for p in set(of)}
+        out = [mean[p] * (html_extract.PRIOR if prior(x.at) else 1.0) for x, p in zip(some, of)]
+        return out, 0.1 * np.std(list({(p, s): s for p, s in zip(of, out)}.values()))
+
+    def weight(e, scores, cut):
+        return sum(len(x.text.strip()) * (0.1 if x.at.link else 1.0) for x, s in zip(some, scores) if s >= cut and e in line(x.at))
+
+    scores, cut = scored(lambda e: False)
+    top = parsed.elements[0]
+
+    def void(e):
+        apart = [r for r in parsed.elements if r.root and e not in line(r) and r not in line(e)]
+        apart = [r for r in apart if not any(y in apart for y in line(r)[1:])]
+        all_ = weight(top, scores, cut)
+        return e.often and weight(e, scores, cut) > 0.5 * all_ and sum(weight(r, scores, cut) for r in apart) < 0.1 * all_
+
+    stays = {e for e in parsed.elements if e.marked and not void(e)}
+    marked = lambda e: any(y in stays for y in line(e))
+    scores, cut = scored(marked)
+    all_ = weight(top, scores, cut)
+    roots = [e for e in parsed.elements if e.root and weight(e, scores, cut) > 0]
+    if sum(weight(e, scores, cut) for e in roots if not any(y in roots for y in line(e)[1:])) < 0.75 * all_:
+        fit = [e for e in parsed.elements if weight(e, scores, cut) >= 0.75 * all_ and (e.tag in html_extract._BLOCK or e is top)]
+        deep = max(fit, key=lambda e: e.depth)
+        roots = [deep.parent if deep.tag in ("p", "h1", "h2", "h3", "li", "blockquote", "pre", "td") else deep]
+    kept = [x for x, s in zip(some, scores) if s >= cut or not x.at.link and not marked(x.at) and any(y in roots for y in line(x.at))]
+    out = {}
+    for x in live:
+        if any(x.block == y.block for y in kept) and (x in kept or not marked(x.at)):
+            out[x.block] = out.get(x.block, "") + x.text
+    return "\n".join(" ".join(v.split()) for v in out.values() if v.split())
+
+
+def test_html_against_naive():
+    rng = random.Random(23)
+    tags = ["div", "p", "p", "span", "b", "a href=x", "ul", "li", "nav", "article", "section class=comments", "div class='ad-box'", "h2", "footer", "form", "header", "main", "div class=has-sidebar", "table", "tr", "td", "aside", "br", "script", "div id=related-posts"]
+
+    def tree(depth):
+        out = ""
+        for _ in range(rng.randint(1, 4)):
+            tag = rng.choice(tags)
+            body = text_of(rng, rng.randint(1, 25)) + rng.choice(["", ".", ", so. "])
+            inner = tree(depth - 1) if depth and rng.random() < 0.7 else body
+            out += f"<{tag}>{inner}" + (f"</{tag.split()[0]}>" if rng.random() < 0.9 else "") + rng.choice(["", body, " "])
+        return out
+
+    pages = ["<body>" + tree(4) for _ in range(120)]
+    assert [html_extract.main_text(x) for x in pages] == [naive_main_text(x) for x in pages]
+
+
+def test_html_scores_decide(monkeypatch):
+    story = "".join(f"<p>Sentence {i}, which tells part of the story, at some length.</p>" for i in range(8))
+    page = f"<body><nav>Home, <a href=x>About</a></nav><article><h1>Title</h1>{story}<p><a href=y>More, elsewhere.</a></p></article></body>"
+    got = html_extract.main_text(page)
+    assert got.startswith("Title\nSentence 0") and "Home" not in got
+    monkeypatch.setattr(html_extract, "path_scores", lambda found: np.ones(len(found)))
+    monkeypatch.setattr(html_extract, "_threshold", lambda found, scores: 0.0)
+    assert html_extract.main_text(page) != got
+
+
+def test_html_names_quotes_and_nesting():
+    said = "<p>There it is, at last, in full. And on it goes.</p>"
+    for open_ in ("<div class='side-by-side'>", "<div class=tags-explained>", "<h1 class=post-header>", "<p class='it's'>", "<p title=it's class=x>", "<div data-x='a>b'>"):
+        assert html_extract.main_text(f"<body>{said * 3}{open_}Hello you").endswith("Hello you"), open_
+    assert [html_extract.marks(x) for x in ("ad", "comment-list", "relatedPosts", "site-footer", "sidebar_2", "no-ads", "comments-open", "article-footer", "byline")] == [True] * 5 + [False] * 4
+    assert html_extract.main_text("<div>" * 50_000 + "deep") == "deep"
+    assert html_extract.main_text("<div class=y>x " * 5_000).count("x") == 5_000
+
+
 def test_html_table(spark):
-    pages = spark.createDataFrame([(1, "u", "<article><p>" + html_.escape("a & b") + "</article>", "x"), (2, None, None, "y")], "page_id long, url string, html string, text string")
-    assert sorted((r.page_id, r.url, r.text, r.n_chars) for r in html_extract.extract(pages).collect()) == [(1, "u", "a & b", 5), (2, None, "", 0)]
+    rows = [(1, "u", "<article><p>" + html_.escape("a & b") + "</article>", "x", 1), (2, None, None, "y", 1)]
+    pages = spark.createDataFrame([*rows, rows[0]], "page_id long, url string, html string, text string, n_chars int")
+    assert sorted((r.page_id, r.url, r.text, r.n_chars) for r in html_extract.extract(pages).collect()) == [(1, "u", "a & b", 5)] * 2 + [(2, None, "", 0)]
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+MORE = (("github", re.compile("gh[pousr]_[A-Za-z0-9]+"), lambda m: len(m[0]) >= 40), ("pem", re.compile("-----BEGIN [A-Z ]*PRIVATE KEY-----"), lambda m: True), ("slack", re.compile("xox[abeoprs]-[A-Za-z0-9-]+"), lambda m: len(m[0]) >= 15))
 BASE = (("assign", re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 24))
 
 
 def test_secrets():
     rng = random.Random(2)
-    parts = ["token", "secret", "=", ":", " ", '"', "'", "api_key", "apikey", "PassWord", "passwd", "abcdef", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é", "\n", "x", "-", "token=secret:abcdef", "token=token:abcdef"]
-    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1500)] + [None, "", "0" * 5000, "é" * 700 + " token = abcdefg"]
+    parts = ["token", "secret", "=", ":", " ", '"', "'", "api_key", "apikey", "PassWord", "passwd", "abcdef", "AKIA", "ABCDEFGH12345678", "0123456789abcdef", "é", "\n", "x", "-", "token=secret:abcdef", "token=token:abcdef", "ghp_", "Zz9" * 13, "-----BEGIN ", "RSA ", "PRIVATE KEY-----", "xoxb-", "xoxp-1234-"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 14))) for _ in range(1500)] + [None, "", "0" * 5000, "é" * 700 + " token = abcdefg", "token = " * 3000 + "x" * 9]
     out = [x for b in secrets._scan([pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])]) for x in b.to_pylist()]
     for t, r in zip(texts, out):
         found = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(BASE) for m in p.finditer(t or "") if ok(m))
         told = ",".join(f"{BASE[k][0]}:{a}:{b}" for a, k, b in found)
         assert r["base_sha256"] == hashlib.sha256(told.encode()).hexdigest(), (t, told, r)
+        every = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(BASE + MORE) for m in p.finditer(t or "") if ok(m))
+        assert r["spans"] == ",".join(f"{(BASE + MORE)[k][0]}:{a}:{b}" for a, k, b in every), (t, r)
         assert [r["n_assign"], r["n_access"], r["n_hex"]] == [sum(k == i for _, k, _ in found) for i in range(3)]
 
 
@@ -302,6 +478,44 @@ def test_quality_knn(spark, none):
     assert quality_knn.score(none, labels).count() == 0 and {r.score for r in quality_knn.score(df, labels.limit(0)).collect()} == {0.5}
 
 
+def test_quality_knn_neighbours(spark):
+    rng = random.Random(6)
+    rows = [(text_of(rng, rng.randint(1, 80)) if i % 3 else " ".join([rng.choice(WORDS)] * 30), int(bool(i % 3))) for i in range(120)]
+    model = quality_knn.Model(rows, {0: 400, 1: 800})
+    texts = [text_of(rng, n) for n in (1, 5, 40, 300)] + ["", " \n", "a a a a a a", "x" * 50_000]
+    raw = [t.encode() for t in texts]
+    data, off = np.frombuffer(b"".join(raw), np.uint8), np.cumsum([0, *map(len, raw)])
+    some, top, sim = model.nearest(data, off)
+    got = model.score(data, off)
+    assert some.tolist() == [True] * 4 + [False] * 2 + [True] * 2 and got[4] == got[5] == model.prior == 800 / 1200
+    for d, t in enumerate(texts):
+        if not some[d]:
+            continue
+        one = quality_knn.terms(np.frombuffer(raw[d], np.uint8), np.array([0, len(raw[d])]))[0]
+        assert np.array_equal(one, quality_knn.terms(data, off)[d])
+        w = Counter(t.split())
+        assert np.allclose(one[-quality_knn.OCTAVES :], [sum(n for n in w.values() if 2**k <= n < 2 ** (k + 1)) ** 0.5 for k in range(quality_knn.OCTAVES)])
+        v = (one * model.idf).astype(float) @ model.basis.astype(float)
+        cos = sorted(((v @ u) / np.linalg.norm(v) / np.linalg.norm(u) for u in model.vectors.astype(float)), reverse=True)
+        assert np.allclose(sorted(sim[d], reverse=True), cos[: quality_knn.NEIGHBOURS], atol=1e-4)
+        share = [max(0.0, float(s)) ** 4 * model.weights[i] for i, s in zip(top[d], sim[d])]
+        assert abs(got[d] - sum(x * model.labels[i] for i, x in zip(top[d], share)) / sum(share)) < 1e-5
+
+
+def test_learners_with_repeats_and_names(spark):
+    df, labels, truth = labelled(spark, 150, 9, lambda s, r: s.replace(".", " vileword."))
+    again = df.union(df.where("doc_id < 20")).union(spark.createDataFrame([(3, "another text"), (None, "no id")], df.schema))
+    again = again.selectExpr("*", "1 as y", "'x' as o", "2 as id", "3 as score", "'z' as t", "4 as held_out").repartition(4)
+    more = labels.selectExpr("*", "1 as y", "'x' as o")
+    for op in (toxicity, quality_knn):
+        once, twice = op.score(again, more).collect(), op.score(again.repartition(2), more.repartition(3)).collect()
+        assert sorted(map(str, once)) == sorted(map(str, twice)) and len(once) == 174
+        by = {}
+        for r in once:
+            by.setdefault(r.doc_id, set()).add(r.score)
+        assert all(len(x) == 1 for i, x in by.items() if i != 3) and not [r for r in once if r.doc_id is None and r.held_out]
+
+
 def edit_infix(p, t):
     row = [0] * (len(t) + 1)
     for i, x in enumerate(p, 1):
@@ -386,9 +600,23 @@ def test_decontamination_short_items():
 
 
 def test_decontamination_recall():
-    assert decontam.recall(8, 1) >= decontam.TARGET_RECALL > decontam.recall(60, 12) > decontam.recall(240, 48)
-    index = decontam.Index([(1, " ".join(f"w{i}" for i in range(60))), (2, " ".join(f"v{i}" for i in range(8)))], 0.2)
-    assert index.whole == {60} and set(index.tables) == {8}
+    # walks grow with the items' size until the most of them don't reach the target
+    got = [decontam.walks(n, n // 5) for n in (5, 8, 20, 40, 240, 2000)]
+    assert got[0] and got[:4] == sorted(got[:4]) and got[4:] == [0, 0]
+    index = decontam.Index([(1, " ".join(f"w{i}" for i in range(240))), (2, " ".join(f"v{i}" for i in range(8)))], 0.2)
+    assert index.whole == {240} and set(index.tables(0)[1].tolist()) == {1}
+
+
+def test_decontamination_blocks(spark, monkeypatch):
+    rng = random.Random(31)
+    items = [(i, text_of(rng, 12)) for i in range(12)] + [(3, text_of(rng, 14)), (50, " ".join(f"w{i}" for i in range(3000)))]
+    rows = [(i, text_of(rng, 20) + " " + items[i % 14][1] + " " + text_of(rng, 5), 1) for i in range(28)] + [(90, text_of(rng, 9), 1), (None, None, 1)]
+    rows.append(rows[0])
+    df, bench = spark.createDataFrame(rows, "doc_id long, text string, h int"), spark.createDataFrame(items + items[:3], "item_id long, text string")
+    once, left = decontam.matches(df, bench).collect(), decontam.drop(df, bench).collect()
+    monkeypatch.setattr(decontam, "BLOCK_CHARS", 200)
+    assert sorted(decontam.matches(df, bench).collect()) == sorted(once) and {r.doc_id for r in once} == set(range(28)) and len(once) >= 29
+    assert sorted(map(str, decontam.drop(df, bench).collect())) == sorted(map(str, left)) and {r.doc_id for r in left} == {90, None}
 
 
 def test_infix_distance():
@@ -423,8 +651,9 @@ def test_lm_vocabulary(spark, none, monkeypatch):
         staged = lm_score.count_words(df)
         assert {r.key % (1 << 64): r.n for r in staged.collect()} == number
         v = lm_score.vocabulary(staged)
-        flat = lm_score.train(df, v.top)
-        monkeypatch.setattr(lm_score, "train", lambda docs, top, flat=flat: flat)
+        flat = lm_score.train(df, v.top, sum(number.values()))
+        assert np.array_equal(flat, lm_score.train(df.repartition(5), v.top, sum(number.values())))
+        monkeypatch.setattr(lm_score, "train", lambda docs, top, total, flat=flat: flat)
         got = lm_score.score(df).collect()
         monkeypatch.undo()
         assert len(got) == len(rows) and len({r.log_prob for r in got if r.doc_id in (3, None)}) == 1
@@ -436,6 +665,12 @@ def test_lm_vocabulary(spark, none, monkeypatch):
         for i in (0, 7, 100):
             t = rows[i][1] if i < 60 else rows[60][1]
             target, context, *_ = lm_score.windows(np.frombuffer(t.encode(), np.uint8), np.array([0, len(t)]), v.top)
+            looped = 0.0
+            for s, c in zip(target.tolist(), context.tolist()):
+                hidden = [math.tanh(net.parts[1][u] + sum(net.parts[0][k][c[k]][u] for k in range(len(c)))) for u in range(lm_score.HIDDEN)]
+                logits = [net.parts[3][x] + sum(hidden[u] * net.parts[2][u][x] for u in range(lm_score.HIDDEN)) for x in range(lm_score.SYMBOLS)] if i == 7 else None
+                looped += logits[s] - math.log(sum(map(math.exp, logits))) if logits else 0.0
+            assert i != 7 or abs(looped - net.log_probs(target, context).sum()) < 0.01
             want = net.log_probs(target, context).sum() + sum(np.log(number[x] / classes[symbol[x]]) for x in map(int, hashed(t)))
             assert abs(by[i].log_prob - want) < 0.01, (share, i, len(v.known), v.least)
         assert by[100].mean_log_prob < min(by[i].mean_log_prob for i in range(60)) - 2 and by[101].mean_log_prob is None
