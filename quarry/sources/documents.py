@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 import tomllib
 from typing import Any
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,9 +53,14 @@ def _scalar(s: str) -> Any:
 _KEY = re.compile(r"""((?:"[^"]*"|'[^']*'|[^\s#"'\[{][^#]*?))\s*:(?:\s+(.*))?$""")
 
 
+def _bare(line: str) -> str:
+    """A line without its comment; a mark inside quotes begins none."""
+    return re.sub(r"""((?:^|[\s:\[,{])(?:"(?:\\.|[^"\\])*"|'[^']*'))|\s+#.*$""", lambda m: m[1] or "", line)
+
+
 def parse_yaml(text: str) -> Any:
     """The block subset of YAML: nested maps, lists, scalars, literal blocks, flow lists."""
-    rows = [(len(x) - len(x.lstrip()), re.sub(r"\s+#.*$", "", x.strip())) for x in text.split("\n") if x.strip() and not x.lstrip().startswith("#") and x.strip() != "---"]
+    rows = [(len(x) - len(x.lstrip()), _bare(x.strip())) for x in text.split("\n") if x.strip() and not x.lstrip().startswith("#") and x.strip() != "---"]
     at = 0
 
     def block(indent: int) -> Any:
@@ -118,15 +125,125 @@ def dotted(value: Any, path: str) -> tuple[bool, Any]:
     return True, value
 
 
+def value_kind(v: Any) -> str:
+    return "object" if isinstance(v, dict) else "array" if isinstance(v, list) else "null" if v is None else "boolean" if isinstance(v, bool) else "number" if isinstance(v, int | float) else "string"
+
+
+def preview(v: Any) -> str | None:
+    """A scalar as JSON, strings of more than 78 characters cut to 75; None for containers."""
+    if isinstance(v, str):
+        v = v if len(v) <= 78 else v[:75] + "..."
+    return None if isinstance(v, dict | list) else canonical_json(v)
+
+
 def outline(value: Any) -> list[dict]:
-    """Top-level entries: key, kind, length of containers, preview of scalars."""
+    """Top-level entries: key, kind, length of arrays, preview of scalars."""
     entries = value.items() if isinstance(value, dict) else enumerate(value) if isinstance(value, list) else []
-    out = []
-    for k, v in entries:
-        kind = "object" if isinstance(v, dict) else "array" if isinstance(v, list) else "null" if v is None else "boolean" if isinstance(v, bool) else "number" if isinstance(v, int | float) else "string"
-        text = None if kind in ("object", "array") else str(v)
-        out.append({"key": str(k), "value_kind": kind, "length": len(v) if kind in ("object", "array") else None, "preview": text if text is None or len(text) <= 78 else text[:75] + "..."})
-    return out
+    return [{"key": str(k), "value_kind": value_kind(v), "length": len(v) if isinstance(v, list) else None, "preview": preview(v)} for k, v in entries]
+
+
+def canonical_json(v: Any) -> str:
+    """JSON with sorted keys and without spaces; whole numbers have no fraction."""
+    if isinstance(v, dict):
+        return "{" + ",".join(f"{json.dumps(k, ensure_ascii=False)}:{canonical_json(v[k])}" for k in sorted(v)) + "}"
+    if isinstance(v, list):
+        return "[" + ",".join(map(canonical_json, v)) + "]"
+    if isinstance(v, float) and v.is_integer() and abs(v) < 1e21:
+        v = int(v)
+    return json.dumps(v, ensure_ascii=False)
+
+
+def input_hash(text: Column | str) -> Column:
+    """First 16 hex digits of the digest of a JSON column's canonical form; null where it can't be read."""
+    @F.pandas_udf("string")
+    def run(texts: pd.Series) -> pd.Series:
+        def one(t: str | None) -> str | None:
+            try:
+                return None if t is None else hashlib.sha256(canonical_json(json.loads(t)).encode()).hexdigest()[:16]
+            except ValueError:
+                return None
+
+        return texts.map(one)
+
+    return run(F.col(text) if isinstance(text, str) else text)
+
+
+def _strings(v: Any, keys: list[str]) -> dict:
+    return {k: v[k] for k in keys if isinstance(v.get(k), str)} if isinstance(v, dict) else {}
+
+
+TYPED = ("package_json", "tsconfig_json", "cargo_toml", "gha_workflow")
+
+
+def typed(value: Any, kind: str) -> Any:
+    """The known part of a package.json, tsconfig.json, Cargo.toml or workflow: fields of another type are left out; else the value."""
+    if kind not in TYPED:
+        return value
+    if not isinstance(value, dict):
+        raise ValueError(f"the root of a {kind} must be a table")
+    tables = lambda keys: {k: value[k] for k in keys if isinstance(value.get(k), dict)}
+    if kind == "package_json":
+        return _strings(value, ["name", "version", "description", "main", "type"]) | tables(["scripts", "dependencies", "devDependencies", "peerDependencies", "optionalDependencies", "engines"])
+    if kind == "tsconfig_json":
+        lists = {k: value[k] for k in ("include", "exclude", "files", "references") if isinstance(value.get(k), list)}
+        return {k: value[k] for k in ("extends",) if isinstance(value.get(k), str | list)} | tables(["compilerOptions"]) | lists
+    if kind == "cargo_toml":
+        out: dict = {"package": _strings(value["package"], ["name", "version", "edition"])} if isinstance(value.get("package"), dict) else {}
+        out |= tables(["dependencies", "dev-dependencies"])
+        if isinstance(value.get("workspace"), dict):
+            members = value["workspace"].get("members")
+            out["workspace"] = {"members": members} if isinstance(members, list) and all(isinstance(x, str) for x in members) else {}
+        return out
+    if kind == "gha_workflow":
+        out = _strings(value, ["name"]) | ({"on": value["on"]} if "on" in value else {})
+        if isinstance(value.get("jobs"), dict):
+            out["jobs"] = {}
+            for name, job in value["jobs"].items():
+                if not isinstance(job, dict):
+                    continue
+                on = job.get("runs-on")
+                mine: dict = {"runs-on": on} if isinstance(on, str) or isinstance(on, list) and all(isinstance(x, str) for x in on) else {}
+                if isinstance(job.get("steps"), list):
+                    mine["steps"] = [_strings(x, ["name", "uses", "run"]) for x in job["steps"] if isinstance(x, dict)]
+                out["jobs"][name] = mine
+        return out
+    return value
+
+
+#: The cap that holds for each kind of document.
+CAP_OF = {k: CAPS["manifest"] for k in ("package_json", "tsconfig_json", "cargo_toml", "gha_workflow")} | {k: CAPS["lock"] for k in ("package_lock", "yarn_lock", "pnpm_lock", "cargo_lock")}
+
+
+def outline_table(docs: DataFrame, caps: dict[str, int] | None = None) -> DataFrame:
+    """docs(path, kind, text) → (path, key, value_kind, length, preview, error, limit, actual) of the typed part's entries.
+
+    A document over its cap gives one row with ``file_too_large``, the cap and its bytes and isn't parsed; one that can't be
+    read gives one with ``unreadable``.
+    """
+    from quarry.shipping import ship
+
+    ship(docs.sparkSession)
+    schema = "path string, key string, value_kind string, length int, preview string, error string, limit long, actual long"
+    cap = F.create_map(*[F.lit(x) for kv in (CAP_OF | (caps or {})).items() for x in kv])
+    sized = docs.withColumn("limit", F.coalesce(F.element_at(cap, F.col("kind")), F.lit(CAPS["generic"])).cast("long")).withColumn("actual", F.octet_length("text").cast("long"))
+    null = lambda kind: F.lit(None).cast(kind)
+    large = sized.where("actual > limit").select("path", null("string").alias("key"), null("string").alias("value_kind"), null("int").alias("length"), null("string").alias("preview"), F.lit("file_too_large").alias("error"), "limit", "actual")
+
+    def run(frames):
+        columns = [c.split()[0] for c in schema.split(", ")]
+        for f in frames:
+            out = []
+            for path, kind, text in zip(f["path"], f["kind"], f["text"]):
+                try:
+                    out += [(path, e["key"], e["value_kind"], e["length"], e["preview"], None, None, None) for e in outline(typed(parse(text, path), kind))]
+                except (ValueError, TypeError, IndexError):
+                    out.append((path, None, None, None, None, "unreadable", None, None))
+            got = pd.DataFrame(out, columns=columns)
+            for c in ("length", "limit", "actual"):
+                got[c] = got[c].astype("Int64")
+            yield got
+
+    return sized.where("actual <= limit").select("path", "kind", "text").mapInPandas(run, schema).union(large)
 
 
 def _yarn(text: str) -> list[tuple[str, str]]:
@@ -188,8 +305,6 @@ def lockfile_table(docs: DataFrame) -> DataFrame:
     ship(docs.sparkSession)
 
     def run(frames):
-        import pandas as pd
-
         for f in frames:
             rows = []
             for path, text in zip(f["path"], f["text"]):

@@ -86,7 +86,7 @@ def python(text: str) -> Rows:
         for x in (y for note in notes if note for y in ast.walk(note)):
             kinds[id(x)] = "type-ref"
         name = n.id if isinstance(n, ast.Name) else n.attr if isinstance(n, ast.Attribute) else None
-        if name and len(name) > 1:
+        if name and len(name) > 1 and name not in _IGNORED["python"]:
             line, col = (n.lineno, n.col_offset) if isinstance(n, ast.Name) else (n.end_lineno, n.end_col_offset - len(name.encode()))
             kind = "write" if isinstance(n.ctx, ast.Store | ast.Del) else kinds.get(id(n), "read")
             out.occurrences.append({"name": name, "line": line, "col": col, "context": lines[line - 1].strip()[:200], "confidence": "heuristic", "ref_kind": kind})
@@ -101,9 +101,42 @@ def python(text: str) -> Rows:
 
 _BLANK = re.compile(r"//[^\n]*|/\*.*?(?:\*/|\Z)|\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'|`(?:\\.|[^`\\])*`?", re.S)
 _IDENT = re.compile(r"[A-Za-z_$][\w$]+")
-KEYWORDS = frozenset(
-    "abstract as async await bool boolean break byte case catch char class const continue crate default defer delete do double dyn else enum export extends extern false final finally float fn for from func function get go goto if impl implements import in instanceof int interface internal is let long loop match mod module move mut namespace new nil null number object of out override package private protected pub public readonly ref return sealed select self set short static string struct super switch this throw throws trait true try type typeof undefined unsafe use using var virtual void where while yield".split()
-)
+# Names that aren't occurrences, by language.
+IGNORED = {
+    "typescript": (
+        "true false null undefined this super if else for while do switch case break continue return throw try catch finally new delete typeof instanceof void in of"
+        " let const var function class extends implements import export default from as async await yield static get set"
+        " type interface enum namespace module declare abstract readonly private protected public keyof infer is asserts satisfies"
+        " console Object Array String Number Boolean Promise Map Set Error JSON Math Date RegExp Symbol WeakMap WeakSet Proxy Reflect"
+        " parseInt parseFloat isNaN isFinite encodeURI decodeURI encodeURIComponent decodeURIComponent setTimeout setInterval clearTimeout clearInterval require"
+    ),
+    "python": (
+        "True False None self cls if else elif for while with as try except finally raise assert return yield break continue pass import from def class lambda"
+        " and or not in is del global nonlocal async await print len range type int str float bool list dict set tuple object super"
+    ),
+    "java": (
+        "abstract assert boolean break byte case catch char class const continue default do double else enum extends final finally float for goto if implements import instanceof int"
+        " interface long native new package private protected public return short static strictfp super switch synchronized this throw throws transient try void volatile while"
+        " true false null String Object Integer Boolean System Override"
+    ),
+    "csharp": (
+        "abstract as base bool break byte case catch char checked class const continue decimal default delegate do double else enum event explicit extern false finally fixed float for foreach"
+        " goto if implicit in int interface internal is lock long namespace new null object operator out override params private protected public readonly ref return sbyte sealed short"
+        " sizeof stackalloc static string struct switch this throw true try typeof uint ulong unchecked unsafe ushort using virtual void volatile while var async await get set value Array Console Task"
+    ),
+    "go": (
+        "break case chan const continue default defer else fallthrough for func go goto if import interface map package range return select struct switch type var nil true false iota"
+        " append cap close copy delete len make new panic print println recover string int int8 int16 int32 int64 uint uint8 uint16 uint32 uint64 float32 float64 complex64 complex128 byte rune bool error any"
+    ),
+    "rust": (
+        "as async await break const continue crate dyn else enum extern false fn for if impl in let loop match mod move mut pub ref return self Self static struct super trait true type unsafe use where while yield"
+        " i8 i16 i32 i64 i128 isize u8 u16 u32 u64 u128 usize f32 f64 bool char str Vec Box String Option Some None Ok Err"
+    ),
+}
+_IGNORED = {k: frozenset(v.split()) for k, v in IGNORED.items()}
+_IGNORED["javascript"] = _IGNORED["typescript"]
+#: What stands before a bracket without being declared.
+_CONTROL = frozenset("if else for foreach while do switch case catch finally return new throw try using lock fixed match loop await typeof sizeof function super this synchronized select defer go range where in is as let const var".split())
 #: Kinds that hold others.
 TYPES = ("class", "interface", "enum", "impl", "module")
 
@@ -253,7 +286,7 @@ def braces(language: str, text: str) -> Rows:
     for kind, pattern in _DECLARED[language]:
         for m in pattern.finditer(code):
             at = m.start(1)
-            if at in found or m[1] in KEYWORDS:
+            if at in found or m[1] in _CONTROL:
                 continue
             # the body opens before the statement ends
             stop = code.find(";", m.end(1))
@@ -308,7 +341,7 @@ def braces(language: str, text: str) -> Rows:
             for name in [x.strip() for x in g["body"].split(",")] if g.get("body") else [re.split(r"\.|::|/", g["s"])[-1] if not g.get("star") else None]:
                 out.edge("import", name, g["s"], line_of(m.start("s")), alias=g.get("alias"), star=bool(g.get("star")))
     for m in _IDENT.finditer(code):
-        if m.group() not in KEYWORDS:
+        if m.group() not in _IGNORED[language]:
             line = line_of(m.start())
             out.occurrences.append({"name": m.group(), "line": line, "col": m.start() - starts[line - 1], "context": lines[line - 1].strip()[:200], "confidence": "heuristic", "ref_kind": "declaration" if m.start() in declared else _use(code, m)})
     return out

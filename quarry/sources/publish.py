@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import warnings
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,20 +31,24 @@ def publish(spark: SparkSession, root: str, tables: dict[str, DataFrame], meta:
     One writer at a time. ``meta`` is merged into the version's own.
     """
     old = _pointer(spark, root) or {"version": 0, "tables": [], "meta": {}}
-    fs, path = _fs(spark, root)
     version = old["version"] + 1
     for name, df in tables.items():
         df.write.mode("overwrite").parquet(f"{root}/version={version}/{name}")
-    text = json.dumps({"version": version, "tables": sorted(tables), "meta": old["meta"] | (meta or {})}, sort_keys=True)
+    _point(spark, root, {"version": version, "tables": sorted(tables), "meta": old["meta"] | (meta or {})})
+    return version
+
+
+def _point(spark: SparkSession, root: str, at: dict) -> None:
+    """Replaces the pointer in one step."""
+    fs, path = _fs(spark, root)
     new = path(f"{root}/{POINTER}.new")
     out = fs.create(new, True)
-    out.write(bytearray(text, "utf-8"))
+    out.write(bytearray(json.dumps(at, sort_keys=True), "utf-8"))
     out.close()
     context = spark._jvm.org.apache.hadoop.fs.FileContext.getFileContext(fs.getUri(), spark._jsc.hadoopConfiguration())
     options = spark.sparkContext._gateway.new_array(spark._jvm.org.apache.hadoop.fs.Options.Rename, 1)
     options[0] = spark._jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
     context.rename(new, path(f"{root}/{POINTER}"), options)
-    return version
 
 
 def load(spark: SparkSession, root: str, table: str) -> DataFrame:
@@ -107,3 +112,40 @@ def since(text: str, now_ms: int) -> int:
     """Start of '30d' or '1h' back from now; anything else means 30 days."""
     unit = {"d": 86_400_000, "h": 3_600_000}.get(text[-1:])
     return now_ms - (int(text[:-1]) * unit if unit and text[:-1].isdecimal() else 30 * 86_400_000)
+
+
+def recorder(folder: str):
+    """A function that appends rows of pack runs or events to a table; what it can't write is dropped with a warning."""
+
+    def record(rows: DataFrame) -> bool:
+        try:
+            rows.write.mode("append").parquet(folder)
+        except Exception as e:  # a lost record must not end the operation that it tells of
+            warnings.warn(f"not recorded: {type(e).__name__}: {e}", stacklevel=2)
+            return False
+        return True
+
+    return record
+
+
+def purge(spark: SparkSession, folder: str, sure: bool = False) -> bool:
+    """Removes a table of records; only if the caller is sure."""
+    if not sure:
+        return False
+    fs, path = _fs(spark, folder)
+    return bool(fs.delete(path(folder), True))
+
+
+def repair(spark: SparkSession, root: str) -> list[str]:
+    """Points readers back to the newest version all of whose tables can be read, if the current one isn't; gives what was broken."""
+    bad = broken(spark, root)
+    at = _pointer(spark, root)
+    fs, path = _fs(spark, root)
+    while bad and at and at["version"] > 1:
+        at = at | {"version": at["version"] - 1}
+        if not fs.exists(path(f"{root}/version={at['version']}")):
+            continue
+        _point(spark, root, at)
+        if not broken(spark, root):
+            return bad
+    return bad

@@ -12,7 +12,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quarry.functions.text import col, posix
+from quarry.functions.text import col, name_status, posix
+from quarry.operators.overlay import merge_change_sets
 
 # Names, extensions and folders that the results depend on.
 BASENAMES = {
@@ -182,11 +183,39 @@ def scan_store(spark: SparkSession, uri: str, excludes: list[str] | None = None,
     return _sources(found, languages)
 
 
+_CHANGES = "path string, status string"
+
+
+def _diff(spark: SparkSession, root: str, *args: str) -> DataFrame:
+    said = subprocess.run(["git", "-C", root, "diff", "--name-status", "--no-renames", "-z", *args], capture_output=True, check=True).stdout.decode(errors="replace")
+    return spark.createDataFrame([(said,)], "t string").select(F.inline(name_status("t"))).select("path", "status")
+
+
 def git_changes(spark: SparkSession, root: str, ref: str, other: str = "HEAD") -> DataFrame:
     """(path, status) by git between two revisions; a rename is a removal and an addition."""
-    said = subprocess.run(["git", "-C", root, "diff", "--name-status", "--no-renames", "-z", f"{ref}...{other}"], capture_output=True, check=True).stdout.decode(errors="replace")
-    parts = said.split("\0")[:-1]
-    return spark.createDataFrame(list(zip(parts[1::2], parts[0::2], strict=True)), "path string, status string")
+    return _diff(spark, root, f"{ref}...{other}")
+
+
+def git_staged(spark: SparkSession, root: str) -> DataFrame:
+    return _diff(spark, root, "--cached", "HEAD")
+
+
+def git_unstaged(spark: SparkSession, root: str) -> DataFrame:
+    return _diff(spark, root)
+
+
+def git_untracked(spark: SparkSession, root: str) -> DataFrame:
+    said = subprocess.run(["git", "-C", root, "ls-files", "--others", "--exclude-standard", "-z"], capture_output=True, check=True).stdout.decode(errors="replace")
+    return spark.createDataFrame([(p, "A") for p in said.split("\0") if p], _CHANGES)
+
+
+def working_changes(spark: SparkSession, root: str, base: str) -> DataFrame:
+    """(path, status) of a work tree since ``base``: committed, staged, unstaged, untracked; the later source wins."""
+    return merge_change_sets(git_changes(spark, root, base), git_staged(spark, root), git_unstaged(spark, root), git_untracked(spark, root))
+
+
+def is_ancestor(root: str, ref: str, other: str = "HEAD") -> bool:
+    return subprocess.run(["git", "-C", root, "merge-base", "--is-ancestor", ref, other], capture_output=True).returncode == 0
 
 
 def git_show(root: str, ref: str, path: str) -> str | None:
