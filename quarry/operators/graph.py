@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quarry.functions.text import normalize_path
 from quarry.operators.lookup import best_rank
 from quarry.operators.spans import enclosing
 
@@ -74,16 +75,6 @@ def relations(rel: DataFrame, name: str, direction: str = "both", depth: int = 1
     return e.join(nodes, F.col("src") == F.col("node")).select("src", "dst", "depth").distinct()
 
 
-def normalize_path(x) -> F.Column:
-    """Collapse . and .. segments; .. above the root is ignored."""
-    fold = F.aggregate(
-        F.split(x, "/"),
-        F.array().cast("array<string>"),
-        lambda acc, s: F.when(s.isin("", "."), acc).when(s == "..", F.when(F.size(acc) > 0, F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).otherwise(acc)).otherwise(F.concat(acc, F.array(s))),
-    )
-    return F.array_join(fold, "/")
-
-
 def resolve_paths(edges: DataFrame, files: DataFrame) -> DataFrame:
     """edges(file_id, source, line) whose source begins with a dot, with resolved_file_id of the first candidate path that exists."""
     src = files.select(F.col("id").alias("file_id"), F.regexp_extract("path", "^(.*)/", 1).alias("dir"))
@@ -100,12 +91,67 @@ def resolve_paths(edges: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def resolve_relations(rel: DataFrame, symbols: DataFrame, imports: DataFrame) -> DataFrame:
-    """rel(id, file_id, target_name) with target_id: a type of the same file, else of the file that the name is imported from (first import wins); lowest id."""
-    types = symbols.where(F.col("kind").isin("class", "interface", "type") & (F.coalesce("scope", F.lit("")) == "")).groupBy(F.col("file_id").alias("t_file"), F.col("name").alias("t_name")).agg(F.min("id").alias("t_id"))
-    near = types.select(F.col("t_file").alias("n_file"), F.col("t_name").alias("n_name"), F.col("t_id").alias("near_id"))
-    w = Window.partitionBy("i_file", "local").orderBy("line")
-    imp = imports.select(F.col("file_id").alias("i_file"), F.coalesce("alias", "name").alias("local"), F.col("name").alias("i_name"), "resolved_file_id", "line") if "alias" in imports.columns else imports.select(F.col("file_id").alias("i_file"), F.col("name").alias("local"), F.col("name").alias("i_name"), "resolved_file_id", "line")
-    imp = imp.withColumn("__n", F.row_number().over(w)).where("__n = 1")
-    far = imp.join(types, (F.col("resolved_file_id") == F.col("t_file")) & (F.col("i_name") == F.col("t_name"))).select("i_file", "local", F.col("t_id").alias("far_id"))
-    j = rel.join(near, (F.col("file_id") == F.col("n_file")) & (F.col("target_name") == F.col("n_name")), "left").join(far, (F.col("file_id") == F.col("i_file")) & (F.col("target_name") == F.col("local")), "left")
-    return j.select(*rel.columns, F.coalesce("near_id", "far_id").alias("target_id"))
+    """rel(id, file_id, target_name[, kind]) with target_id; the lowest id where several fit.
+
+    A type of the same file, else of the file that the name is imported from (the first import of a local name wins). ``ns.X``
+    is the type X of the file that a star import binds to ns. A relation of kind ``overrides_method`` names ``Parent.method``:
+    that class's method in the same file, else in the file that the class is imported from and is a type of.
+    """
+    top = symbols.where(F.col("kind").isin("class", "interface", "type") & (F.coalesce("scope", F.lit("")) == "")).groupBy(F.col("file_id").alias("t_file"), F.col("name").alias("t_name")).agg(F.min("id").alias("t_id"))
+    methods = symbols.where("kind = 'method' and coalesce(scope, '') <> ''").groupBy(F.col("file_id").alias("m_file"), F.col("scope").alias("m_scope"), F.col("name").alias("m_name")).agg(F.min("id").alias("m_id"))
+    alias = F.col("alias") if "alias" in imports.columns else F.lit(None).cast("string")
+    imp = imports.select("file_id", alias.alias("alias"), "name", "is_star", "resolved_file_id", "line")
+    star = F.col("is_star") & F.col("alias").isNotNull()
+    imp = imp.select(F.col("file_id").alias("i_file"), F.coalesce("alias", "name").alias("local"), star.alias("i_star"), "resolved_file_id", F.coalesce("name", "alias").alias("i_name"), "line").where("local is not null")
+    # of star imports the last binds the name, of others the first
+    order = F.when(F.col("i_star"), -F.col("line")).otherwise(F.col("line"))
+    imp = imp.groupBy("i_file", "local", "i_star").agg(F.min_by(F.struct("resolved_file_id", "i_name"), order).alias("to")).select("i_file", "local", "i_star", "to.*")
+    has_kind = "kind" in rel.columns
+    override = F.coalesce(F.col("kind") == "overrides_method", F.lit(False)) if has_kind else F.lit(False)
+    parts = F.split("target_name", r"\.")
+    dotted = F.size(parts) == 2
+    bare = F.col("target_name").rlike(r"^[A-Za-z_$][\w$]*$")
+    r = rel.select("id", "file_id", "target_name", override.alias("o"), F.when(dotted & (parts[0] != ""), parts[0]).alias("first"), F.when(dotted, parts[1]).alias("tail"), bare.alias("bare"))
+    near = r.where("not o").join(top, (F.col("file_id") == F.col("t_file")) & (F.col("target_name") == F.col("t_name"))).select("id", F.col("t_id").alias("near_id"))
+    mine = r.where("o and first is not null").join(methods, (F.col("file_id") == F.col("m_file")) & (F.col("first") == F.col("m_scope")) & (F.col("tail") == F.col("m_name"))).select("id", F.col("m_id").alias("near_id"))
+    # through an import: what stands there, and under which name it is looked up
+    local = F.when(F.col("o") | F.col("first").isNotNull(), F.col("first")).when(F.col("bare"), F.col("target_name"))
+    through = r.withColumn("l", local).join(imp, (F.col("file_id") == F.col("i_file")) & (F.col("l") == F.col("local")) & (F.col("i_star") == (~F.col("o") & F.col("first").isNotNull())))
+    looked = F.when(F.col("i_star"), F.col("tail")).otherwise(F.col("i_name"))
+    through = through.withColumn("looked", looked).join(top, (F.col("resolved_file_id") == F.col("t_file")) & (F.col("looked") == F.col("t_name")))
+    far = through.where("not o").select("id", F.col("t_id").alias("far_id"))
+    theirs = through.where("o").join(methods, (F.col("resolved_file_id") == F.col("m_file")) & (F.col("looked") == F.col("m_scope")) & (F.col("tail") == F.col("m_name"))).select("id", F.col("m_id").alias("far_id"))
+    return rel.join(near.union(mine), "id", "left").join(far.union(theirs), "id", "left").select(*rel.columns, F.coalesce("near_id", "far_id").alias("target_id"))
+
+
+def relation_rows(rel: DataFrame, symbols: DataFrame, files: DataFrame, name: str, by: str = "source", kind: str | None = None) -> DataFrame:
+    """rel(id, kind, source_id, target_id, target_name, line) with the symbols and files of both ends, by path and line.
+
+    ``by`` source: declared by ``name``. ``by`` target: of it; where the target isn't resolved, its name counts.
+    """
+    r = rel.where(F.col("kind") == kind) if kind else rel
+
+    def side(s: str) -> DataFrame:
+        f = files.select(F.col("id").alias(f"{s}_f"), F.col("path").alias(f"{s}_file"))
+        return symbols.select(F.col("id").alias(f"{s}_sid"), F.col("name").alias(f"{s}_symbol"), F.col("kind").alias(f"{s}_kind"), F.col("line").alias(f"{s}_line"), F.col("file_id").alias(f"{s}_fid")).join(f, F.col(f"{s}_fid") == F.col(f"{s}_f")).drop(f"{s}_f", f"{s}_fid")
+
+    source, target = side("source"), side("target")
+    if by == "source":
+        source = source.where(F.col("source_symbol") == name)
+    j = r.join(source, F.col("source_id") == F.col("source_sid")).join(target, F.col("target_id") == F.col("target_sid"), "left").drop("source_sid", "target_sid")
+    if by == "target":
+        j = j.where(F.coalesce("target_symbol", "target_name") == name)
+    return j.orderBy("source_file", "line", "id")
+
+
+def call_sites(occurrences: DataFrame, symbols: DataFrame, name: str, limit: int = 30) -> DataFrame:
+    """(caller_id, caller, lines) of the calls of a name, most sites first; lines ascending, each once per site."""
+    o = occurrences.where((F.col("name") == name) & (F.col("ref_kind") == "call"))
+    e = enclosing(o, symbols).where(F.col("enclosing_name") != name)
+    got = e.groupBy(F.col("enclosing_id").alias("caller_id"), F.col("enclosing_name").alias("caller")).agg(F.array_sort(F.collect_list("line")).alias("lines"))
+    return got.orderBy(F.desc(F.size("lines")), "caller_id").limit(limit)
+
+
+def top_callees(calls: DataFrame, limit: int = 3) -> DataFrame:
+    """Names by the number of their callers over call_edges."""
+    return calls.groupBy("callee").agg(F.countDistinct("caller_id").alias("callers")).orderBy(F.desc("callers"), "callee").limit(limit)

@@ -79,12 +79,25 @@ def rename_safety(symbols: DataFrame, files: DataFrame, occurrences: DataFrame,
     )
 
 
-def refactor_preview(symbols: DataFrame, occurrences: DataFrame, imports: DataFrame, name: str) -> DataFrame:
-    """Edit sites by file: roles and lines."""
+def ref_kind_histogram(occurrences: DataFrame, name: str) -> DataFrame:
+    """(ref_kind, n) of a name's occurrences; those without a kind count as unknown."""
+    return occurrences.where(F.col("name") == name).groupBy(F.coalesce("ref_kind", F.lit("unknown")).alias("ref_kind")).agg(F.count("*").alias("n"))
+
+
+def refactor_preview(symbols: DataFrame, occurrences: DataFrame, imports: DataFrame, name: str, relations: DataFrame | None = None) -> DataFrame:
+    """Edit sites by file: roles and lines.
+
+    relations(file_id, kind, target_name, line) add the sites of subclasses, implementers and overrides.
+    """
     a = symbols.where(F.col("name") == name).select("file_id", "line", F.lit("definition").alias("role"))
     b = occurrences.where((F.col("name") == name) & F.col("ref_kind").isin("call", "read", "write", "type-ref")).select("file_id", "line", F.lit("caller").alias("role"))
     c = imports.where(F.col("name") == name).select("file_id", "line", F.lit("importer").alias("role"))
-    sites = a.unionByName(b).unionByName(c).distinct()
+    sites = a.unionByName(b).unionByName(c)
+    if relations is not None:
+        role = F.when(F.col("kind") == "implements", "implementer").when(F.col("kind") == "overrides_method", "override").otherwise("subclass")
+        of = (F.col("target_name") == name) | ((F.col("kind") == "overrides_method") & F.col("target_name").endswith(f".{name}"))
+        sites = sites.unionByName(relations.where(of).select("file_id", "line", role.alias("role")))
+    sites = sites.distinct()
     lines = F.array_join(F.transform(F.array_sort(F.collect_set("line")), lambda x: x.cast("string")), ",")
     return sites.groupBy("file_id").agg(F.array_join(F.array_sort(F.collect_set("role")), ",").alias("roles"), lines.alias("lines"), F.count("*").alias("edits"))
 
@@ -94,3 +107,21 @@ def clarify(symbols: DataFrame, files: DataFrame, imports: DataFrame, name: str)
     s = find(symbols, files, name).where(F.col("name") == name)
     n = imports.where(F.col("is_star") | (F.col("name") == name)).groupBy(F.col("resolved_file_id").alias("r")).agg(F.countDistinct("file_id").alias("n"))
     return s.join(n, F.col("file_id") == F.col("r"), "left").select("id", "path", "kind", "line", F.coalesce("scope", F.lit("")).alias("scope"), F.coalesce("n", F.lit(0)).cast("long").alias("importer_count"))
+
+
+def disambiguators(candidates: DataFrame) -> DataFrame:
+    """One row: the distinct files, kinds and scopes of clarify's rows, sorted."""
+    told = lambda c: F.array_join(F.array_sort(F.collect_set(F.when(F.col(c) != "", F.col(c)))), ",").alias(f"{c}s")
+    return candidates.agg(told("path"), told("kind"), told("scope"))
+
+
+def relation_summary(candidates: DataFrame, relations: DataFrame) -> DataFrame:
+    """(id, kind, direction, n): relations of clarify's candidates by kind, as their source and as their target."""
+    up = relations.select(F.col("source_id").alias("r_id"), "kind", F.lit("parent").alias("direction"))
+    down = relations.select(F.col("target_id").alias("r_id"), "kind", F.lit("child").alias("direction"))
+    return candidates.select("id").join(up.union(down), F.col("id") == F.col("r_id")).groupBy("id", "kind", "direction").agg(F.count("*").alias("n"))
+
+
+def pick(candidates: DataFrame) -> DataFrame:
+    """The candidate that most files import, then by path and line."""
+    return candidates.orderBy(F.desc("importer_count"), "path", "line", "id").limit(1)

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quarry.functions.text import first_doc_line, posix, same_name, under
+from quarry.functions.text import TO_LOWER, first_doc_line, posix, same_name, under
+from quarry.operators.spans import export_name
 
 
 def best_rank(df: DataFrame, rank: Column) -> DataFrame:
@@ -20,8 +21,8 @@ def with_path(rows: DataFrame, files: DataFrame) -> DataFrame:
 
 
 def find(symbols: DataFrame, files: DataFrame, name: str, kind: str | None = None) -> DataFrame:
-    """Symbols of that name; of any case (ASCII) if there are none."""
-    s = symbols.where(same_name("name", name))
+    """Symbols of that name; of any case (ASCII) if there are none. A column ``name_key`` of such lower-case names is used for it."""
+    s = symbols.where(F.col("name_key") == name.translate(TO_LOWER)) if "name_key" in symbols.columns else symbols.where(same_name("name", name))
     if kind:
         s = s.where(F.col("kind") == kind)
     return with_path(best_rank(s, F.when(F.col("name") == name, 0).otherwise(1)), files)
@@ -90,7 +91,28 @@ def language_stats(files: DataFrame, symbols: DataFrame) -> DataFrame:
 def tree(files: DataFrame, symbols: DataFrame, exports: DataFrame) -> DataFrame:
     """Every file with its number of symbols and its exported names in line order."""
     n = symbols.groupBy("file_id").agg(F.count("*").alias("symbol_count"))
-    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", F.coalesce("name", F.lit("*")).alias("name")))), lambda x: x["name"]), ",")
+    names = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", export_name(exports).alias("name")))), lambda x: x["name"]), ",")
     e = exports.groupBy(F.col("file_id").alias("e_id")).agg(names.alias("exports"))
     j = files.join(n, F.col("id") == F.col("file_id"), "left").join(e, F.col("id") == F.col("e_id"), "left")
     return j.select("id", "path", "status", F.coalesce("symbol_count", F.lit(0)).cast("long").alias("symbol_count"), F.coalesce("exports", F.lit("")).alias("exports"))
+
+
+def last_run(runs: DataFrame) -> DataFrame:
+    """The newest row of runs(id, mode, status, ...)."""
+    return runs.orderBy(F.desc("id")).limit(1)
+
+
+def unresolved(relations: DataFrame) -> DataFrame:
+    return relations.where("target_id is null")
+
+
+def index_status(files: DataFrame, runs: DataFrame) -> DataFrame:
+    """index_health with the mode and the status of the last run; null where there was none."""
+    return index_health(files).join(F.broadcast(last_run(runs).select(F.col("mode").alias("run_mode"), F.col("status").alias("run_status"))), how="left")
+
+
+def updated(table: DataFrame, changes: DataFrame, key: str, column: str) -> DataFrame:
+    """table with ``column`` from changes(key, column) where these have a row for it; the last by order of its value counts."""
+    new = changes.groupBy(F.col(key).alias("__key")).agg(F.max(column).alias("__new"), F.lit(True).alias("__has"))
+    j = table.join(new, F.col(key) == F.col("__key"), "left")
+    return j.withColumn(column, F.when(F.col("__has"), F.col("__new")).otherwise(F.col(column))).select(*table.columns)

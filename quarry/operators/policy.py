@@ -10,7 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quarry.functions.text import col, posix
+from quarry.functions.text import bucket_risk, col, posix, relative_to
 from quarry.sources.scan import classify_path
 
 #: What a rule says; decision null: nothing.
@@ -82,8 +82,7 @@ def agent_discipline(tool_prefix: str = "quarry_") -> Column:
 
 def _touched(root: str) -> Column:
     """The event's path, from the root where it is below it."""
-    p, top = posix(_input("file_path")), root.replace("\\", "/").rstrip("/") + "/"
-    return F.when(F.lower(p).startswith(top.lower()), F.substr(p, F.lit(len(top) + 1))).otherwise(p)
+    return relative_to(_input("file_path"), root)
 
 
 def _let(x: Column, f: Callable[[Column], Column]) -> Column:
@@ -143,3 +142,26 @@ def preedit_impact(edits: DataFrame, files: DataFrame, importers: DataFrame, imp
     i = impact.groupBy(F.col("file_id").alias("i")).agg(F.sum("callers").alias("callers")).join(risk_max(impact.withColumnRenamed("file_id", "j"), ["j"]), F.col("i") == F.col("j")).drop("j")
     j = f.join(n, F.col("file_id") == F.col("r"), "left").join(i, F.col("file_id") == F.col("i"), "left")
     return j.select("id", "path", F.coalesce("importers", F.lit(0)).alias("importers"), F.coalesce("callers", F.lit(0)).alias("callers"), F.coalesce("risk", F.lit("low")).alias("risk"))
+
+
+def evidence(changes: DataFrame, symbols: DataFrame, exports: DataFrame, calls: DataFrame, unused: DataFrame, tested: DataFrame, most: int = 50) -> DataFrame:
+    """What a commit, push or pull request can show for itself, for each of changes(change_id, file_id).
+
+    affected: exported top-level symbols of the changed files; max_callers and their risk (each symbol's callers are counted
+    up to ``most``); new_unused: their unused exports; tests_run: whether tested(change_id) has it; evidence_ok: tests ran, the risk
+    isn't high, nothing is unused. A change without affected symbols has no row.
+    """
+    x = exports.select(F.col("file_id").alias("x_file"), F.col("name").alias("x_name")).distinct()
+    s = symbols.where("coalesce(scope, '') = ''").join(x, (F.col("file_id") == F.col("x_file")) & (F.col("name") == F.col("x_name"))).select("file_id", F.col("name").alias("symbol"))
+    n = calls.groupBy("callee").agg(F.least(F.countDistinct("caller_id"), F.lit(most)).alias("callers"))
+    c = changes.join(s, "file_id").join(n, F.col("symbol") == F.col("callee"), "left").groupBy("change_id").agg(F.count("*").alias("affected"), F.max(F.coalesce("callers", F.lit(0))).alias("max_callers"))
+    u = changes.join(unused.select("file_id", F.col("name").alias("u")), "file_id").groupBy("change_id").agg(F.count("*").alias("new_unused"))
+    t = tested.select("change_id", F.lit(True).alias("tests_run")).distinct()
+    j = c.join(u, "change_id", "left").join(t, "change_id", "left").na.fill({"new_unused": 0, "tests_run": False}).withColumn("risk", bucket_risk("max_callers"))
+    return j.withColumn("evidence_ok", F.col("tests_run") & (F.col("risk") != "high") & (F.col("new_unused") == 0))
+
+
+def evidence_text(rows: DataFrame) -> DataFrame:
+    """evidence's rows with a line of text for people."""
+    said = F.concat_ws("; ", F.format_string("%d exported symbols touched", "affected"), F.format_string("up to %d callers (%s risk)", "max_callers", "risk"), F.when(F.col("new_unused") > 0, F.format_string("%d unused exports", "new_unused")), F.when(F.col("tests_run"), "tests ran").otherwise("no tests ran"))
+    return rows.withColumn("summary", said)

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quarry.functions.text import fuzzy_score, multi_field_score, under
+from quarry.operators.lookup import best_rank
 
 
 def search(rows: DataFrame, query: str, limit: int = 20, loose: bool = True) -> DataFrame:
@@ -23,11 +24,28 @@ def search(rows: DataFrame, query: str, limit: int = 20, loose: bool = True) ->
 
 
 def suggestions(names: DataFrame, query: str, limit: int = 5, loose: bool = True) -> DataFrame:
-    """Closest distinct names, at 0.15 or more."""
-    s = names.select("name").distinct().withColumn("score", fuzzy_score(query, "name", loose)).where("score >= 0.15")
+    """Closest distinct names by the best of the query's words, at 0.15 or more.
+
+    Where there are none: by the words' parts of three letters or more, at 0.4 or more, times 0.7.
+    """
+    best = lambda parts: F.greatest(*[F.coalesce(fuzzy_score(w, "name", loose), F.lit(0.0)) for w in parts], F.lit(0.0))
+    words = query.split()
+    parts = [t for w in words for t in re.split(r"(?=[A-Z])|[_\-\s]+", w) if len(t) >= 3]
+    s = names.select("name").distinct()
+    rank = F.when(best(words) >= 0.15, 0)
+    if parts:
+        rank = rank.when(best(parts) >= 0.4, 1)
+    s = best_rank(s.withColumns({"rank": rank, "score": F.when(best(words) >= 0.15, best(words)).otherwise(best(parts) * 0.7 if parts else 0.0)}), F.col("rank")).drop("rank")
     return s.orderBy(F.desc("score"), "name").limit(limit)
 
 
+def search_or_suggest(rows: DataFrame, query: str, limit: int = 20) -> DataFrame:
+    """search's rows (suggested false); where there are none, suggestions for the query, without an id."""
+    found = search(rows, query, limit).select("id", "name", "score", F.lit(False).alias("suggested"), F.lit(0).alias("k"))
+    other = suggestions(rows, query).select(F.lit(None).cast("long").alias("id"), "name", "score", F.lit(True).alias("suggested"), F.lit(1).alias("k"))
+    return best_rank(found.withColumn("id", F.col("id").cast("long")).union(other), F.col("k")).drop("k")
+
+
 def grep(lines: DataFrame, files: DataFrame, pattern: str, prefix: str | None = None, language: str | None = None, limit: int = 50) -> DataFrame:
     """First match of each line of indexed files, any case, by path and line; col counts from 0. A pattern that can't be read matches nothing."""
     f = files.where((F.col("status") == "indexed") & under("path", prefix))

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+
+def export_name(edges: DataFrame) -> Column:
+    """An export's name; one without is told by what it is."""
+    default = [F.when(F.col("is_default"), "<default>")] if "is_default" in edges.columns else []
+    return F.coalesce("name", *default, F.when(F.col("is_star"), "*"))
+
+
 #: Lines of one bin of the range join; a symbol is one row for each bin that it touches.
 BIN = 256
 
@@ -27,10 +34,12 @@ def enclosing(points: DataFrame, symbols: DataFrame, bin_lines: int = BIN) -> Da
     return points.join(inner, ["file_id", "line"])
 
 
-def in_range(occurrences: DataFrame, ranges: DataFrame) -> DataFrame:
-    """occurrences within ranges(file_id, start, stop, range_id)."""
-    r = ranges.select(F.col("file_id").alias("r_file"), "start", "stop", "range_id")
-    return occurrences.join(r, (F.col("file_id") == F.col("r_file")) & F.col("line").between(F.col("start"), F.col("stop"))).drop("r_file")
+def in_range(occurrences: DataFrame, ranges: DataFrame, bin_lines: int = BIN) -> DataFrame:
+    """occurrences within ranges(file_id, start, stop, range_id); joined on (file, bin of lines)."""
+    bins = F.sequence(F.floor(F.col("start") / bin_lines), F.floor(F.col("stop") / bin_lines))
+    r = ranges.where("stop >= start").select(F.col("file_id").alias("r_file"), "start", "stop", "range_id", F.explode(bins).alias("r_bin"))
+    on = (F.col("file_id") == F.col("r_file")) & (F.floor(F.col("line") / bin_lines) == F.col("r_bin")) & F.col("line").between(F.col("start"), F.col("stop"))
+    return occurrences.join(r, on).drop("r_file", "r_bin")
 
 
 def end_lines(symbols: DataFrame, line_counts: DataFrame) -> DataFrame:
@@ -47,7 +56,27 @@ def bodies(ended: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def outline(symbols: DataFrame) -> DataFrame:
-    """Flat outline: parent is the latest symbol before, at top level, whose name is the scope; else null. Depth 0 or 1."""
-    top = symbols.where("coalesce(scope, '') = ''").select(F.col("file_id").alias("t_file"), F.col("name").alias("t_name"), F.col("line").alias("t_line"), F.col("id").alias("t_id"))
-    j = symbols.join(top, (F.col("file_id") == F.col("t_file")) & (F.col("scope") == F.col("t_name")) & (F.col("t_line") <= F.col("line")), "left")
-    return j.groupBy("file_id", "id", "name", "line").agg(F.max_by("t_id", F.struct("t_line", "t_id")).alias("parent_id")).withColumn("depth", F.when(F.col("parent_id").isNull(), 0).otherwise(1))
+    """Flat outline: parent is the latest symbol before, at top level, whose name is the scope; else null. Depth 0 or 1.
+
+    One pass over each file and name: the parents and those that name them as their scope stand in one order.
+    """
+    own = symbols.select("file_id", "id", "name", "line", F.col("scope").alias("key"), F.lit(None).cast("long").alias("top"), F.lit(1).alias("k"))
+    top = symbols.where("coalesce(scope, '') = ''").select("file_id", "id", "name", "line", F.col("name").alias("key"), F.col("id").cast("long").alias("top"), F.lit(0).alias("k"))
+    w = Window.partitionBy("file_id", "key").orderBy("line", "k", "id").rowsBetween(Window.unboundedPreceding, 0)
+    got = top.union(own.where("key is not null")).withColumn("parent_id", F.last("top", True).over(w)).where("k = 1")
+    every = got.select("file_id", "id", "name", "line", "parent_id").union(own.where("key is null").select("file_id", "id", "name", "line", F.lit(None).cast("long")))
+    return every.withColumn("depth", F.when(F.col("parent_id").isNull(), 0).otherwise(1))
+
+
+def file_outlines(files: DataFrame, symbols: DataFrame, edges: DataFrame, paths: list[str]) -> DataFrame:
+    """(path, missing, language, exports, imports, symbols) for each of some paths; lists in the order of their lines."""
+    asked = files.sparkSession.createDataFrame([(p,) for p in paths], "asked string")
+    f = asked.join(files, F.lower("path") == F.lower("asked"), "left")
+    listed = lambda df, value, name: df.groupBy(F.col("file_id").alias(f"{name}_file")).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", value.alias("v")))), lambda x: x["v"]), ",").alias(name))
+    x = listed(edges.where("kind in ('export', 're-export')"), export_name(edges), "exports")
+    i = listed(edges.where("kind in ('import', 'dynamic-import', 'require')"), F.col("source"), "imports")
+    s = listed(symbols, F.col("name"), "symbols")
+    for df, name in ((x, "exports"), (i, "imports"), (s, "symbols")):
+        f = f.join(df, F.col("id") == F.col(f"{name}_file"), "left").drop(f"{name}_file")
+    lists = [F.coalesce(c, F.lit("")).alias(c) for c in ("exports", "imports", "symbols")]
+    return f.select(F.col("asked").alias("path"), F.col("id").isNull().alias("missing"), "language", *lists)
