@@ -269,20 +269,10 @@ def callers_d2(spark, d):
 
 @query("""select e.file_id, e.source, e.line, f.id as resolved_file_id from (
   select file_id, line, '../' || split_part(g.path, '/', 2) || '/' || replace(split_part(g.path, '/', 3), '.txt', '') || case when file_id % 2 = 0 then '.js' else '' end as source, g.path
-  from sym_v join files_v g on g.id = (file_id * 7 + 3) % 500 where line <= 3) e
+  from sym_v join files_v g on g.id = (file_id * 7 + 3) % (select max(id) + 1 from files_v)) e
 join files_v h on h.id = e.file_id
 left join (select id, replace(path, '.txt', '.ts') as path from files_v) f on f.path = split_part(h.path, '/', 1) || '/' || split_part(e.path, '/', 2) || '/' || replace(split_part(e.path, '/', 3), '.txt', '.ts')""")
 def resolve_paths(spark, d):
-    f = V.files(spark, d)
-    g = f.select(F.col("id").alias("g_id"), F.split("path", "/").alias("p"))
-    e = V.symbols(spark, d).where("line <= 3").join(g, (F.col("file_id") * 7 + 3) % 500 == F.col("g_id"))
-    source = F.concat(F.lit("../"), F.col("p")[1], F.lit("/"), F.replace(F.col("p")[2], F.lit(".txt"), F.lit("")), F.when(F.col("file_id") % 2 == 0, ".js").otherwise(""))
-    return graph.resolve_paths(e.select("file_id", source.alias("source"), "line"), f.withColumn("path", F.replace("path", F.lit(".txt"), F.lit(".ts"))))
-
-
-@query()
-def resolve_paths_all(spark, d):
-    """resolve_paths over the symbols of all lines, with all files as targets."""
     f = V.files(spark, d)
     g = f.select(F.col("id").alias("g_id"), F.split("path", "/").alias("p"))
     s = V.symbols(spark, d).crossJoin(F.broadcast(f.agg((F.max("id") + 1).alias("ids"))))
@@ -292,20 +282,12 @@ def resolve_paths_all(spark, d):
 
 
 @query("""select r.id, r.file_id, r.target_name, coalesce(n.t_id, m.t_id) as target_id
-from (select id, file_id, name as target_name from sym_v where line % 3 = 1) r
+from (select id, file_id, name as target_name from sym_v) r
 left join (select file_id, name, min(id) as t_id from sym_v where kind in ('class', 'interface', 'type') and scope is null group by 1, 2) n on n.file_id = r.file_id and n.name = r.target_name
 left join (select i.file_id, i.name, t_id from (select distinct file_id, name, resolved_file_id from imp_v) i
   join (select file_id, name, min(id) as t_id from sym_v where kind in ('class', 'interface', 'type') and scope is null group by 1, 2) t on t.file_id = i.resolved_file_id and t.name = i.name) m
   on m.file_id = r.file_id and m.name = r.target_name""")
 def resolve_relations(spark, d):
-    s = V.symbols(spark, d)
-    r = s.where("line % 3 = 1").select("id", "file_id", F.col("name").alias("target_name"))
-    return graph.resolve_relations(r, s, V.imports(spark, d))
-
-
-@query()
-def resolve_relations_all(spark, d):
-    """resolve_relations with every symbol as a relation."""
     s = V.symbols(spark, d)
     return graph.resolve_relations(s.select("id", "file_id", F.col("name").alias("target_name")), s, V.imports(spark, d))
 
@@ -374,33 +356,47 @@ def clarify(spark, d):
 # --- search ------------------------------------------------------------------------------------------------------------
 
 
-def _score(q: str, c: str) -> str:
-    return f"case when {c} = '{q}' then 1.0 when lower({c}) = '{q}' then 0.95 when starts_with(lower({c}), '{q}') then 0.9 when strpos(lower({c}), '{q}') > 0 then 0.7 + greatest(0.0, 0.15 * (1 - (strpos(lower({c}), '{q}') - 1) / length({c}))) else 0 end::double"
+def _scored(q: str, name: str, strings: str) -> str:
+    """CTE ``name(s, score)``: the score of q for each text of the CTE strings(s)."""
+    low, n = q.lower(), len(q)
+    at = ["strpos(l, '" + low[0] + "') as p1"] + [f"case when p{k} > 0 and strpos(substr(l, p{k} + 1), '{c}') > 0 then p{k} + strpos(substr(l, p{k} + 1), '{c}') else 0 end as p{k + 1}" for k, c in enumerate(low[1:], 1)]
+    near = " + ".join(["0"] + [f"(p{k + 1} = p{k} + 1)::int" for k in range(1, n)])
+    rest = f"when p{n} > 0 then greatest(0.1::double, least(0.6::double, 0.3::double + 0.05::double * near - least(0.05::double * ({n} - near), 0.2::double)))"
+    inside = f"0.7::double + greatest(0.0::double, 0.15::double * (1 - (strpos(l, '{low}') - 1)::double / length(s)))"
+    score = f"case when s = '{q}' then 1.0::double when l = '{low}' then 0.95::double when starts_with(l, '{low}') then 0.9::double when strpos(l, '{low}') > 0 then {inside} {rest} else 0.0::double end"
+    return f"{name} as (select s, {score} as score from (select *, {near} as near from (select s, lower(s) as l, {', '.join(at)} from {strings})))"
 
 
 def _parts(spark, d):
     return V.table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name"), F.col("p_brand").alias("base"), F.lit(None).cast("string").alias("scope"), F.col("p_type").alias("doc"))
 
 
-@query(f", r as (select p_partkey as id, p_name as name, case when {_score('red', 'p_name')} > 0 then {_score('red', 'p_name')} else greatest(0.7 * {_score('red', 'p_brand')}, 0.4 * {_score('red', 'p_type')}) end as score from part) select id, name, round(score, 6) as score from r where score > 0 order by r.score desc, id limit 20")
-def search_single(spark, d):
-    return search.search(_parts(spark, d), "red", loose=False).select("id", "name", F.round("score", 6).alias("score"))
+_STRINGS = ", strings as (select p_name as s from part union select p_brand from part union select p_type from part)"
 
 
-_W = [f"greatest({_score(w, 'p_name')}, 0.7 * {_score(w, 'p_brand')}, 0.4 * {_score(w, 'p_type')})" for w in ("widget", "red")]
+def _best(cte: str) -> str:
+    """Best weighted score of the fields of each part."""
+    of = lambda c: f"(select score from {cte} where s = {c})"
+    return f"greatest({of('p_name')}, 0.7 * {of('p_brand')}, 0.4 * {of('p_type')})"
+
+
+@query(f"{_STRINGS}, {_scored('red', 'by_red', 'strings')}, r as (select p_partkey as id, p_name as name, case when n.score > 0 then n.score else greatest(0.7 * b.score, 0.4 * t.score) end as score from part join by_red n on n.s = p_name join by_red b on b.s = p_brand join by_red t on t.s = p_type) select id, name, round(score, 6) as score from r where score > 0 order by r.score desc, id limit 20")
+def search_single(spark, d):
+    return search.search(_parts(spark, d), "red").select("id", "name", F.round("score", 6).alias("score"))
 
 
 @query(f"""
-, b as (select p_partkey as id, {_W[0]} as a, {_W[1]} as b from part),
-r as (select id, (a > 0)::int + (b > 0)::int as hit, (a + b) / greatest((a > 0)::int + (b > 0)::int, 1) * sqrt(((a > 0)::int + (b > 0)::int) / 2) as score from b)
+{_STRINGS}, {_scored('widget', 'by_w', 'strings')}, {_scored('red', 'by_r', 'strings')},
+b as (select p_partkey as id, {_best('by_w')} as a, {_best('by_r')} as b from part),
+r as (select id, (a > 0)::int + (b > 0)::int as hit, (a + b) / 2 * sqrt(((a > 0)::int + (b > 0)::int) / 2) as score from b)
 select id, round(score, 6) as score from r where hit > 0 order by round(r.score, 12) desc, id limit 20""")
 def search_multi(spark, d):
-    return search.search(_parts(spark, d), "widget red", loose=False).select("id", F.round("score", 6).alias("score"))
+    return search.search(_parts(spark, d), "widget red").select("id", F.round("score", 6).alias("score"))
 
 
-@query(f", r as (select distinct name, {_score('ered', 'name')} as score from sym_v) select name, round(score, 6) as score from r where score >= 0.15 order by r.score desc, name limit 5")
+@query(f", names as (select distinct name as s from sym_v), {_scored('ered', 'by_ered', 'names')} select s as name, round(score, 6) as score from by_ered where score >= 0.15 order by by_ered.score desc, s limit 5")
 def suggestions(spark, d):
-    return search.suggestions(V.symbols(spark, d), "ered", loose=False).select("name", F.round("score", 6).alias("score"))
+    return search.suggestions(V.symbols(spark, d), "ered").select("name", F.round("score", 6).alias("score"))
 
 
 @query("""select f.path, l.line, (length(regexp_extract(l.content, '(?i)^(.*?)licen[cs]e[sd]? ', 1)))::int as col, regexp_extract(l.content, '(?i)licen[cs]e[sd]? ') as match, l.content[1:200] as context
@@ -426,16 +422,8 @@ def overlay_files(spark, d):
 @query("""
 select file_id, count(*) as n from (
   select file_id from occ_v where not (file_id % 10 = 0 and file_id > 0) and file_id % 17 <> 0 union all
-  select -file_id from occ_v where file_id % 10 = 0 and file_id > 0 and line <= 2) group by 1""")
+  select -file_id from occ_v where file_id % 10 = 0 and file_id > 0) group by 1""")
 def overlay_occurrences(spark, d):
-    f, c, x = _delta(spark, d)
-    o = V.occurrences(spark, d)
-    return overlay.merge_children(o, f, o.where("file_id % 10 = 0 and file_id > 0 and line <= 2"), c, x).groupBy("file_id").agg(F.count("*").alias("n"))
-
-
-@query()
-def overlay_occurrences_all(spark, d):
-    """overlay_occurrences with all lines of the changed files."""
     f, c, x = _delta(spark, d)
     o = V.occurrences(spark, d)
     return overlay.merge_children(o, f, o.where("file_id % 10 = 0 and file_id > 0"), c, x).groupBy("file_id").agg(F.count("*").alias("n"))
@@ -537,16 +525,12 @@ def opt_transitions(spark, d):
 
 @query("select decision, count(*) as n, count(*) filter (ts_ms >= (select max(ts_ms) from tel_v) - 3600000) as recent from tel_v group by 1")
 def decision_totals(spark, d):
-    t = V.telemetry(spark, d)
-    now = t.agg(F.max("ts_ms")).first()[0] or 0
-    return telemetry.decision_totals(t, now)
+    return telemetry.decision_totals(V.telemetry(spark, d))
 
 
 @query("select id, ts_ms, rule from tel_v where ts_ms >= (select max(ts_ms) from tel_v) - 864000000 order by id desc limit 5000")
 def retention(spark, d):
-    t = V.telemetry(spark, d)
-    now = t.agg(F.max("ts_ms")).first()[0] or 0
-    return telemetry.retained(t, now, days=10, rows=5000).select("id", "ts_ms", "rule")
+    return telemetry.retained(V.telemetry(spark, d), days=10, rows=5000).select("id", "ts_ms", "rule")
 
 
 # --- semi-structured ---------------------------------------------------------------------------------------------------
@@ -720,3 +704,6 @@ select 'status' as section, status as key, count(*) as value from l group by 2 u
 union all select 'symbols', language, sum(n)::bigint from l group by 2 union all select 'total', 'files', count(*) from l union all select 'total', 'symbols', sum(n)::bigint from l""")
 def stats(spark, d):
     return source.stats(V.files(spark, d), V.symbols(spark, d))
+
+
+from quarry import registry_more  # noqa: E402,F401  (adds its queries)

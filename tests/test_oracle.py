@@ -35,28 +35,6 @@ def test_matches_sql(spark, db, name):
     assert rows(df.collect(), df.columns) == rows(want.fetchall(), want.columns)
 
 
-#: Queries over the whole input, by the SQL of their samples without its caps.
-WHOLE = {
-    "resolve_paths": ((" where line <= 3", ""), ("% 500", "% (select max(id) + 1 from files_v)")),
-    "resolve_relations": ((" where line % 3 = 1) r", ") r"),),
-    "overlay_occurrences": ((" and line <= 2", ""),),
-}
-
-
-@pytest.mark.skipif(not Path(DIR).exists(), reason="needs the driver's tables")
-@pytest.mark.parametrize("name", sorted(WHOLE))
-def test_whole_input(spark, db, name):
-    sql = registry.oracle_sql()[name]
-    for capped, whole in WHOLE[name]:
-        assert sql.count(capped) == 1
-        sql = sql.replace(capped, whole)
-    df = registry.queries()[f"{name}_all"](spark, DIR)
-    want = db.sql(sql)
-    got = rows(df.collect(), df.columns)
-    assert got == rows(want.fetchall(), want.columns)
-    assert got != rows(db.sql(registry.oracle_sql()[name]).fetchall(), want.columns)
-
-
 def test_nothing_else_imports_llm():
     root = Path(registry.__file__).parent
     for f in root.rglob("*.py"):
