@@ -152,11 +152,6 @@ class _Weights(dict):
         return x
 
 
-def score_sentences(text: bytes, weights: dict, bias: float) -> np.ndarray:
-    get = _Weights(weights).__getitem__
-    return np.array([sum(map(get, s)) + bias for s in sentences(text)])
-
-
 def _score(weights: dict[bytes, float], bias: float, threshold: float):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = _Weights(weights).__getitem__
