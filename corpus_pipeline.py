@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from quarry.llm import decontam, mixing, near_dedup, quality_rules, sharding
-from quarry.llm._common import read, stage
+from quarry.llm._common import read, stage, unstage
 
 WIDTH, PERCENT = 5, 80
 
@@ -42,8 +42,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
-    for name, stage_ in STAGES:
-        docs = stage_(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            docs = stage(docs, f"pipeline_{name}")
-    return docs
+    for name, stage_ in STAGES[:-1]:
+        before, docs = docs, stage(stage_(spark, docs, sf_dir), f"pipeline_{name}")
+        unstage(before)  # the documents table itself isn't a staged one
+    return STAGES[-1][1](spark, docs, sf_dir)
