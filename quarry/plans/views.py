@@ -1,6 +1,6 @@
 """Index tables played by the driver's test tables: the same definition as DataFrames and as SQL for the oracle.
 
-Symbols, occurrences and edges are built once for each input and session, and published in the order in which they are looked
+Files, symbols, occurrences and edges are built once for each input and session, and published in the order in which they are looked
 up, as an index is; queries read the published tables, so that a lookup by name reads the pages of that name alone.
 """
 
@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from quarry.functions.text import ascii_lower
 from quarry.scratch import scratch
@@ -18,8 +19,19 @@ from quarry.scratch import scratch
 IDENT = "[A-Za-z_$][A-Za-z0-9_$]+"
 
 
+_SCHEMAS: dict[tuple, StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    key = (sf_dir, name, *_state(spark, sf_dir, name))
+    return _read(spark, f"{sf_dir}/{name}.parquet", key)
+
+
+def _read(spark: SparkSession, path: str, key: tuple) -> DataFrame:
+    """A table whose files are opened for their schema once."""
+    if key not in _SCHEMAS:
+        _SCHEMAS[key] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[key]).parquet(path)
 
 
 _PUBLISHED: dict[tuple, str] = {}
@@ -32,16 +44,20 @@ def _state(spark: SparkSession, sf_dir: str, source: str) -> tuple:
     return fs.getContentSummary(path).getLength(), fs.getFileStatus(path).getModificationTime()
 
 
-def published(spark: SparkSession, sf_dir: str, name: str, source: str, make: Callable[[SparkSession, str], DataFrame], *order: str) -> DataFrame:
-    key = (spark.sparkContext.applicationId, sf_dir, name, *_state(spark, sf_dir, source))
+def published(spark: SparkSession, sf_dir: str, name: str, sources: tuple[str, ...], make: Callable[[SparkSession, str], DataFrame], *order: str) -> DataFrame:
+    key = (spark.sparkContext.applicationId, sf_dir, name, *(x for t in sources for x in _state(spark, sf_dir, t)))
     if key not in _PUBLISHED:
         at = scratch(spark, name)
         make(spark, sf_dir).repartitionByRange(*order).sortWithinPartitions(*order).write.parquet(at)
         _PUBLISHED[key] = at
-    return spark.read.parquet(_PUBLISHED[key])
+    return _read(spark, _PUBLISHED[key], key)
 
 
 def files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return published(spark, sf_dir, "files", ("documents", "labels"), _files, "id")
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = table(spark, sf_dir, "documents")
     toxic = table(spark, sf_dir, "labels").select("doc_id", "toxic")
     status = F.when(F.col("n_chars") < 100, "skipped").when(F.col("toxic") == 1, "error").otherwise("indexed")
@@ -55,7 +71,7 @@ def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return published(spark, sf_dir, "occurrences", "documents", _occurrences, "name", "file_id", "line")
+    return published(spark, sf_dir, "occurrences", ("documents",), _occurrences, "name", "file_id", "line")
 
 
 def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,7 +83,7 @@ def _occurrences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
     """With ``name_key``, the name in lower case (ASCII), for lookups in any case."""
-    return published(spark, sf_dir, "symbols", "documents", _symbols, "name_key", "name", "id")
+    return published(spark, sf_dir, "symbols", ("documents",), _symbols, "name_key", "name", "id")
 
 
 def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -79,7 +95,7 @@ def _symbols(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return published(spark, sf_dir, "edges", "pages", _edges, "source", "file_id", "line")
+    return published(spark, sf_dir, "edges", ("pages",), _edges, "source", "file_id", "line")
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -349,6 +349,65 @@ def overlay_gates(spark, d):
     return V.table(spark, d, "events").select("event_id", overlay_gate(head, ~k(7), schema, F.lit(1), ~k(3), k(13), F.col("event_id") % 1000).alias("reason"))
 
 
+@query("""select event_id as id, user_id::varchar as session_id, case event_id % 6 when 1 then 'npm run test:unit' when 3 then 'pytest -q' end as cmd from events
+where event_type = 'click' and event_id % 6 in (1, 3) and event_id // 6 % 2 = 0""")
+def test_runs(spark, d):
+    from quarry.registry import COMMANDS, _names
+
+    e = V.table(spark, d, "events").where("event_type = 'click'")
+    said = F.to_json(F.struct(_names(COMMANDS, "event_id").alias("command")))
+    code = F.to_json(F.struct((F.floor(F.col("event_id") / 6) % 2).alias("exit_code")))
+    e = e.select(F.lit("PostToolUse").alias("hook_event"), F.lit("Bash").alias("tool_name"), F.col("user_id").cast("string").alias("session_id"), F.col("event_id").alias("ts_ms"), said.alias("tool_input"), code.alias("tool_response"))
+    return policy.test_runs(e).select(F.col("ts_ms").alias("id"), "session_id", "cmd")
+
+
+@query("select path, size > 1500 as stale from files_v")
+def stale_hints(spark, d):
+    return policy.stale_hint(V.files(spark, d).select("path", F.col("size").alias("mtime")), 1500).select("path", "stale")
+
+
+@query("""
+, l as (select file_id, line, content, regexp_extract(content, '[A-Za-z_$][A-Za-z0-9_$]*') as first from lines_v where line % 2 = 1),
+m as (select file_id, line, content, substr(content, 1, 6) as b, substr(content, 7) as a from lines_v where line % 2 = 0),
+h as (select file_id, line, regexp_extract(b, '[A-Za-z_$][A-Za-z0-9_$]*$') || case when regexp_matches(b, '[A-Za-z_$][A-Za-z0-9_$]*$') then regexp_extract(a, '^[A-Za-z0-9_$]*') else regexp_extract(a, '^[A-Za-z_$][A-Za-z0-9_$]*') end as name from m)
+select file_id, line, nullif(first, '') as identifier from l union all select file_id, line, name from h where name <> ''""")
+def identifiers_at(spark, d):
+    # at even lines only where the seventh place touches a name
+    l = V.lines(spark, d).withColumn("at", F.when(F.col("line") % 2 == 0, 6))  # noqa: E741
+    b, a = F.substring("content", 1, 6), F.expr("substring(content, 7)")
+    touches = b.rlike("[A-Za-z_$][A-Za-z0-9_$]*$") | a.rlike("^[A-Za-z_$]")
+    return source.identifiers_at(l.where((F.col("line") % 2 == 1) | touches), at="at").select("file_id", "line", "identifier")
+
+
+@query("""select file_id, '{"nm":"' || name || '","cs":[{"l":' || line || case when line % 4 = 1 then ',"k":"class"' else '' end || '}]' || case when line % 2 = 0 then ',"id":true' else '' end || '}' as json, id from sym_v""")
+def compact_nested(spark, d):
+    from quarry.operators.compact import compact_json
+
+    s = V.symbols(spark, d)
+    inner = F.array(F.struct(F.col("line"), F.when(F.col("kind") == "class", F.col("kind")).otherwise("").alias("kind")))
+    rows = s.select("file_id", "id", F.struct("name", inner.alias("call_sites"), F.array().cast("array<string>").alias("imports"), (F.col("line") % 2 == 0).alias("is_default")).alias("r"))
+    short = compact_json(rows.select("r.*", F.struct(F.col("file_id"), F.col("id")).alias("key_")))
+    return short.select(F.get_json_object("json", "$.key_.file_id").cast("long").alias("file_id"), F.regexp_replace("json", r',"key_":\{[^}]*\}', "").alias("json"), F.get_json_object("json", "$.key_.id").cast("long").alias("id"))
+
+
+@query("""
+, ended as (
+  select s.*, coalesce(end_line, lead(line) over (partition by file_id order by line, id) - 1, least(line + 49, n_lines)) as e from sym_v s join (select file_id, count(*) as n_lines from lines_v group by 1) using (file_id)),
+picked as (select id as root_id, id from sym_v where name = 'Of')
+select root_id, id, array_to_string((string_split(text, chr(10)))[line:e], chr(10)) as source from picked join ended using (id) join documents on doc_id = file_id""")
+def slice_sources(spark, d):
+    n = V.lines(spark, d).groupBy("file_id").agg(F.count("*").alias("n_lines"))
+    t = V.table(spark, d, "documents").select(F.col("doc_id").alias("file_id"), "text")
+    picked = V.symbols(spark, d).where("name = 'Of'").select(F.col("id").alias("root_id"), "id")
+    return source.slice_bodies(picked, spans.end_lines(V.symbols(spark, d), n), t).select("root_id", "id", "source")
+
+
+@query("select child as src, parent as dst, 0 as depth from graph_v where child = 'n:3' union all select parent, child, 0 from graph_v where false order by 1, 2 limit 200")
+def relations_first(spark, d):
+    r = V.graph(spark, d).select(F.col("child").alias("source_name"), F.col("parent").alias("target_name"))
+    return graph.relations(r, "n:3", "parents", 1).orderBy("src", "dst").limit(200)
+
+
 # --- documents -----------------------------------------------------------------------------------------------------------
 
 
@@ -437,7 +496,7 @@ CODE = {
 }
 #: What is to be found in each: symbols (name, kind, line, end_line, scope), edges (kind, name, source, line), calls (name, line), relations (source, kind, target, line).
 FOUND = {
-    "typescript": ([("T{i}", "class", 2, 6, None), ("run", "method", 3, 5, "T{i}")], [("import", "Base", "./base", 1), ("export", "T{i}", None, 2)], [("go", 4)], [("T{i}", "extends_class", "Base", 2)]),
+    "typescript": ([("T{i}", "class", 2, 6, None), ("run", "method", 3, 5, "T{i}")], [("import", "Base", "./base", 1), ("export", "T{i}", None, 2)], [("go", 4)], [("T{i}", "extends_class", "Base", 2), ("run", "overrides_method", "Base.run", 3)]),
     "javascript": ([("fs", "variable", 1, 1, None), ("f{i}", "function", 2, 4, None)], [("require", None, "./fs", 1), ("export", "f{i}", None, 2)], [("go", 3)], []),
     "python": ([("T{i}", "class", 3, 5, None), ("run", "function", 4, 5, "T{i}")], [("import", "Base", ".base", 1), ("export", "T{i}", None, 3)], [("go", 5)], [("T{i}", "extends_class", "Base", 3)]),
     "java": ([("T{i}", "class", 2, 6, None), ("run", "method", 3, 5, "T{i}")], [("import", "Base", "a.b.Base", 1), ("export", "T{i}", None, 2)], [("go", 4)], [("T{i}", "extends_class", "Base", 2)]),
@@ -508,7 +567,7 @@ _META = {"config_hash": "c", "root": "/w", "git_head": "abc", "clean_at_index_ti
 _MODULES = """
 , m as (select doc_id as i, 'src/d' || doc_id || '.ts' as path, case when {new} then 'New' else 'T' end || doc_id as name, 'T' || (doc_id - 1) as base, 'src/d' || (doc_id - 1) || '.ts' as base_path, case when {touched} then 2.0 else 1.0 end::double as mtime from documents where {left}),
 r as (select m.path, m.name, m.base as target_name, t.path as target_path, m.mtime from m left join m t on t.path = m.base_path and t.name = m.base where m.i > 0)
-select * from r"""
+select * from r union all select path, 'run', target_name || '.run', target_path, mtime from r"""
 
 
 def _ends(tables: dict[str, DataFrame]) -> DataFrame:

@@ -115,7 +115,7 @@ def with_relations(tables: dict[str, DataFrame], relations: DataFrame) -> dict[s
     """tables with ``relations``, whose ends are looked up among the tables' symbols."""
     s = tables["symbols"]
     r = relations.select("file_id", "source_name", "kind", "target_name", "confidence", "line")
-    owner = s.where("kind in ('class', 'interface', 'type')").groupBy(F.col("file_id").alias("s_file"), F.col("name").alias("s_name"), F.col("line").alias("s_line")).agg(F.min("id").alias("source_id"))
+    owner = s.where("kind in ('class', 'interface', 'type', 'method')").groupBy(F.col("file_id").alias("s_file"), F.col("name").alias("s_name"), F.col("line").alias("s_line")).agg(F.min("id").alias("source_id"))
     r = r.join(owner, (F.col("file_id") == F.col("s_file")) & (F.col("source_name") == F.col("s_name")) & (F.col("line") == F.col("s_line"))).drop("s_file", "s_name", "s_line")
     r = r.withColumn("id", F.xxhash64("source_id", "kind", "target_name"))
     imports = tables["edges"].where(F.col("kind").isin("import", "dynamic-import", "require"))

@@ -332,6 +332,7 @@ def braces(language: str, text: str) -> Rows:
         if kind in ("class", "interface") and body is not None:
             _heritage(language, code[m.end(1) : body], name, kind, line, out)
     if language in ("typescript", "javascript"):
+        _overrides(out)
         _ts_edges(code, text, out, line_of)
     else:
         for m in _IMPORTS[language].finditer(text):
@@ -360,6 +361,18 @@ def _heritage(language: str, head: str, name: str, kind: str, line: int, out: Ro
             out.relation(name, "implements" if word == "implements" else "extends_interface" if kind == "interface" else "extends_class", t, line)
 
 
+def _overrides(out: Rows) -> None:
+    """A method of a class with a parent may override the parent's: ``Parent.method``, told of the method."""
+    parents: dict[str, list[str]] = {}
+    for r in out.relations:
+        if r["kind"] == "extends_class":
+            parents.setdefault(r["source_name"], []).append(r["target_name"])
+    for s in out.symbols:
+        if s["kind"] == "method" and s["name"] != "constructor" and not s["name"].startswith("#"):
+            for p in parents.get(s["scope"], ()):
+                out.relation(s["name"], "overrides_method", f"{p}.{s['name']}", s["line"])
+
+
 def _use(code: str, m: re.Match) -> str:
     """How a name is used, by its neighbours."""
     before, after = code[max(0, m.start() - 40) : m.start()].rstrip(), code[m.end() : m.end() + 3].lstrip()

@@ -3,7 +3,7 @@ import subprocess
 
 import pytest
 
-from quarry.operators import search, source
+from quarry.operators import pack, search, source
 from quarry.sources import build, documents, publish, scan
 
 META = {"config_hash": "c", "root": "/w", "git_head": "abc", "clean_at_index_time": True}
@@ -157,3 +157,61 @@ def test_slices_match_all_pairs(spark):
             if c:
                 want.add((i, used, min(c)[1], min(c)[0]))
     assert {(r.root_id, r.name, r.id, r.preference) for r in got} == want
+
+
+def test_pack_of_searches(spark):
+    import random
+
+    rng = random.Random(11)
+    outlines = [(f, rng.randint(5, 60)) for f in range(30) if f % 7]
+    symbols = [(i, rng.randrange(30), rng.choice(["x", "y", "z"]), rng.randint(5, 90)) for i in range(120)]
+    imports = [(f, rng.choice([None, *range(30)]), k) for f in range(30) for k in range(4)]
+    hits = []
+    for q in range(40):
+        for k, (i, f, n, _) in enumerate(rng.sample(symbols, 12)):
+            hits.append((q, k, i, f, n))
+    h = spark.createDataFrame(hits, "query_id long, rank int, id long, file_id long, name string")
+    o = spark.createDataFrame(outlines, "file_id long, tokens long")
+    s = spark.createDataFrame([(i, t) for i, _, _, t in symbols if i % 9], "id long, tokens long")
+    m = spark.createDataFrame(imports, "file_id long, resolved_file_id long, line int")
+    got = {r.query_id: (r.total, list(r.taken), list(r.skipped)) for r in pack.pack(pack.items_of(h, o, s, m), 400).collect()}
+    tokens = dict(outlines)
+    for q in range(40):
+        mine = [x for x in hits if x[0] == q]
+        total, taken, skipped, shown = 0, [], [], set()
+
+        def add(key, n, cap):
+            nonlocal total
+            if total + n > cap:
+                skipped.append(key)
+                return False
+            taken.append(key)
+            total += n
+            return True
+
+        for _, _, _, f, _ in mine:
+            if f in shown or f not in tokens:
+                continue
+            if not add(f"file:{f}", tokens[f], 120):
+                break
+            shown.add(f)
+        seen, tried = set(), set()
+        for _, _, i, f, n in mine:
+            if (f, n) in tried:
+                continue
+            tried.add((f, n))
+            if i % 9 == 0:
+                continue
+            if not add(f"symbol:{i}", symbols[i][3], 240) and total >= 240:
+                break
+            seen.add((f, n))
+        for f in dict.fromkeys(x[3] for x in mine):
+            for _, to, _ in sorted((x for x in imports if x[0] == f), key=lambda x: x[2]):
+                if to is None or to in shown or to not in tokens:
+                    continue
+                if not add(f"file:{to}", tokens[to], 400):
+                    break
+                shown.add(to)
+            if total >= 400:
+                break
+        assert got[q] == (total, taken, skipped), q

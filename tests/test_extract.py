@@ -45,7 +45,7 @@ def test_typescript():
     assert {("import", "React", None, "react", True, False, False), ("import", "useState", "state", "react", False, False, False), ("import", "FC", None, "react", False, False, True), ("import", None, "fs", "./fs", False, True, False)} <= got
     assert {("re-export", "helper", None, "./helper", False, False, False), ("re-export", None, None, "./all", False, True, False), ("export", "Circle", None, None, True, False, False), ("dynamic-import", None, None, "./lazy", False, False, False)} <= got
     assert not any(e["source"] == "comment" for e in r.edges)
-    assert {(x["source_name"], x["kind"], x["target_name"]) for x in r.relations} == {("Shape", "extends_interface", "Base"), ("Circle", "extends_class", "Shape2"), ("Circle", "implements", "Shape"), ("Circle", "implements", "Other")}
+    assert {(x["source_name"], x["kind"], x["target_name"]) for x in r.relations} == {("Shape", "extends_interface", "Base"), ("Circle", "extends_class", "Shape2"), ("Circle", "implements", "Shape"), ("Circle", "implements", "Other"), ("area", "overrides_method", "Shape2.area")}
     uses = {(o["name"], o["line"]): o["ref_kind"] for o in r.occurrences}
     assert uses["formatDate", 9] == "declaration" and uses["fmt", 11] == "call" and uses["count", 15] == "write" and uses["Shape2", 18] == "type-ref"
     # usual names of a language are no occurrences there, but may be elsewhere
