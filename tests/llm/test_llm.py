@@ -469,6 +469,33 @@ def test_toxicity(spark, none):
     assert toxicity.score(none, labels).count() == 0 and {r.score for r in toxicity.score(df, labels.limit(0)).collect()} == {0.0}
 
 
+def test_toxicity_locates_sentences():
+    rng = random.Random(15)
+    rows = []
+    for i in range(300):
+        ss = [text_of(rng, 6) for _ in range(rng.randint(1, 6))]
+        if i % 4 == 0:
+            ss[rng.randrange(len(ss))] += " vileword nastyterms"
+        rows.append((". ".join(ss), int(i % 4 == 0)))
+    weights, bias = toxicity.train(rows, {1: 75, 0: 225})
+    # the document's loss falls against the bias alone, and the marked sentence explains its label
+    texts = [t for t, _ in rows] + ["", " . ! ", "Ünïcode vileword? " + "clean words here. " * 2000]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array([False] * len(texts)), pa.array(texts)], ["doc_id", "held_out", "text"])
+    got = [r for b in toxicity._score(weights, bias, 0.7)([batch]) for r in b.to_pylist()]
+    for t, r in zip(texts, got):
+        sentences = [re.sub(r"[^0-9a-zA-Z\x80-\U0010ffff]", " ", s).lower().split() for s in re.split(r"[\n.!?]", t)]
+        p = []
+        for words_ in filter(None, sentences):
+            z = bias
+            for w in words_:
+                z += sum(weights.get(f.encode(), 0.0) for f in [w, *(w[:n] + "-" for n in (4, 5, 6) if len(w) > n)])
+            p.append(1 / (1 + math.exp(-z)))
+        assert abs(r["score"] - (1 - math.prod(1 - x for x in p))) < 1e-6 and r["predicted"] == int(r["score"] >= 0.7)
+        assert (r["worst_sentence"], r["worst_score"]) == (None, None) if not p else abs(max(p) - r["worst_score"]) < 1e-9
+    for (t, y), r in zip(rows, got):
+        assert not y or "vileword" in [s for s in re.split(r"[.]", t) if s.strip()][r["worst_sentence"]]
+
+
 def test_quality_knn(spark, none):
     df, labels, truth = labelled(spark, 400, 5, lambda s, r: " | ".join(s.split()) * 4)
     got = {r.doc_id: r for r in quality_knn.score(df, labels).collect()}
@@ -676,6 +703,15 @@ def test_lm_vocabulary(spark, none, monkeypatch):
         assert by[100].mean_log_prob < min(by[i].mean_log_prob for i in range(60)) - 2 and by[101].mean_log_prob is None
 
 
+def test_lm_average(spark, monkeypatch):
+    monkeypatch.setattr(lm_score, "FAN", 3)
+    rng = np.random.default_rng(4)
+    rows = [(s, int(rng.integers(1, 9)), rng.normal(size=5)) for s in range(40)]
+    models = spark.createDataFrame([(s, n, bytearray((w * n).tobytes())) for s, n, w in rows], "s long, n long, w binary").repartition(4)
+    assert np.allclose(lm_score._averaged(models), sum(w * n for _, n, w in rows) / sum(n for _, n, _ in rows), atol=1e-6)
+    assert lm_score._averaged(models.limit(0)) is None
+
+
 def test_lm_gradient():
     net = lm_score.Network(seed=2)
     rng = np.random.default_rng(0)
@@ -703,3 +739,94 @@ def test_pipeline(spark, docs, tmp_path):
     assert not {100, 101, 102} & set(ids) and max(ids.values()) <= 3 and len(ids) > 20
     counts = Counter(r.shard for r in out)
     assert max(counts.values()) - min(counts.values()) <= 1 and set(registry.queries()) >= {"pipeline", "op1_mixing"}
+
+
+def test_pipeline_stages_against_brute_force(spark, tmp_path):
+    import corpus_pipeline
+
+    rng = random.Random(41)
+    rows = [(i, ". ".join(text_of(rng, 10) for _ in range(rng.randint(3, 9))), "en", f"s{i % 3}", 1, i % 5, "x") for i in range(70)]
+    for i in range(8):  # copies with a word changed, exact ones, repeated rows, copies without an id
+        w = rows[i][1].split()
+        w[rng.randrange(len(w))] = "changed"
+        rows += [(200 + i, " ".join(w), "en", "s1", 1, 0, "x"), (300 + i, rows[i + 10][1], None, None, 1, 0, None), rows[i + 20], (None, rows[i + 30][1], "en", "s2", None, 1, "x")]
+    items = [(i, text_of(rng, 18)) for i in range(6)] + [(9, None)]
+    for i, (_, x) in enumerate(items[:6]):
+        w = x.split()
+        w[3:5] = ["edited"]
+        rows.append((400 + i, rows[40 + i][1] + " " + " ".join(w), "en", "s0", 1, 0, "x"))
+    rows += [(500, None, None, None, None, None, None), (501, "", "en", "s1", 0, 0, "x"), (None, None, None, None, None, None, None), (502, "too short", "en", "s0", 1, 1, "x")]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, shard int, h string"
+    spark.createDataFrame(rows, schema).repartition(3).write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    key = lambda r: str((r[0], r[1], r[2], r[3]))
+    steps = dict(corpus_pipeline.STAGES)
+    docs = spark.read.parquet(f"{tmp_path}/documents.parquet")
+    path = f"{tmp_path}/step"
+
+    def apply(name, docs):
+        out = steps[name](spark, docs, str(tmp_path))
+        out.write.parquet(f"{path}-{name}")
+        return spark.read.parquet(f"{path}-{name}")
+
+    kept = apply("quality_rules", docs)
+    verdicts = quality_rules.judge(docs).select("doc_id", "n_words", "n_repeat_words", "kept").collect()
+    assert kept.columns == docs.columns and kept.count() == sum(r.kept for r in verdicts)
+    assert not any(r.kept for r in verdicts if r.n_words < 10) and kept.count() >= 90
+    before, deduped = [tuple(r) for r in kept.collect()], apply("near_dedup", kept)
+    groups = {}
+    for r, (_, n, c) in zip(before, brute_components(before, 5, 80)):
+        groups.setdefault((c, None if c is not None else r[1]), []).append(r)
+    got = [tuple(r) for r in deduped.collect()]
+    assert deduped.columns == docs.columns and len(got) == len(groups)
+    for (c, _), members in groups.items():
+        mine = [r for r in got if r in members]
+        assert len(mine) == 1 and mine[0][0] == c
+    clean = apply("decontamination", deduped)
+    token = lambda s: re.sub(r"[^\w]+", " ", (s or "").lower()).split()
+    hit = {key(r) for r in got for _, x in items if token(x) and edit_infix(token(x), token(r[1])) <= int(0.2 * len(token(x)))}
+    assert len(hit) >= 6 and sorted(key(r) for r in clean.collect()) == sorted(key(r) for r in got if key(r) not in hit)
+    mixed = apply("mixing", clean)
+    times = Counter(key(r) for r in mixed.collect())
+    plan_ = {str((r.doc_id, r.size)): r.times for r in mixing.amounts(clean).collect()}
+    assert mixed.columns == docs.columns and all(times.get(key(r), 0) == plan_[str((r[0], len((r[1] or "").split())))] for r in clean.collect())
+    sharded = apply("sharding", mixed)
+    assert sharded.columns == ["doc_id", "text", "lang", "source", "n_chars", "h", "shard", "slot"]
+    assert Counter(key(r) for r in sharded.collect()) == times
+    counts = Counter(r.shard for r in sharded.collect())
+    assert max(counts.values()) - min(counts.values()) <= 1 and len({(r.shard, r.slot) for r in sharded.collect()}) == mixed.count()
+    where = {}
+    for r in sharded.collect():
+        where.setdefault(r.text, set()).add(r.shard)
+    assert all(len(x) == 1 for x in where.values())
+    assert sorted(map(str, corpus_pipeline.run(spark, str(tmp_path)).select("doc_id", "text", "source").collect())) == sorted(map(str, sharded.select("doc_id", "text", "source").collect()))
+
+
+def test_pipeline_of_nothing(spark, tmp_path):
+    import corpus_pipeline
+
+    spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.columns == ["doc_id", "text", "lang", "source", "n_chars", "shard", "slot"] and out.count() == 0
+
+
+def test_further_columns_change_nothing(spark):
+    rows = [r[:4] for r in corpus()]
+    plain = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    names = "h sig id key size source_size target taken times extra row shard slot law score predicted held_out o t y n w s g kept n_words total inside rare rest share distance item_id spans word __h __id label node part prefix last".split()
+    more = plain.selectExpr("*", *[f"'x' as `{c}`" for c in names])
+    labels = labels_of(spark, [(i, int(i % 5 != 0), int(i % 7 == 0)) for i in range(60)])
+    bench = spark.createDataFrame([(1, rows[0][1]), (1, rows[2][1]), (None, "one two"), (2, None)], "item_id long, text string")
+    ops = [
+        mixing.amounts, quality_rules.judge, lm_score.score, lambda d: toxicity.score(d, labels), lambda d: quality_knn.score(d, labels), secrets.find_secrets,
+        lambda d: sharding.shard_table(d).drop("shard", "slot"), near_dedup.components, lambda d: decontam.matches(d, bench),
+    ]
+    for op in ops:
+        a, b = op(plain), op(more)
+        assert a.columns == b.columns and sorted(map(str, a.collect())) == sorted(map(str, b.collect())), op
+        if "doc_id" in a.columns and a.columns[1] != "item_id":
+            assert a.count() == len(rows)
+    for keep in (quality_rules.keep, near_dedup.keep_one, lambda d: decontam.drop(d, bench), mixing.mix):
+        a, b = keep(plain), keep(more)
+        assert b.columns == more.columns and sorted(map(str, a.collect())) == sorted(map(str, b.select(*a.columns).collect())), keep
