@@ -34,7 +34,7 @@ BANDS, ROWS = 20, 4
 #: Bands in each chunk that is compared in full.
 CHUNKS = ((0, 5), (5, 20))
 #: A block of a bucket has about so many nodes or shingles at most; so many nodes at most meet one copy of their head.
-BLOCK_NODES, BLOCK_SHINGLES, HEAD_NODES = 2048, 4_000_000, 4096
+BLOCK_NODES, BLOCK_SHINGLES, HEAD_NODES = 2048, 4_000_000, 256
 
 _rng = np.random.default_rng(20)
 _A = _rng.integers(1, 1 << 63, BANDS * ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
