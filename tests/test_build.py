@@ -159,6 +159,43 @@ def test_slices_match_all_pairs(spark):
     assert {(r.root_id, r.name, r.id, r.preference) for r in got} == want
 
 
+def test_slices_of_lines(spark, monkeypatch):
+    """Lines taken apart give what occurrences give: bodies over several bins, ties, few names at the executors, small limits."""
+    import random
+
+    rng = random.Random(6)
+    words = [a + b for a in "abcdef" for b in "xyz"]
+    symbols = [(f * 100 + k, f, rng.choice(words[: 6 + f]), k * 90, k * 90 + rng.choice([0, 5, 400])) for f in range(12) for k in range(9)]
+    lines = [(f, n, " ".join(rng.choice(words) for _ in range(rng.randint(0, 6)))) for f in range(12) for n in range(0, 900, 3)] + [(3, 4, "")]
+    s = spark.createDataFrame(symbols, "id long, file_id long, name string, line int, end int")
+    occ = spark.createDataFrame([(f, w, n, c) for f, n, t in lines for c, w in enumerate(t.split())], "file_id long, name string, line int, col int").repartition(3)
+    imports = spark.createDataFrame([(f, rng.randrange(12)) for f in range(12) for _ in range(2)] + [(1, None)], "file_id long, resolved_file_id long")
+    by_line = spark.createDataFrame(lines, "file_id long, line int, names string").repartition(4)
+    get = lambda o, limit: sorted(tuple(r) for r in source.slices(s, s, o, imports, limit).collect())
+    whole = get(occ, 50)
+    for usual, limit in ((50_000, 50), (3, 4), (0, 50), (50_000, 2)):
+        monkeypatch.setattr(source, "USUAL", usual)
+        want = [r for r in whole if r[1] <= limit]
+        assert get(by_line, limit) == get(occ, limit) == want and len(want) > 150
+
+
+def test_slices_move_little(spark):
+    """What slice_bodies shuffles stays near the size of its input, as disk has to hold it."""
+    from pathlib import Path
+
+    from quarry import registry
+
+    written = lambda: (sc.listenerBus().waitUntilEmpty(30_000), sc.statusStore().executorList(False).apply(0).totalShuffleWrite())[1]
+    sc, d = spark._jsc.sc(), "/root/testdata/sf0.01"
+    if not Path(d).exists():
+        pytest.skip("needs the driver's tables")
+    before = written()
+    registry.queries()["slice_bodies"](spark, d).write.format("noop").mode("overwrite").save()
+    at = Path(d, "documents.parquet")
+    size = sum(f.stat().st_size for f in ([at] if at.is_file() else at.rglob("*.parquet")))
+    assert written() - before < 6 * size
+
+
 def test_pack_of_searches(spark):
     import random
 
