@@ -11,10 +11,9 @@ Shares of words that make up at least SHARE of the corpus (at most 1 / SHARE wor
 a join with the counts, where no word is frequent enough to load one task. They are added up in fixed point.
 
 Training: documents are dealt by a digest of id and text to shards of about SHARD words, whatever the partitions of the input,
-and stand there in the order of the digest. A first round trains over an eighth of all documents (over more where that is less
-than LEAST words), a second over all of them, every word; in each round all shards start from one model, and theirs are
-averaged by their words. Models are added up FAN at a time, in the order of the shards, so reruns agree and neither a task nor
-the driver holds more than FAN of them.
+and stand there in the order of the digest. All shards start from one model and train over all their words, slice after slice
+of text at a falling rate; their models are averaged by their words. Models are added up FAN at a time, in the order of the
+shards, so reruns agree and neither a task nor the driver holds more than FAN of them.
 
 Edge cases: null and empty texts have no words, log_prob 0 and null mean; repeated rows get equal results; an empty table
 gives an empty result; other columns are ignored.
@@ -37,10 +36,8 @@ from quarry.llm._common import Alphabet, map_arrow, stage, text_slices, unstage,
 TOP, BUCKETS, SIDE, HIDDEN = 96, 31, 2, 16
 SYMBOLS = 1 + TOP + BUCKETS  # 0 stands beyond the text's ends
 SHARE = 1e-6
-SHARD, LEAST, FAN = 2_000_000, 500_000, 64
-BATCH, RATE, FINE = 4096, 0.02, 0.002
-#: For each round: the documents' share (one in so many, at most), passes over a slice of text, words in a batch, rate.
-FIRST, SECOND = (8, 2, 1024, RATE), (1, 1, BATCH, FINE)
+SHARD, FAN = 2_000_000, 64
+BATCH, RATE = 1024, 0.01
 _ABC = Alphabet(fold=True, punctuation=True)
 _FIX = float(1 << 24)
 
@@ -171,9 +168,8 @@ class Network:
         n = len(target)
         h = self.hidden(context)
         z, total = self.softmax(h)
-        z /= total[:, None]
-        z[np.arange(n), target] -= 1
-        z /= n
+        z *= (1 / (n * total))[:, None]
+        z[np.arange(n), target] -= np.float32(1 / n)
         pre = (z @ self.parts[2].T) * (1 - h * h)
         grads = np.empty_like(self.flat)
         i = 0
@@ -182,7 +178,7 @@ class Network:
             m = SYMBOLS * HIDDEN
             grads[i : i + m] = np.bincount((context[:, k, None] * HIDDEN + each).ravel(), pre.ravel(), minlength=m)
             i += m
-        for g in (pre.sum(axis=0), h.T @ z, z.sum(axis=0)):
+        for g in (pre.sum(axis=0), h.T @ z, np.ones(n, np.float32) @ z):
             grads[i : i + g.size] = g.ravel()
             i += g.size
         if self.moments is None:
@@ -201,19 +197,17 @@ class Network:
             self.step(target[i:j], context[i:j], rate)
 
 
-def _tune(flat: np.ndarray, top: np.ndarray, epochs: int, batch: int, rate: float):
+def _tune(flat: np.ndarray, top: np.ndarray):
     """(s, n, w) of the partition: its number, its words, and the parameters times the words."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, total = Network(flat.copy()), 0
-        for t in text_slices(batches):
+        for k, t in enumerate(text_slices(batches)):
             target, context, *_ = windows(t.data, t.off, top)
             if len(target):
-                rng = np.random.default_rng(len(target))
-                for epoch in range(epochs):
-                    # words of one text follow each other; a batch takes from all of the slice
-                    order = rng.permutation(len(target))
-                    net.train(target[order], context[order], batch, rate / (1 + 2 * epoch))
+                # words of one text follow each other; a batch takes from all of the slice
+                order = np.random.default_rng(len(target)).permutation(len(target))
+                net.train(target[order], context[order], BATCH, RATE / (1 + k))
                 total += len(target)
         if total:
             yield _model(TaskContext.get().partitionId(), total, net.flat.astype(float) * total)
@@ -255,18 +249,12 @@ def _averaged(models: DataFrame) -> np.ndarray | None:
 
 
 def train(docs: DataFrame, top: np.ndarray, total: int) -> np.ndarray:
-    """Parameters from all documents, which hold ``total`` words."""
+    """Parameters from all documents, which hold ``total`` words; none is left out."""
     digest = F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5("text")))
     dealt = docs.where("text is not null").select(digest.alias("o"), "text")
-    flat = Network().flat
-    for most, epochs, batch, rate in (FIRST, SECOND):
-        share = max(1, min(most, total // LEAST))
-        some = dealt.where(F.pmod(F.xxhash64("o"), F.lit(share)) == 0)
-        shards = max(1, math.ceil(total / share / SHARD))
-        some = some.repartition(shards, "o").sortWithinPartitions("o").select("text")
-        got = _averaged(map_arrow(some, _tune(flat, top, epochs, batch, rate), "s long, n long, w binary"))
-        flat = flat if got is None else got
-    return flat
+    every = dealt.repartition(max(1, math.ceil(total / SHARD)), "o").sortWithinPartitions("o").select("text")
+    got = _averaged(map_arrow(every, _tune(Network().flat, top), "s long, n long, w binary"))
+    return Network().flat if got is None else got
 
 
 def _score(v: Vocabulary, flat: np.ndarray):

@@ -703,6 +703,25 @@ def test_lm_vocabulary(spark, none, monkeypatch):
         assert by[100].mean_log_prob < min(by[i].mean_log_prob for i in range(60)) - 2 and by[101].mean_log_prob is None
 
 
+def test_lm_rounds_see_all(spark, monkeypatch):
+    """Each model that is averaged comes from every word of all documents, however many shards there are."""
+    rng = random.Random(8)
+    rows = [(i, text_of(rng, rng.randint(1, 60))) for i in range(200)] + [(None, "no id"), (7, "again")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    v, seen, averaged = lm_score.vocabulary(lm_score.count_words(df)), [], lm_score._averaged
+
+    def watched(models):
+        models = models.localCheckpoint()
+        seen.append((models.agg({"n": "sum"}).first()[0], models.count()))
+        return averaged(models)
+
+    monkeypatch.setattr(lm_score, "_averaged", watched)
+    monkeypatch.setattr(lm_score, "LEAST", v.words // 8, raising=False)
+    monkeypatch.setattr(lm_score, "SHARD", v.words // 5)
+    lm_score.train(df, v.top, v.words)
+    assert v.words > 4000 and seen and {n for n, _ in seen} == {v.words} and all(k > 3 for _, k in seen)
+
+
 def test_lm_average(spark, monkeypatch):
     monkeypatch.setattr(lm_score, "FAN", 3)
     rng = np.random.default_rng(4)
