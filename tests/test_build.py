@@ -179,6 +179,60 @@ def test_slices_of_lines(spark, monkeypatch):
         assert get(by_line, limit) == get(occ, limit) == want and len(want) > 150
 
 
+def test_whole_slices(spark, monkeypatch):
+    """Every step against plain Python: roots and their sources, ends by fallback, kinds of uses, order by path, truncation."""
+    import random
+
+    from quarry.operators import spans
+
+    rng = random.Random(8)
+    words = [a + b for a in "abcdef" for b in "xyz"] + ["q"]
+    texts = {f: [" ".join(rng.choice(words) for _ in range(rng.randint(0, 3))) for _ in range(rng.choice([30, 700]))] for f in range(10)}
+    path = {f: f"p{(f * 7) % 10}/f" for f in texts}
+    symbols = []  # ids against the order of paths and lines; two on a line, some without an end
+    for f, lines in texts.items():
+        for k in range(9):
+            at = rng.randrange(1, len(lines) - 10) // (2 if k % 2 else 1) + 1
+            symbols.append((9000 - f * 100 - k, f, rng.choice(words[: 6 + f]), at, k, rng.choice([None, at, at + 5, min(at + 420, len(lines))])))
+        symbols += [(f * 100 + 9500, f, "ax", 3, 20, 3), (f * 100 + 9502, f, "bx", 4, 21, None), (f * 100 + 9501, f, "cx", 4, 22, None)]
+    occ = [(f, w, n + 1, c, ("call", "read", None)[(n + c) % 3]) for f, lines in texts.items() for n, t in enumerate(lines) for c, w in enumerate(t.split())]
+    imports = [(f, rng.randrange(10)) for f in texts for _ in range(2)] + [(1, None)]
+    s = spark.createDataFrame(symbols, "id long, file_id long, name string, line int, col int, end_line int")
+    counts = spark.createDataFrame([(f, len(x)) for f, x in texts.items()], "file_id long, n_lines int")
+    ended = spans.end_lines(s, counts)
+    ends = {}
+    for f, lines in texts.items():
+        of = sorted((y for y in symbols if y[1] == f), key=lambda y: y[3:5])
+        ends |= {y[0]: y[5] if y[5] is not None else z[3] - 1 if z else min(y[3] + 49, len(lines)) for y, z in zip(of, [*of[1:], None])}
+    assert sum(r[5] is None for r in symbols) > 10 and sum(ends[r[0]] // 256 > r[3] // 256 for r in symbols) > 5
+    o = spark.createDataFrame(occ, "file_id long, name string, line int, col int, ref_kind string").repartition(3)
+    by_line = spark.createDataFrame([(f, n + 1, t) for f, lines in texts.items() for n, t in enumerate(lines)], "file_id long, line int, names string")
+    t = spark.createDataFrame([(f, "\n".join(x)) for f, x in texts.items()], "file_id long, text string")
+    i, p = spark.createDataFrame(imports, "file_id long, resolved_file_id long"), spark.createDataFrame(list(path.items()), "file_id long, path string")
+
+    def plain(limit, kinds):
+        text = lambda y: "\n".join(texts[y[1]][y[3] - 1 : max(ends[y[0]], y[3] - 1)])
+        for root in symbols:
+            i, f, n, a, _, _ = root
+            used = list(dict.fromkeys(w for _, _, w in sorted((x[2], x[3], x[1]) for x in occ if x[0] == f and a <= x[2] <= ends[i] and (not kinds or x[4] in kinds)) if w != n and len(w) > 1))
+            refs, truncated = [], False
+            for w in used:
+                if len(refs) >= limit:
+                    truncated = True
+                    break
+                c = [(0 if y[1] == f else 1 if (f, y[1]) in imports else 2, path[y[1]], y[3], y[4], y) for y in symbols if y[2] == w and y[0] != i and not (y[1] == f and a <= y[3] <= ends[i])]
+                if c:
+                    refs.append((min(c)[-1], min(c)[0]))
+            yield (i, 0, i, n, None, truncated, text(root))
+            yield from ((i, k + 1, y[0], y[2], rank, truncated, text(y)) for k, (y, rank) in enumerate(refs))
+
+    for usual, limit, kinds, uses in ((3, 4, None, by_line), (50_000, 2, ["call", "read"], o)):
+        monkeypatch.setattr(source, "USUAL", usual)
+        got = sorted((tuple(r) for r in source.whole_slices(ended, ended, uses, i, t, p, limit, kinds).collect()), key=lambda r: r[:2])
+        want = sorted(plain(limit, kinds), key=lambda r: r[:2])
+        assert got == want and len(want) > 200 and 10 < sum(r[5] for r in want if r[1] == 0) < 100
+
+
 def test_slices_move_little(spark):
     """What slice_bodies shuffles stays near the size of its input, as disk has to hold it."""
     from pathlib import Path
